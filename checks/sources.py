@@ -70,15 +70,15 @@ def columnar_round_trip(spark, sf):
     return read_columnar(spark, path, "train")
 
 
-@check("""SELECT page_id, lang, title, CAST(i - 1 AS BIGINT) AS at, url[i] AS url, label[i] AS label FROM (
+@check("""SELECT page_id, lang, title, CAST(i - 1 AS BIGINT) AS "at", urls[i] AS url, names[i] AS label FROM (
     SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
       replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title,
-      regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS url,
+      regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS urls,
       list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x:
         replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
-          '&amp;', '&')) AS label,
-      unnest(range(1, len(url) + 1)) AS i FROM pages)""")
+          '&amp;', '&')) AS names,
+      unnest(range(1, len(urls) + 1)) AS i FROM pages)""")
 def extract_page_blocks(spark, sf):
     html, block = F.col("html"), F.col("block")
     page_fields = {"lang": F.regexp_extract(html, '<html lang="([^"]*)"', 1), "title": first_text(html, "title")}
@@ -110,8 +110,8 @@ def read_word_vector_text(spark, sf):
 SEEDS = ["Cafe3-Branch0", "Cafe5-Branch1", "Cafe18-Branch2", "Cafe99-Branch0"]
 
 
-@check(rows(f"""SELECT at::BIGINT AS at, seed, count(review_id) AS reviews
-    FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SEEDS))}) s(at, seed)
+@check(rows(f"""SELECT "at"::BIGINT AS "at", seed, count(review_id) AS reviews
+    FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SEEDS))}) s("at", seed)
     LEFT JOIN pairs ON store = seed GROUP BY ALL""", PAIRS))
 def seed_list_jobs(spark, sf):
     reviews = review_pairs(spark, sf).groupBy(F.col("store").alias("seed")).agg(F.count("*").alias("n"))

@@ -334,8 +334,8 @@ def store_index_parts(spark, sf):
     return ordering.store_index(unique, "l_partkey", "first")
 
 
-@check("""SELECT doc_id, CAST(at // (n // 50 + 1) AS BIGINT) AS block FROM (
-    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents)""")
+@check("""SELECT doc_id, CAST(pos // (n // 50 + 1) AS BIGINT) AS block FROM (
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)""")
 def assign_block(spark, sf):
     return ordering.assign_block(table(spark, sf, "documents").select("doc_id"), 50, "doc_id")
 
