@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import (
     BIAS, LEXICON, PAIRS, PREDICTIONS, VECTORS, cosine_sql, label_sets_sql, lexicon, predictions, review_pairs, rows,
     scores_sql, scratch, sentence_vector_sql, table, tokens_sql, with_sentence_vectors, word_vectors,
+    words_sql,
 )
 from checks.registry import check
 from reviewlab.functions import labels as label_functions
@@ -516,7 +517,8 @@ def encode_texts_model(spark, sf):
     return encoded.select("review_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@check()
+@check(f"""SELECT doc_id, array_to_string(list_filter({words_sql('text')},
+    lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w), '|') AS words FROM documents""")
 def tag_entities_model(spark, sf):
     tagged = tag_entities(table(spark, sf, "documents").select("doc_id", "text"), "text", capital_tagger)
     return tagged.select("doc_id", F.array_join(F.transform("entities", lambda e: e["word"]), "|").alias("words"))
