@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlab.operators.pairing import pair_turns
+from reviewlab.scale import spread
 from reviewlab.session import shared_folder
 
 # Columns of the review tables over (conv_id, turn, review, answer), valid in both engines.
@@ -59,6 +60,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, shared out for work on long texts."""
+    return spread(table(spark, sf, "documents"))
+
+
 def review_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews with a reply or NULL."""
     asked = pair_turns(table(spark, sf, "conversations"), unanswered=True)

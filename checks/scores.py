@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import (
-    BIAS, LEXICON, PAIRS, PREDICTIONS, VECTORS, cosine_sql, label_sets_sql, lexicon, predictions, review_pairs, rows,
+    BIAS, LEXICON, PAIRS, PREDICTIONS, VECTORS, cosine_sql, documents, label_sets_sql, lexicon, predictions, review_pairs, rows,
     scores_sql, scratch, sentence_vector_sql, table, tokens_sql, with_sentence_vectors, word_vectors,
     words_sql,
 )
@@ -111,7 +111,7 @@ DOCUMENT_LABELS = rows(
 
 @check(DOCUMENT_LABELS)
 def threshold_labels(spark, sf):
-    scored = score_labels(table(spark, sf, "documents").select("doc_id", "text"), {"scores": "text"}, lexicon(spark),
+    scored = score_labels(documents(spark, sf).select("doc_id", "text"), {"scores": "text"}, lexicon(spark),
                           BIAS, "doc_id")
     return scored.select("doc_id", F.array_join(label_functions.threshold_labels(F.col("scores")), "|").alias("labels"))
 
@@ -298,7 +298,7 @@ RATINGS = """ratings AS (SELECT doc_id AS item_id, r AS rater_id, (doc_id * 31 +
 
 def _ratings(spark, sf):
     raters = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rater_id")
-    rated = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "n_chars", raters)
+    rated = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "n_chars", raters)
     return rated.withColumn("category", F.expr("(item_id * 31 + rater_id * 17 + n_chars) % 3"))
 
 
@@ -500,7 +500,7 @@ VOWELS = "(length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::DOU
 
 @check(f"""SELECT doc_id, round({VOWELS}, 6) AS vowels, round(1 - {VOWELS}, 6) AS others FROM documents""")
 def score_labels_model(spark, sf):
-    scored = score_labels_batch(table(spark, sf, "documents").select("doc_id", "text"), "text", letter_scorer, "s")
+    scored = score_labels_batch(documents(spark, sf).select("doc_id", "text"), "text", letter_scorer, "s")
     return scored.select("doc_id", F.round(F.col("s")[0]["score"], 6).alias("vowels"),
                          F.round(F.col("s")[1]["score"], 6).alias("others"))
 
@@ -520,7 +520,7 @@ def encode_texts_model(spark, sf):
 @check(f"""SELECT doc_id, array_to_string(list_filter({words_sql('text')},
     lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w), '|') AS words FROM documents""")
 def tag_entities_model(spark, sf):
-    tagged = tag_entities(table(spark, sf, "documents").select("doc_id", "text"), "text", capital_tagger)
+    tagged = tag_entities(documents(spark, sf).select("doc_id", "text"), "text", capital_tagger)
     return tagged.select("doc_id", F.array_join(F.transform("entities", lambda e: e["word"]), "|").alias("words"))
 
 
@@ -537,7 +537,7 @@ def batched_map_rows(spark, sf):
     def tag(batch):
         return batch.assign(tag=batch.lang + ":" + batch.source)[["doc_id", "tag"]]
 
-    return batched_map(table(spark, sf, "documents").select("doc_id", "lang", "source"), tag, "doc_id long, tag string")
+    return batched_map(documents(spark, sf).select("doc_id", "lang", "source"), tag, "doc_id long, tag string")
 
 
 @check(rows("SELECT review_id, hyp, ref, n FROM lcs", PREDICTIONS, ROUGE_INPUT, LCS))

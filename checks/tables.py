@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import (
-    BLOCKS, PAIRS, VECTORS, review_blocks, review_pairs, rows, table, tokens_sql,
+    BLOCKS, PAIRS, VECTORS, documents, review_blocks, review_pairs, rows, table, tokens_sql,
     word_vectors,
 )
 from checks.registry import check
@@ -93,13 +93,13 @@ LITERAL_VALUES = ", ".join(f"('{x}')" for x in LITERALS)
 @check(f"""SELECT l AS literal, CAST(count(CASE WHEN contains(text, l) THEN 1 END) AS BIGINT) AS rows
     FROM documents CROSS JOIN (VALUES {LITERAL_VALUES}) v(l) GROUP BY l""")
 def contains_count(spark, sf):
-    return stats.contains_count(table(spark, sf, "documents"), "text", LITERALS)
+    return stats.contains_count(documents(spark, sf), "text", LITERALS)
 
 
 @check(f"""SELECT l AS literal, CAST(sum((length(text) - length(replace(text, l, ''))) // length(l)) AS BIGINT) AS total
     FROM documents CROSS JOIN (VALUES {LITERAL_VALUES}) v(l) GROUP BY l""")
 def substring_total(spark, sf):
-    return stats.substring_total(table(spark, sf, "documents"), "text", LITERALS)
+    return stats.substring_total(documents(spark, sf), "text", LITERALS)
 
 
 DEFAULT_VALUES = ", ".join(f"('{x}')" for x in v.PROFILE_LITERALS)
@@ -258,12 +258,12 @@ CHAR_COUNTS = f"""found AS (SELECT doc_id, unnest(regexp_extract_all(text, '{CHA
 
 @check(rows("SELECT * FROM counts ORDER BY total DESC, ch LIMIT 50", CHAR_COUNTS))
 def char_totals(spark, sf):
-    return stats.char_frequency(table(spark, sf, "documents"), "text")
+    return stats.char_frequency(documents(spark, sf), "text")
 
 
 @check(rows("SELECT * FROM counts ORDER BY rows DESC, ch LIMIT 50", CHAR_COUNTS))
 def char_rows(spark, sf):
-    return stats.char_frequency(table(spark, sf, "documents"), "text", by="rows")
+    return stats.char_frequency(documents(spark, sf), "text", by="rows")
 
 
 @check(rows("""SELECT store, replies, CAST(sum(replies) OVER (ORDER BY first) AS BIGINT) AS running FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import (
-    PAIRS, SPACE, TOKEN, gazetteer, review_pairs, rows, strip_sql, table, words_sql,
+    PAIRS, SPACE, TOKEN, documents, gazetteer, review_pairs, rows, strip_sql, table, words_sql,
 )
 from checks.registry import check
 from reviewlab import values as v
@@ -27,7 +27,7 @@ def collapse_space(spark, sf):
 @check(rf"""SELECT doc_id, regexp_replace(text, '[\t\n\x0b\f\r\x1c-\x20\x85\p{{Z}}\\n]{{2,}}', chr(10), 'g') AS text
     FROM documents""")
 def collapse_space_compat(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse_space(F.col("text"), compat=True).alias("text"))
+    return documents(spark, sf).select("doc_id", text.collapse_space(F.col("text"), compat=True).alias("text"))
 
 
 CUSTOMER_SQL = """CASE WHEN customer_id = '   손님'
@@ -73,7 +73,7 @@ def page_gazetteer(spark, sf):
 
 @check(rows("SELECT doc_id, word, type FROM found", GAZETTEER))
 def distinct_entities(spark, sf):
-    found = find_entities(table(spark, sf, "documents"), "text", page_gazetteer(spark, sf), "doc_id")
+    found = find_entities(documents(spark, sf), "text", page_gazetteer(spark, sf), "doc_id")
     return sets.distinct_entities(found, "doc_id")
 
 
@@ -89,8 +89,8 @@ MASKED = """ordered AS (SELECT doc_id, type, list(word ORDER BY length(word) DES
 @check(rows("""SELECT doc_id, CASE WHEN len(places) = 0 THEN text
     ELSE regexp_replace(text, array_to_string(places, '|'), '#@위치#', 'g') END AS text FROM once""", GAZETTEER, MASKED))
 def mask_entities_token(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    return mask_entities(documents, "text", page_gazetteer(spark, sf), "token", "doc_id")
+    texts = documents(spark, sf).select("doc_id", "text")
+    return mask_entities(texts, "text", page_gazetteer(spark, sf), "token", "doc_id")
 
 
 TERMS = ["the", "und", "les", "le", "(x)"]
@@ -98,7 +98,7 @@ TERMS = ["the", "und", "les", "le", "(x)"]
 
 @check("SELECT doc_id, regexp_replace(text, 'the|und|les|le|\\(x\\)', '#@상호명#', 'g') AS text FROM documents")
 def mask_terms(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", masking.mask_terms(F.col("text"), TERMS, v.STORE).alias("text"))
+    return documents(spark, sf).select("doc_id", masking.mask_terms(F.col("text"), TERMS, v.STORE).alias("text"))
 
 
 HANDLES = "regexp_replace({0}, '@[a-zA-Z0-9_]+', '#@전화번호#', 'g')"
@@ -108,27 +108,27 @@ ADDRESSES = r"regexp_replace({0}, '[\p{{L}}\p{{N}}_/:.@]+.com[\p{{L}}\p{{N}}_/.]
 
 @check(f"SELECT doc_id, {HANDLES.format('text')} AS text FROM documents")
 def mask_handles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", masking.mask_handles(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", masking.mask_handles(F.col("text")).alias("text"))
 
 
 @check(f"SELECT doc_id, {PHONES.format('text')} AS text FROM documents")
 def mask_phones(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", masking.mask_phones(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", masking.mask_phones(F.col("text")).alias("text"))
 
 
 @check(f"SELECT doc_id, {ADDRESSES.format('text')} AS text FROM documents")
 def mask_urls_emails(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", masking.mask_urls_emails(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", masking.mask_urls_emails(F.col("text")).alias("text"))
 
 
 @check("SELECT doc_id, replace(text, 'the ', '') AS text FROM documents")
 def remove_literal(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.remove_literal(F.col("text"), "the ").alias("text"))
+    return documents(spark, sf).select("doc_id", text.remove_literal(F.col("text"), "the ").alias("text"))
 
 
 @check(f"SELECT doc_id, replace({strip_sql('text')}, chr(10), '') AS text FROM documents")
 def strip_and_flatten(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.strip_and_flatten(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", text.strip_and_flatten(F.col("text")).alias("text"))
 
 
 MASKED_REPLY = f"masked AS (SELECT *, {CUSTOMER_SQL.format('reply')} AS r1 FROM pairs), named AS (SELECT *, {STORE_SQL.format('r1')} AS r2 FROM masked)"
@@ -149,7 +149,7 @@ def unmask_reply(spark, sf):
 def clean_decoded(spark, sf):
     decoded = F.concat(F.lit("a <unused1> b <unused1> "), F.col("text"), F.lit(" <eos> c"))
     special = F.concat(F.lit("</s> "), F.col("text"), F.lit("<unk></s>"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", text.clean_decoded(decoded).alias("marked"), text.clean_decoded(special, "plain").alias("plain"))
 
 
@@ -168,7 +168,7 @@ def build_prompt(spark, sf):
 
 @check(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9][0-9.-]+', 0), '|') AS found FROM documents")
 def regex_extract(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.array_join(text.regex_extract(F.col("text"), "[0-9][0-9.-]+"), "|").alias("found"))
 
 
@@ -177,12 +177,12 @@ def regex_extract(spark, sf):
 @check(f"SELECT doc_id, {strip_sql('n')} AS text FROM (SELECT doc_id, "
        "regexp_replace(lower(text), '[^A-Za-z0-9가-힣]', ' ', 'g') AS n FROM documents)")
 def normalise_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalise_text(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", text.normalise_text(F.col("text")).alias("text"))
 
 
 @check(f"SELECT doc_id, array_to_string(list_slice({words_sql('text')}, 1, 100), ' ') AS text FROM documents")
 def truncate_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.truncate_text(F.col("text"), 100).alias("text"))
+    return documents(spark, sf).select("doc_id", text.truncate_text(F.col("text"), 100).alias("text"))
 
 
 # Lines with the size of all earlier lines; a line is reached while that stays below the limit.
@@ -201,26 +201,26 @@ def lines_sql(size: str, limit: int) -> str:
     ELSE concat(CASE WHEN used > 0 THEN ' ' ELSE '' END, left(line, CAST(500 - used AS BIGINT))) END, '' ORDER BY i), '') AS text
     FROM reached WHERE past = 0 GROUP BY doc_id""", lines_sql("length(line)", 500)))
 def truncate_characters(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.truncate_text(F.col("text"), 500, "chars").alias("text"))
+    return documents(spark, sf).select("doc_id", text.truncate_text(F.col("text"), 500, "chars").alias("text"))
 
 
 @check(rows("""SELECT doc_id, string_agg(left(line, CAST(least(500 - used, n) AS BIGINT)), chr(10) ORDER BY i) AS text
     FROM reached WHERE past = 0 GROUP BY doc_id""", lines_sql("length(line)", 500)))
 def truncate_sentence_characters(spark, sf):
     cut = text.truncate_sentences(F.col("text"), 500, "chars")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(cut, "\n").alias("text"))
+    return documents(spark, sf).select("doc_id", F.array_join(cut, "\n").alias("text"))
 
 
 @check(rows(f"""SELECT doc_id, string_agg(array_to_string(list_slice({words_sql('line')}, 1, CAST(least(100 - used, n) AS BIGINT)), ' '),
     chr(10) ORDER BY i) AS text FROM reached WHERE past = 0 GROUP BY doc_id""", lines_sql(f"len({words_sql('line')})", 100)))
 def truncate_sentence_words(spark, sf):
     cut = text.truncate_sentences(F.col("text"), 100)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(cut, "\n").alias("text"))
+    return documents(spark, sf).select("doc_id", F.array_join(cut, "\n").alias("text"))
 
 
 @check(f"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '{TOKEN}', 1), ' ') AS tokens FROM documents")
 def tokenise(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.tokenise(F.col("text")), " ").alias("tokens"))
+    return documents(spark, sf).select("doc_id", F.array_join(text.tokenise(F.col("text")), " ").alias("tokens"))
 
 
 @check(rows(f"""SELECT review_id, regexp_replace(menu, '{SPACES}', chr(10), 'g') AS menu,
@@ -237,7 +237,7 @@ def preprocess_reviews(spark, sf):
     AS text FROM documents""")
 def additional_masking(spark, sf):
     masked = jobs.additional_masking(F.col("text"), ["the", "und"], ["les", "le"], ["ing"], ["하늘을달리다"])
-    return table(spark, sf, "documents").select("doc_id", masked.alias("text"))
+    return documents(spark, sf).select("doc_id", masked.alias("text"))
 
 
 @check(rows(f"SELECT review_id, {ADDRESSES.format(PHONES.format(HANDLES.format('reply')))} AS reply FROM pairs", PAIRS))

@@ -17,15 +17,18 @@ def _quoted(col: Column) -> Column:
     return F.concat(F.lit("\\Q"), safe, F.lit("\\E"))
 
 
-def any_of(literals: Column) -> Column:
-    """Alternation over an array of literals, first listed wins; empty ones are left out."""
-    usable = F.filter(literals, lambda x: x.isNotNull() & (x != ""))
-    return F.array_join(F.transform(usable, _quoted), "|")
+NEVER = "(?!)"
 
 
-def _replace_any(text: Column, literals: Column, mask: str) -> Column:
-    pattern = any_of(literals)
-    return F.when(pattern == "", text).otherwise(F.regexp_replace(text, pattern, F.lit(mask)))
+def any_of(literals: Column) -> Column:
+    """Pattern of an array of literals, first listed wins; empty ones are left out.
+
+    Matches nothing where no literal is left, so the text needs no test of its own and
+    appears once in the expression.
+    """
+    usable = F.filter(literals, lambda x: x.isNotNull() & (x != ""))
+    pattern = F.array_join(F.transform(usable, _quoted), "|")
+    return F.coalesce(F.nullif(pattern, F.lit("")), F.lit(NEVER))
 
 
 def customer_forms(customer_id: Column) -> Column:
@@ -43,17 +46,23 @@ def customer_forms(customer_id: Column) -> Column:
     return F.array(customer_id, cut(1), cut(3))
 
 
-GUEST_CALL = rf"[ㄱ-ㅎ가-힣{v.WORD}]+(\*\*)* *(님|고객님)"
+def _from_run_start(cls: str) -> str:
+    """Start of a run of ``cls`` characters, or the end of the previous match.
+
+    A pattern that begins with ``cls+`` and fails there fails at every later character of
+    the run as well, so trying those is saved without changing what is found.
+    """
+    return rf"(?:(?<![{cls}])|\G)"
+
+
+CALL_CLASS = f"ㄱ-ㅎ가-힣{v.WORD}"
+GUEST_CALL = rf"{_from_run_start(CALL_CLASS)}[{CALL_CLASS}]+(\*\*)* *(님|고객님)"
 
 
 def mask_customer(text: Column, customer_id: Column) -> Column:
     """Replace the row's own customer id; guests are found by the form of address."""
-    known = _replace_any(text, customer_forms(customer_id), v.CUSTOMER)
-    return (
-        F.when(customer_id.isNull(), text)
-        .when(customer_id == v.GUEST_ID, F.regexp_replace(text, GUEST_CALL, v.CUSTOMER))
-        .otherwise(known)
-    )
+    pattern = F.when(customer_id == v.GUEST_ID, GUEST_CALL).otherwise(any_of(customer_forms(customer_id)))
+    return F.regexp_replace(text, pattern, F.lit(v.CUSTOMER))
 
 
 def store_forms(store: Column) -> Column:
@@ -64,15 +73,28 @@ def store_forms(store: Column) -> Column:
 
 def mask_store(text: Column, store: Column) -> Column:
     """Replace the row's own store name, then merge adjacent store masks."""
-    masked = _replace_any(text, store_forms(store), v.STORE)
-    merged = F.regexp_replace(masked, f"({v.STORE}){{2,}}", v.STORE)
-    return F.when(store.isNull(), text).otherwise(merged)
+    masked = F.regexp_replace(text, any_of(store_forms(store)), F.lit(v.STORE))
+    return F.regexp_replace(masked, f"({v.STORE}){{2,}}", v.STORE)
+
+
+def terms_pattern(terms: Sequence[str], quote: bool = True) -> str:
+    """Alternation of terms, the first listed wins.
+
+    Quoted terms are preceded by a look at their first characters, so a position where
+    none can start costs one test and not one per term.
+    """
+    if not quote:
+        return "|".join(terms)
+    terms = [t for t in terms if t]
+    if not terms:
+        return NEVER
+    initials = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({t[0] for t in terms}))
+    return f"(?=[{initials}])(?:{'|'.join(map(re.escape, terms))})"
 
 
 def mask_terms(text: Column, terms: Sequence[str], mask: str, quote: bool = True) -> Column:
     """Replace listed terms, the first listed wins; ``quote=False`` reads them as patterns."""
-    pattern = "|".join(re.escape(t) if quote else t for t in terms)
-    return F.regexp_replace(text, pattern, mask)
+    return F.regexp_replace(text, terms_pattern(terms, quote), mask)
 
 
 def mask_handles(text: Column) -> Column:
@@ -85,7 +107,8 @@ def mask_phones(text: Column) -> Column:
 
 def mask_urls_emails(text: Column) -> Column:
     """Web and mail addresses; the character before ``com`` may be any."""
-    return F.regexp_replace(text, rf"[{v.WORD}/:.@]+.com[{v.WORD}/.]*", v.CONTACT)
+    cls = f"{v.WORD}/:.@"
+    return F.regexp_replace(text, rf"{_from_run_start(cls)}[{cls}]+.com[{v.WORD}/.]*", v.CONTACT)
 
 
 def mask_tagged(text: Column, entities: Column) -> Column:
@@ -101,9 +124,8 @@ def mask_tagged(text: Column, entities: Column) -> Column:
             usable, lambda e: F.struct((-F.length(e["word"])).alias("n"), e["word"].alias("word")))))
         return F.transform(ranked, lambda e: e["word"])
 
-    organised = _replace_any(text, terms("ORGANIZATION"), v.ORGANISATION)
-    placed = _replace_any(organised, terms("LOCATION"), v.PLACE)
-    return F.when(entities.isNull(), text).otherwise(placed)
+    organised = F.regexp_replace(text, any_of(terms("ORGANIZATION")), F.lit(v.ORGANISATION))
+    return F.regexp_replace(organised, any_of(terms("LOCATION")), F.lit(v.PLACE))
 
 
 def unmask_reply(text: Column, store: Column, customer: Column) -> Column:

@@ -39,7 +39,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, cols: Mapping[str, str], unkn
     """Add id arrays for token columns; ``cols`` maps new column to token column."""
     sides = F.array(*[F.struct(F.lit(new).alias("side"), F.col(tokens).alias("tokens"))
                       for new, tokens in cols.items()])
-    long = df.select(row_id, F.inline(sides)).select(row_id, "side", F.posexplode("tokens").alias("pos", "word"))
+    placed = df.select(row_id, *cols.values()).repartition(row_id)
+    long = placed.select(row_id, F.inline(sides)).select(row_id, "side", F.posexplode("tokens").alias("pos", "word"))
     coded = lookup_join(long, vocab, ["word"], [row_id, "side", "pos"], "left", **scale)
     at = F.struct("pos", F.coalesce(F.col("id"), F.lit(unknown)).alias("id"))
     wide = coded.groupBy(row_id).agg(*[

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab import values as v
-from reviewlab.functions.masking import mask_tagged
+from reviewlab.functions.masking import mask_tagged, terms_pattern
 from reviewlab.functions.overlap import ngrams
 from reviewlab.functions.text import regex_extract
 from reviewlab.scale import lookup_join
@@ -61,5 +59,5 @@ def mask_entities(df: DataFrame, col: str, gazetteer: DataFrame, match: str = "s
     for kind, mask in (("ORGANIZATION", v.ORGANISATION), ("LOCATION", v.PLACE)):
         listed = sorted((t.term for t in terms if t.type == kind), key=lambda t: (-len(t), t))
         if listed:
-            out = F.regexp_replace(out, "|".join(map(re.escape, listed)), mask)
+            out = F.regexp_replace(out, terms_pattern(listed), mask)
     return df.withColumn(col, out)

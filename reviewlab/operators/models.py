@@ -33,7 +33,7 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     labels = lexicon.agg(F.array_sort(F.collect_set("label")).alias("l")).scalar()
     sides = F.array(*[F.struct(F.lit(new).alias("side"), tokenise(F.col(text)).alias("tokens"))
                       for new, text in cols.items()])
-    long = df.select(row_id, F.inline(sides))
+    long = df.select(row_id, *cols.values()).repartition(row_id).select(row_id, F.inline(sides))
     occurrences = long.select(row_id, "side", F.posexplode("tokens").alias("pos", "token"))
     hits = lookup_join(occurrences, lexicon, ["token"], [row_id, "side", "pos"], **scale)
     sums = hits.groupBy(row_id, "side", "label").agg(F.sum("weight").alias("z"))

@@ -60,78 +60,114 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(table)
 
 
-def _moves(ref: np.ndarray, hyp: np.ndarray, weight: float) -> np.ndarray:
-    """Table of moves of the (weighted) alignment: 0 match, 1 drop ref, 2 drop hyp token.
+# Pairs whose lines are aligned together, and cells of the move tables held at once.
+PAIRS = 256
+CELLS = 8_000_000
 
-    Cells of one anti-diagonal do not depend on each other and are filled together. On a
-    tie between the two drops, the reference token is dropped.
+
+def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float) -> np.ndarray:
+    """Aligned reference tokens of many line pairs: (ref token, pair) -> bool.
+
+    ``refs`` and ``hyps`` are (token, pair) ids, padded with ids that match nothing. The
+    tables of all pairs are filled together, one anti-diagonal after the other. Moves: 0 match, 1 drop
+    the reference token (also on a tie), 2 drop the hypothesis token.
     """
-    m, n = len(ref), len(hyp)
-    score = np.zeros((m + 1, n + 1))
-    run = np.zeros((m + 1, n + 1))
-    move = np.zeros((m + 1, n + 1), dtype=np.int8)
-    for diagonal in range(2, m + n + 1):
-        i = np.arange(max(1, diagonal - n), min(m, diagonal - 1) + 1)
-        j = diagonal - i
-        match = ref[i - 1] == hyp[j - 1]
-        before = run[i - 1, j - 1]
-        gain = (before + 1) ** weight - before**weight
-        up, left = score[i - 1, j], score[i, j - 1]
-        score[i, j] = np.where(match, score[i - 1, j - 1] + gain, np.maximum(up, left))
-        run[i, j] = np.where(match, before + 1, 0)
-        move[i, j] = np.where(match, 0, np.where(up >= left, 1, 2))
-    return move
-
-
-def _aligned(ref: np.ndarray, hyp: np.ndarray, weight: float) -> np.ndarray:
-    """Which reference tokens take part in the alignment."""
-    hits = np.zeros(len(ref), dtype=bool)
-    move = _moves(ref, hyp, weight)
-    i, j = len(ref), len(hyp)
-    while i and j:
-        step = move[i, j]
-        if step == 0:
-            hits[i - 1] = True
-        i -= step != 2
-        j -= step != 1
+    (m, pairs), n = refs.shape, len(hyps)
+    move = np.zeros((m + n + 1, m + 1, pairs), dtype=np.int8)
+    older, old = np.zeros((m + 1, pairs)), np.zeros((m + 1, pairs))
+    older_run, old_run = np.zeros((m + 1, pairs)), np.zeros((m + 1, pairs))
+    for d in range(2, m + n + 1):
+        lo, hi = max(1, d - n), min(m, d - 1)
+        match = refs[lo - 1:hi] == hyps[d - hi - 1:d - lo][::-1]
+        up, left = old[lo - 1:hi], old[lo:hi + 1]
+        new, new_run = np.zeros_like(old), old_run
+        if weight == 1.0:
+            gain = 1.0
+        else:
+            run = older_run[lo - 1:hi]
+            gain = (run + 1) ** weight - run**weight
+            new_run = np.zeros_like(old)
+            new_run[lo:hi + 1] = np.where(match, run + 1, 0)
+        new[lo:hi + 1] = np.where(match, older[lo - 1:hi] + gain, np.maximum(up, left))
+        move[d, lo:hi + 1] = np.where(match, 0, np.where(up >= left, 1, 2))
+        older, old, older_run, old_run = old, new, old_run, new_run
+
+    hits = np.zeros((m, pairs), dtype=bool)
+    i, j = sizes[0].copy(), sizes[1].copy()
+    at = np.flatnonzero((i > 0) & (j > 0))
+    while len(at):
+        step = move[i[at] + j[at], i[at], at]
+        matched = at[step == 0]
+        hits[i[matched] - 1, matched] = True
+        i[at] -= step != 2
+        j[at] -= step != 1
+        at = at[(i[at] > 0) & (j[at] > 0)]
     return hits
 
 
-def _union_counts(hyp: list[str], ref: list[str], weight: float) -> tuple[float, float, float]:
-    """Counts of one pair: every reference line against all hypothesis lines.
+def _padded(lines: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((max(map(len, lines)), len(lines)), fill, dtype=np.int64)
+    for k, line in enumerate(lines):
+        out[:len(line), k] = line
+    return out
+
+
+def _mark(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weight: float) -> None:
+    """Set the hits of (ref line, hyp line, hits of the ref line), similar sizes together."""
+    order = sorted((k for k, (r, h, _) in enumerate(lines) if len(r) and len(h)),
+                   key=lambda k: (len(lines[k][0]), len(lines[k][1])))
+    while order:
+        chunk, m, n = [], 0, 0
+        while order:
+            r, h, _ = lines[order[-1]]
+            wide, high = max(m, len(r)), max(n, len(h))
+            if chunk and (wide + high) * wide * (len(chunk) + 1) > CELLS:
+                break
+            chunk.append(order.pop())
+            m, n = wide, high
+        picked = [lines[k] for k in chunk]
+        sizes = np.array([[len(r) for r, _, _ in picked], [len(h) for _, h, _ in picked]])
+        found = _align(_padded([r for r, _, _ in picked], -1), _padded([h for _, h, _ in picked], -2), sizes, weight)
+        for k, (r, _, hits) in enumerate(picked):
+            hits |= found[:len(r), k]
+
+
+def _batch_counts(hyps: pd.Series, refs: pd.Series, weight: float) -> list[tuple[float, float, float]]:
+    """Counts of many pairs: every reference line against all hypothesis lines.
 
     Aligned reference tokens consume the tokens of the hypothesis, each of which counts
     once. The tokens of the reference are not consumed. Weighted hits are collected over
-    neighbouring aligned tokens and a run that ends on a token already used up stays
+    neighbouring aligned tokens, and a run that ends on a token already used up stays
     open until the next run of the line ends.
     """
-    ids: dict[str, int] = {}
-    lines = [[np.array([ids.setdefault(t, len(ids)) for t in s.split()], dtype=np.int64) for s in side]
-             for side in (hyp, ref)]
-    left = np.zeros(len(ids), dtype=np.int64)
-    for line in lines[0]:
-        np.add.at(left, line, 1)
-    n_hyp, n_ref = (float(sum(map(len, side))) for side in lines)
-    weighted = weight != 1.0
-    if weighted:
-        n_hyp = n_hyp**weight
-        n_ref = float(sum(len(line) ** weight for line in lines[1])) ** weight
-    overlap = 0.0
-    for line in lines[1]:
-        hits = np.zeros(len(line), dtype=bool)
-        for other in lines[0]:
-            hits |= _aligned(line, other, weight)
-        run = 0
-        for at in np.flatnonzero(hits):
-            if left[line[at]] == 0:
-                continue
-            left[line[at]] -= 1
-            run += 1
-            if not weighted:
-                overlap, run = overlap + 1, 0
-            elif at + 1 == len(line) or not hits[at + 1]:
-                overlap, run = overlap + run**weight, 0
-    return n_hyp, n_ref, overlap
+    pairs, lines = [], []
+    for hyp, ref in zip(hyps, refs, strict=True):
+        ids: dict[str, int] = {}
+        hyp_lines, ref_lines = (
+            [np.array([ids.setdefault(t, len(ids)) for t in s.split()], dtype=np.int64) for s in side]
+            for side in (hyp, ref))
+        hits = [np.zeros(len(line), dtype=bool) for line in ref_lines]
+        lines += [(r, h, hit) for r, hit in zip(ref_lines, hits, strict=True) for h in hyp_lines]
+        pairs.append((len(ids), hyp_lines, ref_lines, hits))
+    _mark(lines, weight)
+
+    counts = []
+    for n_ids, hyp_lines, ref_lines, hits in pairs:
+        n_hyp = float(sum(map(len, hyp_lines))) ** weight
+        n_ref = float(sum(len(line) ** weight for line in ref_lines)) ** weight
+        left = np.bincount(np.concatenate([*hyp_lines, np.array([], dtype=np.int64)]), minlength=n_ids)
+        overlap = 0.0
+        for line, hit in zip(ref_lines, hits, strict=True):
+            run = 0
+            for at in np.flatnonzero(hit):
+                if left[line[at]] == 0:
+                    continue
+                left[line[at]] -= 1
+                run += 1
+                if weight == 1.0 or at + 1 == len(line) or not hit[at + 1]:
+                    overlap, run = overlap + run**weight, 0
+        counts.append((n_hyp, n_ref, overlap))
+    return counts
 
 
 def union_lcs_counts(hyp: Column, ref: Column, weight: float = 1.0) -> Column:
@@ -141,7 +177,9 @@ def union_lcs_counts(hyp: Column, ref: Column, weight: float = 1.0) -> Column:
 
     @F.pandas_udf(COUNTS)
     def counts(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        rows = [_union_counts(list(h), list(r), weight) for h, r in zip(hyps, refs, strict=True)]
+        rows = []
+        for at in range(0, len(hyps), PAIRS):
+            rows += _batch_counts(hyps.iloc[at:at + PAIRS], refs.iloc[at:at + PAIRS], weight)
         return pd.DataFrame(rows, columns=["hyp", "ref", "overlap"], dtype="float64")
 
     # Not deterministic by declaration: a filter on the score must not run the UDF again.

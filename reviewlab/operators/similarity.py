@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +27,21 @@ def mean_vectors(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
     """One row per id: for each text column the mean vector of its known tokens.
 
     ``texts`` maps output column to token column. A column is NULL where no token is
-    known. All texts share one lookup and one aggregation per (id, text).
+    known. All texts share one lookup. Rows are placed by id once, which serves all further
+    steps; where the vectors are broadcast nothing else is shuffled.
     """
-    sides = F.array(*[F.struct(F.lit(name).alias("side"), tokens.alias("tokens"))
-                      for name, tokens in texts.items()])
-    long = df.select(row_id, F.inline(sides))
-    hits = lookup_vectors(long, vectors, [row_id, "side"], **scale)
-    vec = array_to_vector(F.col("vec").cast("array<double>"))
-    means = [
-        F.max(F.when(F.col("side") == name, F.col("mean"))).alias(name) for name in texts
-    ]
-    per_side = hits.groupBy(row_id, "side").agg(vector_to_array(Summarizer.mean(vec)).alias("mean"))
-    return per_side.groupBy(row_id).agg(*means)
+    size = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    placed = df.select(row_id, *[tokens.alias(f"_t{i}") for i, tokens in enumerate(texts.values())]).repartition(row_id)
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"_t{i}").alias("tokens"))
+                      for i, name in enumerate(texts)])
+    hits = lookup_vectors(placed.select(row_id, F.inline(sides)), vectors, [row_id, "side"], **scale)
+    # A plain average per dimension: its buffer has a fixed width, so rows are combined in a
+    # hash table before any shuffle.
+    mean = [F.avg(F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
+    per_side = hits.groupBy(row_id, "side").agg(*mean).select(
+        row_id, "side", F.array(*[F.col(f"_d{i}") for i in range(size)]).alias("mean"))
+    return per_side.groupBy(row_id).agg(*[
+        F.any_value(F.when(F.col("side") == name, F.col("mean")), F.lit(True)).alias(name) for name in texts])
 
 
 def with_word_vector_cosine(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -129,29 +130,51 @@ def dense_index(df: DataFrame, order: Sequence[Column], out: str, total: str | N
     return numbered.withColumn(out, F.col(out) - 1)
 
 
+ACCURACY = 10_000
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row of quantiles with linear interpolation; NULLs are left out.
+    """One row of exact quantiles with linear interpolation; NULLs are left out.
 
-    Equal values are counted first, so a value that fills a third of the table is one row.
+    An approximate quantile sketch brackets each quantile within a few thousandths of the
+    rows, a count proves the brackets right, and only rows inside a bracket are counted by
+    value and ordered. A bracket the count does not confirm is opened to all rows.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n"))
-    cumulated = running_total(counts, [], [F.col("_v")], F.col("_n"), "_upto", "_all")
-
-    def value_at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-
-    parts = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        parts += [value_at(F.floor(at)).alias(f"_lo{i}"), value_at(F.ceil(at)).alias(f"_hi{i}")]
-    picked = cumulated.agg(F.max("_all").alias("_all"), *parts)
+    x = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    around = [min(max(p + side / ACCURACY, 0.0), 1.0) for p in probs for side in (-4, 4)]
+    seen = x.agg(F.count("*").alias("n"), F.percentile_approx("_v", around, ACCURACY).alias("e")).first()
+    if not seen.n:
+        return x.agg(*[F.max("_v").alias(name) for name in names])
+    places = [p * (seen.n - 1) for p in probs]
+    bounds = [(seen.e[2 * i], seen.e[2 * i + 1]) for i in range(len(probs))]
+    counts = x.agg(*[F.count_if(F.col("_v") < lo).alias(f"below{i}") for i, (lo, _) in enumerate(bounds)],
+                   *[F.count_if(F.col("_v") <= hi).alias(f"upto{i}") for i, (_, hi) in enumerate(bounds)]).first()
+    inside, below = [], []
+    for i, (lo, hi) in enumerate(bounds):
+        sure = counts[f"below{i}"] <= math.floor(places[i]) and counts[f"upto{i}"] > math.ceil(places[i])
+        inside.append(F.col("_v").between(lo, hi) if sure else F.lit(True))
+        below.append(counts[f"below{i}"] if sure else 0)
+    which = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]), lambda i: i.isNotNull())
+    values = x.where(reduce(lambda a, b: a | b, inside)).groupBy("_v").agg(F.count("*").alias("_n"))
+    cumulated = running_total(values.withColumn("_q", F.explode(which)), ["_q"], [F.col("_v")], F.col("_n"), "_upto")
+
+    def value_at(i: int, rank: int) -> Column:
+        return F.min(F.when((F.col("_q") == i) & (F.col("_upto") > rank - below[i]), F.col("_v")))
+
     exprs = []
-    for i, (p, name) in enumerate(zip(probs, names, strict=True)):
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        share = at - F.floor(at)
-        exprs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(name))
-    return picked.select(*exprs)
+    for i, name in enumerate(names):
+        low, high = value_at(i, math.floor(places[i])), value_at(i, math.ceil(places[i]))
+        exprs.append((low + (high - low) * F.lit(places[i] - math.floor(places[i]))).alias(name))
+    return cumulated.agg(*exprs)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out rows for costly work per row, if they come from fewer files than there are cores.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 # ------------------------------------------------------------------- next row
