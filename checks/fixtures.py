@@ -137,7 +137,10 @@ def conversation_words(spark: SparkSession, sf: str) -> DataFrame:
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     words = conversation_words(spark, sf).where("word NOT LIKE 'z%'").withColumn("vec_id", F.expr(VECTOR_KEY))
     vecs = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return words.join(vecs, "vec_id").select("word", "vec")
+    # Vectors are a stored table, not a step of the job that looks words up.
+    path = scratch(spark)
+    words.join(vecs, "vec_id").select("word", "vec").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def with_sentence_vectors(spark: SparkSession, sf: str, df: DataFrame, cols: dict[str, int]) -> DataFrame:

@@ -19,6 +19,7 @@ from reviewlab.operators.models import (
     batched_map, encode_texts, generate_replies, score_labels, score_labels_batch, tag_entities,
 )
 from reviewlab.plans import jobs
+from reviewlab.scale import compute_once
 from reviewlab.sources.tables import read_columnar
 
 
@@ -452,7 +453,7 @@ FLAGSHIP = rows(f"""SELECT p.store, count(*) AS pairs, round(avg(t.score), 6) AS
 def usable_pairs_per_store(spark, sf):
     """Which masked pairs are usable for training, and how similar are they, per store?"""
     masked = jobs.clean_and_mask(review_pairs(spark, sf))
-    contact = masked.withColumn("reply", jobs.additional_masking(F.col("reply")))
+    contact = compute_once(masked, {"reply": jobs.additional_masking(F.col("reply"))})
     kept = length_band(contact, LIMITS, inclusive=False)
     scored = similarity.with_tfidf(similarity.with_tokens(kept, {"a": "review", "b": "reply"}),
                                    {"tfidf": (F.col("a"), F.col("b"))})

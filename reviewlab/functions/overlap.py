@@ -13,31 +13,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold_counts(a: Column, b: Column, names: list[str],
-                 add: Callable[[Column, Column], list[Column]]) -> Column:
-    """Sum ``add(count in a, count in b)`` over the distinct tokens of both lists.
+def _fold_counts(a: Column, b: Column, add: Callable[[Column, Column], list[Column]],
+                 finish: Callable[..., Column]) -> Column:
+    """``finish`` of the sums of ``add(count in a, count in b)`` over the tokens of both lists.
 
-    Returns a struct with the fields ``names``; NULL if one of the lists is NULL.
+    NULL if one of the lists is NULL. The result is taken inside the fold, so using it
+    several times does not repeat the fold.
     """
+    n = len(add(F.lit(0.0), F.lit(0.0)))
+
     def side(tokens: Column, flag: int) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(flag).alias("side")))
 
     def closed(acc: Column) -> list[Column]:
-        return [(acc[n] + x).alias(n) for n, x in zip(names, add(acc["in_a"], acc["in_b"]), strict=True)]
+        return [acc[f"s{i}"] + x for i, x in enumerate(add(acc["in_a"], acc["in_b"]))]
+
+    def state(token: Column, in_a: Column, in_b: Column, sums: list[Column]) -> Column:
+        return F.struct(token.alias("t"), in_a.alias("in_a"), in_b.alias("in_b"),
+                        *[x.alias(f"s{i}") for i, x in enumerate(sums)])
 
     def step(acc: Column, x: Column) -> Column:
         to_a = (1 - x["side"]).cast("double")
         to_b = x["side"].cast("double")
-        same = F.struct(acc["t"].alias("t"), (acc["in_a"] + to_a).alias("in_a"),
-                        (acc["in_b"] + to_b).alias("in_b"), *[acc[n].alias(n) for n in names])
-        fresh = F.struct(x["t"].alias("t"), to_a.alias("in_a"), to_b.alias("in_b"), *closed(acc))
-        return F.when(acc["t"] == x["t"], same).otherwise(fresh)
+        same = state(acc["t"], acc["in_a"] + to_a, acc["in_b"] + to_b, [acc[f"s{i}"] for i in range(n)])
+        return F.when(acc["t"] == x["t"], same).otherwise(state(x["t"], to_a, to_b, closed(acc)))
 
     zero = F.lit(0.0)
-    start = F.struct(F.lit(None).cast("string").alias("t"), zero.alias("in_a"), zero.alias("in_b"),
-                     *[zero.alias(n) for n in names])
+    start = state(F.lit(None).cast("string"), zero, zero, [zero] * n)
     merged = F.sort_array(F.concat(side(a, 0), side(b, 1)))
-    return F.aggregate(merged, start, step, lambda acc: F.struct(*closed(acc)))
+    return F.aggregate(merged, start, step, lambda acc: finish(*closed(acc)))
 
 
 # Smoothed inverse document frequency in a collection of two texts, ln(3 / (1 + df)) + 1.
@@ -51,9 +55,10 @@ def tfidf_pair_cosine(a: Column, b: Column) -> Column:
         idf = F.when((in_a > 0) & (in_b > 0), F.lit(IDF_IN_BOTH)).otherwise(F.lit(IDF_IN_ONE))
         return [in_a * in_b, in_a * in_a * idf * idf, in_b * in_b * idf * idf]
 
-    sums = _fold_counts(a, b, ["dot", "aa", "bb"], add)
-    cosine = F.try_divide(sums["dot"], F.sqrt(sums["aa"]) * F.sqrt(sums["bb"]))
-    return F.coalesce(cosine, F.lit(0.0))
+    def cosine(dot: Column, aa: Column, bb: Column) -> Column:
+        return F.try_divide(dot, F.sqrt(aa) * F.sqrt(bb))
+
+    return F.coalesce(_fold_counts(a, b, add, cosine), F.lit(0.0))
 
 
 def vector_cosine(a: Column, b: Column) -> Column:
@@ -83,8 +88,8 @@ def ngram_counts(hypothesis: Column, reference: Column, n: int) -> Column:
     """
     if n < 1:
         raise ValueError("n has to be at least 1")
-    overlap = _fold_counts(ngrams(hypothesis, n), ngrams(reference, n), ["overlap"],
-                           lambda x, y: [F.least(x, y)])["overlap"]
+    overlap = _fold_counts(ngrams(hypothesis, n), ngrams(reference, n),
+                           lambda x, y: [F.least(x, y)], lambda common: common)
     return F.struct((F.size(hypothesis) - (n - 1)).cast("double").alias("hyp"),
                     (F.size(reference) - (n - 1)).cast("double").alias("ref"),
                     overlap.alias("overlap"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlab.functions.overlap import tfidf_pair_cosine, vector_cosine
 from reviewlab.functions.text import tokenise
 from reviewlab.operators.pairing import lookup_vectors
+from reviewlab.scale import compute_once
 
 
 def with_tokens(df: DataFrame, texts: Mapping[str, str]) -> DataFrame:
@@ -19,7 +20,7 @@ def with_tokens(df: DataFrame, texts: Mapping[str, str]) -> DataFrame:
 
 def with_tfidf(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]) -> DataFrame:
     """Add two-text TF-IDF cosines; ``pairs`` maps new column to two token columns."""
-    return df.withColumns({new: tfidf_pair_cosine(a, b) for new, (a, b) in pairs.items()})
+    return compute_once(df, {new: tfidf_pair_cosine(a, b) for new, (a, b) in pairs.items()})
 
 
 def mean_vectors(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
@@ -35,11 +36,11 @@ def mean_vectors(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
     sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"_t{i}").alias("tokens"))
                       for i, name in enumerate(texts)])
     hits = lookup_vectors(placed.select(row_id, F.inline(sides)), vectors, [row_id, "side"], **scale)
-    # A plain average per dimension: its buffer has a fixed width, so rows are combined in a
-    # hash table before any shuffle.
-    mean = [F.avg(F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
-    per_side = hits.groupBy(row_id, "side").agg(*mean).select(
-        row_id, "side", F.array(*[F.col(f"_d{i}") for i in range(size)]).alias("mean"))
+    # A plain sum per dimension: its buffer has a fixed width, so rows are combined in a hash
+    # table before any shuffle.
+    sums = [F.sum(F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
+    per_side = hits.groupBy(row_id, "side").agg(F.count("*").alias("_n"), *sums).select(
+        row_id, "side", F.array(*[F.col(f"_d{i}") / F.col("_n") for i in range(size)]).alias("mean"))
     return per_side.groupBy(row_id).agg(*[
         F.any_value(F.when(F.col("side") == name, F.col("mean")), F.lit(True)).alias(name) for name in texts])
 
@@ -60,7 +61,7 @@ def with_word_vector_cosine(df: DataFrame, vectors: DataFrame, texts: Mapping[st
 
 def with_vector_cosine(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add cosines of sentence vectors held in columns of ``df``."""
-    return df.withColumns({new: vector_cosine(F.col(a), F.col(b)) for new, (a, b) in pairs.items()})
+    return compute_once(df, {new: vector_cosine(F.col(a), F.col(b)) for new, (a, b) in pairs.items()})
 
 
 PREDICTION_SCORES = ["tfidf_review", "tfidf_reply", "glove_review", "glove_reply",

@@ -22,15 +22,15 @@ from reviewlab.operators.similarity import (
     PREDICTION_SCORES, prediction_report, with_tfidf, with_tokens, with_vector_cosine, with_word_vector_cosine,
 )
 from reviewlab.operators.stats import grand_mean, mean_scores
+from reviewlab.scale import compute_once
 from reviewlab.sources.tables import write_columnar
 
 
 def clean_and_mask(df: DataFrame, compat: bool = False) -> DataFrame:
     """Collapse white space, then mask the row's customer and store in the reply."""
-    spaced = df.withColumns({c: collapse_space(F.col(c), compat) for c in ("menu", "review", "reply")
-                             if c in df.columns})
-    customer = mask_customer(F.col("reply"), F.col("customer_id"))
-    return spaced.withColumn("reply", mask_store(customer, F.col("store")))
+    spaced = {c: collapse_space(F.col(c), compat) for c in ("menu", "review", "reply") if c in df.columns}
+    customer = mask_customer(spaced["reply"], F.col("customer_id"))
+    return compute_once(df, {**spaced, "reply": mask_store(customer, F.col("store"))})
 
 
 def preprocess_reviews(df: DataFrame, gazetteer: DataFrame | None = None, match: str = "substring",

@@ -168,6 +168,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequ
     return cumulated.agg(*exprs)
 
 
+def compute_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for costly expressions that later filters and columns use.
+
+    A filter on a plain computed column is moved below it and computes it a second time.
+    A generator of exactly one row keeps the value and adds no shuffle.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in cols.items()])))
+    return df.select(*rest, made)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out rows for costly work per row, if they come from fewer files than there are cores.
 
