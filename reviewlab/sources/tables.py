@@ -30,6 +30,7 @@ def read_reviews(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
                  multiline: bool = True) -> DataFrame:
     """CSV with a header line, in UTF-8 with or without a byte order mark.
 
+    Empty cells, quoted or not, are missing values.
     Quoted line breaks need ``multiline``, which reads a file in one task: keep such files
     to a few hundred megabytes, or switch it off where texts hold no line breaks.
     """
