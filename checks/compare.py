@@ -33,6 +33,9 @@ def as_rows(names: list[str], data: list) -> Counter:
     return Counter(tuple(cell(r[i]) for i in order) for r in data)
 
 
+EMPTY = "no rows on both sides"
+
+
 def differences(spark, con, sf: str, query, sql: str) -> str:
     """Empty if both sides give the same columns, types and rows."""
     ours = query(spark, sf)
@@ -42,7 +45,7 @@ def differences(spark, con, sf: str, query, sql: str) -> str:
         return f"columns {sorted(ours.columns)} / {sorted(names)}"
     a, b = as_rows(ours.columns, ours.collect()), as_rows(names, theirs.fetchall())
     if a == b:
-        return "" if a else "no rows"
+        return "" if a else EMPTY
     only_a, only_b = a - b, b - a
     return (f"rows {a.total()} / {b.total()}, {only_a.total()} differ\n    spark {next(iter(only_a), None)!r}"
             f"\n    sql   {next(iter(only_b), None)!r}")
