@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab import values as v
@@ -22,16 +22,12 @@ def build_vocab(tokens: DataFrame, word: str = "word", first_id: int = 0) -> Dat
 def extend_vocab(vocab: DataFrame, tokens: Sequence[str] = v.MASK_TOKENS) -> DataFrame:
     """Append tokens behind the last id; those the vocabulary already holds keep theirs."""
     last = vocab.agg(F.max("id")).scalar()
-    spark = vocab.sparkSession
-    listed = spark.createDataFrame(list(enumerate(dict.fromkeys(tokens), 1)), "at int, word string")
+    listed = vocab.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(tokens), 1)), "at int, word string")
     known = vocab.where(F.col("word").isin(*tokens)).select("word")
-    fresh = listed.join(F.broadcast(known), "word", "left_anti")
-    ahead = listed.join(F.broadcast(known), "word", "left_semi").select(F.col("at").alias("k"))
-    # Positions close up over tokens that need no new id; both tables have a handful of rows.
-    moved = fresh.join(F.broadcast(ahead), F.col("k") < F.col("at"), "left").groupBy("word", "at").agg(
-        F.count("k").alias("skipped"))
-    new_id = (F.coalesce(last, F.lit(-1)) + F.col("at") - F.col("skipped")).cast("int")
-    return vocab.unionByName(moved.select("word", new_id.alias("id")))
+    fresh = listed.join(known, "word", "left_anti")
+    # The window runs over the listed tokens only.
+    ahead = F.row_number().over(Window.orderBy("at"))
+    return vocab.unionByName(fresh.select("word", (F.coalesce(last, F.lit(-1)) + ahead).cast("int").alias("id")))
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, cols: Mapping[str, str], unknown: int,
@@ -63,11 +59,19 @@ def split_train_test_val(df: DataFrame, test: float = 0.2, val: float = 0.2, see
         h = F.substring(digest, 1, 8)
         first, second = (f"{min(int(share * 16**8), 16**8 - 1):08x}" for share in (test, test + val))
         return df.withColumn("split", F.when(h < first, "test").when(h < second, "val").otherwise("train"))
-    keys = df.select(row_id, digest.alias("_h"))
+    keys = df.select(digest.alias("_h"), row_id)
     placed = dense_index(keys, [F.col("_h"), F.col(row_id)], "_at", total="_n")
     n = F.col("_n").cast("double")
     n_test = F.ceil(n * test)
     rest = n - n_test
     n_val = F.ceil(F.coalesce(F.try_divide(n * val, rest), F.lit(0.0)) * rest)
-    split = F.when(F.col("_at") < n_test, "test").when(F.col("_at") < n_test + n_val, "val").otherwise("train")
-    return df.join(placed.select(row_id, split.alias("split")), row_id)
+
+    def key_at(rank: Column) -> Column:
+        return placed.where(F.col("_at") == rank).select(F.struct("_h", row_id).alias("k")).scalar()
+
+    # Rows are compared with the first key of val and of train, so the table is not joined.
+    key = F.struct(digest.alias("_h"), F.col(row_id))
+    first_val, first_train = key_at(n_test), key_at(n_test + n_val)
+    split = (F.when(first_val.isNull() | (key < first_val), "test")
+             .when(first_train.isNull() | (key < first_train), "val").otherwise("train"))
+    return df.withColumn("split", split)

@@ -19,19 +19,18 @@ def find_entities(df: DataFrame, col: str, gazetteer: DataFrame, row_id: str = "
                   **scale: int) -> DataFrame:
     """One row per (row, term): gazetteer terms whose words stand in the text in a row.
 
-    Works for a gazetteer of any size: runs of words up to the longest term are joined
+    Works for a gazetteer of any size: runs of as many words as some term has are joined
     with the terms.
     """
     word = f"[{v.WORD}]+"
     terms = gazetteer.select(F.col("term").alias("word"), "type",
                              F.array_join(regex_extract(F.col("term"), word), " ").alias("key"),
                              F.size(regex_extract(F.col("term"), word)).alias("n")).where(F.col("n") > 0)
-    longest = terms.agg(F.max("n")).first()[0] or 0
-    if not longest:
-        return df.select(row_id).limit(0).join(terms.select("word", "type"), F.lit(False))
+    # Lengths that occur among the terms, a handful of numbers.
+    lengths = sorted(r.n for r in terms.select("n").distinct().collect())
     tokens = df.select(row_id, regex_extract(F.col(col), word).alias("_tokens"))
-    runs = F.array_distinct(F.concat(*[ngrams(F.col("_tokens"), n) for n in range(1, longest + 1)]))
-    spans = tokens.select(row_id, F.explode(runs).alias("key"))
+    runs = [ngrams(F.col("_tokens"), n) for n in lengths] or [F.array().cast("array<string>")]
+    spans = tokens.select(row_id, F.explode(F.array_distinct(F.concat(*runs))).alias("key"))
     return lookup_join(spans, terms.drop("n"), ["key"], [row_id, "key"], **scale).select(row_id, "word", "type")
 
 

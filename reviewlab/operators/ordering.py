@@ -41,7 +41,14 @@ def rank_stores(df: DataFrame, store: str = "store") -> DataFrame:
 
 
 def assign_block(df: DataFrame, n: int, order: str = "review_id") -> DataFrame:
-    """Equal blocks in row order: block = position // (rows // n + 1)."""
-    numbered = dense_index(df, [F.col(order)], "_at", total="_rows")
+    """Equal blocks in row order: block = position // (rows // n + 1).
+
+    ``order`` is unique. Only that column is ordered; it yields the first value of every
+    block, and rows are placed by comparing with those at most ``n`` values.
+    """
+    numbered = dense_index(df.select(order), [F.col(order)], "_at", total="_rows")
     unit = F.floor(F.col("_rows") / n) + 1
-    return numbered.withColumn("block", F.floor(F.col("_at") / unit)).drop("_at", "_rows")
+    firsts = numbered.where((F.col("_at") > 0) & (F.col("_at") % unit == 0))
+    cuts = firsts.agg(F.collect_list(order).alias("c")).scalar()
+    block = F.size(F.filter("_cuts", lambda first: first <= F.col(order))).cast("bigint")
+    return df.withColumn("_cuts", cuts).withColumn("block", block).drop("_cuts")

@@ -7,15 +7,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reviewlab import values as v
 from reviewlab.scale import exact_quantiles, running_total
 
 
+def _comparable(df: DataFrame, col: str) -> Column:
+    """The column, texts as a 256-bit digest: a distinct count then moves 32 bytes per text."""
+    kind = df.schema[col].dataType
+    return F.unhex(F.sha2(F.col(col), 256)) if isinstance(kind, StringType) else F.col(col)
+
+
 def nunique(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-NULL values of every column, one row."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(c) for c in cols])
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+    return df.agg(*[F.count_distinct(_comparable(df, c)).alias(c) for c in cols])
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
@@ -58,7 +66,7 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def count_values(df: DataFrame, col: str) -> DataFrame:
     """Number of different values, a missing value counting once."""
     missing = F.coalesce(F.max(F.col(col).isNull().cast("bigint")), F.lit(0))
-    return df.agg((F.count_distinct(col) + missing).alias("n"))
+    return df.agg((F.count_distinct(_comparable(df, col)) + missing).alias("n"))
 
 
 def _per_literal(df: DataFrame, literals: Sequence[str], exprs: list[Column], names: list[str]) -> DataFrame:
