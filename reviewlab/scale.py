@@ -4,8 +4,8 @@
   arbitrarily large groups) without a single-task window: rows are range partitioned,
   so a group is split into pieces no larger than a partition, and only one total per
   (group, piece) goes through a second, small window.
-* ``next_in_group`` does the same for "next row" lookups over integer positions,
-  with value blocks instead of sampled ranges, hence without a checkpoint.
+* ``next_in_group`` does the same for "next row" lookups over integer positions, with
+  blocks of positions instead of sampled ranges, hence without a checkpoint.
 * ``lookup_join`` broadcasts a lookup table after measuring it; beyond the limit it shuffles
   and salts the hot keys.
 """
@@ -194,35 +194,38 @@ def next_in_group(df: DataFrame, group: str, position: str, cols: Sequence[str],
                   block: int = 4096, keep_last: bool = True) -> DataFrame:
     """Add ``next_<col>`` from the row with the next higher ``position`` of the group.
 
-    The last row of a group has none; ``keep_last`` says whether it stays in the result.
+    ``position`` is an integer, unique within the group. The last row of a group has no
+    next one; ``keep_last`` says whether it stays in the result.
 
-    ``position`` is an integer, unique within the group. Rows are windowed per
-    (group, block of positions), so a task never sorts more than ``block`` rows of a
-    group. Only groups that reach beyond one block take a second step, in which the
-    last row of a block looks into the next block: one thin row set per block edge.
-    Where no group is that long, the filter on ``position`` reaches the scan and the
-    second step is empty.
+    Rows are windowed per (group, block of positions), so a task never sorts more than
+    ``block`` rows of a group. If the smallest and largest position of the table show that
+    no group leaves its first block, that is all. Otherwise rows of the groups that do are
+    taken a second time, reduced to the edges of their blocks, and the last row of a block
+    finds the first row of the next one there.
     """
-    key = F.floor(F.col(position) / F.lit(block))
-    tagged = df.withColumn("_block", key)
-    ahead = Window.partitionBy(group, "_block").orderBy(position)
-    follow = F.struct(F.col(position).alias("_p"), *[F.col(c) for c in cols])
-    seen = tagged.withColumn("_next", F.lead(follow).over(ahead)).withColumn(
-        "_rank", F.row_number().over(ahead))
-
-    long_groups = df.where((F.col(position) >= block) | (F.col(position) < 0)).select(group).distinct()
-    is_last = F.col("_next").isNull()
-    edges = seen.where(is_last | (F.col("_rank") == 1)).join(long_groups, group, "left_semi")
-    over_edges = Window.partitionBy(group).orderBy(position)
-    edge_rows = (
-        edges.withColumn("_edge_next", F.lead(follow).over(over_edges)).where(is_last)
-        .withColumn("_next", F.col("_edge_next")).drop("_edge_next")
-    )
-    every = seen.where(~is_last)
+    names = [f"next_{c}" for c in cols]
+
+    def look_ahead(rows: DataFrame, *keys: str, suffix: str = "") -> DataFrame:
+        ahead = Window.partitionBy(*keys).orderBy(position)
+        leads = {f"next_{c}{suffix}": F.lead(c).over(ahead) for c in cols}
+        return rows.withColumns({**leads, f"_found{suffix}": F.lead(position).over(ahead).isNotNull(),
+                                 f"_rank{suffix}": F.row_number().over(ahead)})
+
+    tagged = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)))
+    seen = look_ahead(tagged, group, "_block")
+    out = [*df.columns, *names]
+    span = df.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
+    if span.low is None or (span.low >= 0 and span.high < block):
+        return (seen if keep_last else seen.where("_found")).select(*out)
+
+    beyond = (F.col(position) >= block) | (F.col(position) < 0)
+    long_groups = df.where(beyond).select(group).distinct()
+    long_rows = look_ahead(lookup_join(tagged, long_groups, [group], [group, position], "left_semi"), group, "_block")
+    edges = look_ahead(long_rows.where(~F.col("_found") | (F.col("_rank") == 1)), group, suffix="_edge")
+    over_edge = edges.where(~F.col("_found")).select(
+        *df.columns, *[F.col(f"{n}_edge").alias(n) for n in names], "_found_edge")
+    every = seen.where("_found").select(*out)
     if keep_last:
-        every = every.unionByName(seen.where(is_last).join(long_groups, group, "left_anti"))
-        every = every.unionByName(edge_rows)
-    else:
-        every = every.unionByName(edge_rows.where(F.col("_next").isNotNull()))
-    named = [F.col(f"_next.{c}").alias(f"next_{c}") for c in cols]
-    return every.select(*df.columns, *named)
+        short = seen.where(~F.col("_found")).join(long_groups, group, "left_anti")
+        return every.unionByName(short.select(*out)).unionByName(over_edge.select(*out))
+    return every.unionByName(over_edge.where("_found_edge").select(*out))
