@@ -206,6 +206,19 @@ for _n in (1, 2, 3):
     _rouge_check(_n)
 
 
+CHARACTERS = ROUGE_INPUT.replace(whole_sql("predicted_reply"), f"list_filter(string_split(array_to_string({whole_sql('predicted_reply')}, ' '), ''), lambda c: c <> ' ')").replace(
+    whole_sql("reply") + " AS", f"list_filter(string_split(array_to_string({whole_sql('reply')}, ' '), ''), lambda c: c <> ' ') AS")
+
+
+@check(rows("SELECT review_id, round(p, 6) AS p, round(r, 6) AS r, round(f, 6) AS f FROM rg", PREDICTIONS, CHARACTERS,
+            rouge_n_sql("texts", 2, "rg")))
+def rouge_2_characters(spark, sf):
+    tokens = predictions(spark, sf).select(
+        "review_id", rouge.whole_tokens(F.col("predicted_reply"), by="characters").alias("hyp_tokens"),
+        rouge.whole_tokens(F.col("reply"), by="characters").alias("ref_tokens"))
+    return _scores(rouge.rouge_n(tokens, 2, "s"), "review_id", "s")
+
+
 @check(rows("SELECT review_id, round(f, 6) AS f FROM rg", PREDICTIONS, ROUGE_INPUT, rouge_n_sql("texts", 1, "rg", 0.8)))
 def f_score(spark, sf):
     scored = rouge.rouge_n(_rouge_input(spark, sf), 1, "s")
@@ -285,6 +298,17 @@ def rouge_w(spark, sf):
     return _scores(rouge.rouge_lcs(_lines(spark, sf), "s", weight=1.2), "review_id", "s")
 
 
+@check()
+def rouge_l_best_reference(spark, sf):
+    sides = F.array(F.struct(F.lit(0).alias("ref_id"), F.col("reply").alias("text")),
+                    F.struct(F.lit(1).alias("ref_id"), F.col("review").alias("text")))
+    refs = predictions(spark, sf).select(F.col("review_id").alias("sample_id"), "predicted_reply", F.inline(sides))
+    lines = refs.select("sample_id", "ref_id", rouge.sentence_list(F.col("predicted_reply")).alias("hyp_lines"),
+                        rouge.sentence_list(F.col("text")).alias("ref_lines"))
+    best = rouge.rouge_aggregate(rouge.rouge_lcs(lines, "s"), "s", "best")
+    return best.select("sample_id", *[F.round(c, 6).alias(c) for c in ("p", "r", "f")])
+
+
 @check()
 def prediction_rouge_l_mean(spark, sf):
     scored = rouge.rouge_lcs(_lines(spark, sf), "s").select("s.*")
@@ -355,7 +379,7 @@ def mean_scores(spark, sf):
 
 @check()
 def evaluate_predictions(spark, sf):
-    means = jobs.evaluate_predictions(_encoded_predictions(spark, sf), word_vectors(spark, sf), ENCODED)
+    means = jobs.evaluate_predictions(_encoded_predictions(spark, sf), word_vectors(spark, sf), ENCODED, weight=1.2)
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 

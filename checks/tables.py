@@ -232,6 +232,17 @@ def histogram(spark, sf):
     return stats.histogram(table(spark, sf, "events"), "value", 20)
 
 
+# Bin width: the smaller of range / (log2 n + 1) and 2 * IQR / cbrt n, at least 1 for whole numbers.
+@check("""WITH d AS (SELECT n_chars AS x FROM documents),
+    s AS (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi, count(*) AS n,
+      quantile_cont(x::DOUBLE, 0.75) - quantile_cont(x::DOUBLE, 0.25) AS iqr FROM d),
+    b AS (SELECT *, ceil((hi - lo) / greatest(least((hi - lo) / (log2(n) + 1), 2 * iqr / cbrt(n)), 1)) AS bins FROM s)
+    SELECT CAST(least(floor((x - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS bin, count(*) AS n FROM d, b GROUP BY 1""")
+def histogram_auto(spark, sf):
+    lengths = table(spark, sf, "documents").select("n_chars")
+    return stats.histogram(lengths, "n_chars", stats.auto_bins(lengths, "n_chars"))
+
+
 @check("""SELECT round(avg(l_extendedprice), 6) AS l_extendedprice, round(avg(l_discount), 6) AS l_discount,
     round(avg(l_tax), 6) AS l_tax, round((avg(l_extendedprice) + avg(l_discount) + avg(l_tax)) / 3, 6) AS grand_mean
     FROM lineitem""")

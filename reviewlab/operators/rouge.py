@@ -17,16 +17,29 @@ from reviewlab.functions.text import normalise_text, truncate_sentences, truncat
 COUNTS = "struct<hyp double, ref double, overlap double>"
 
 
-def whole_tokens(text: Column, limit: int | None = 1000, unit: str = "words") -> Column:
-    """Normalised words of a text taken as a whole, truncated first (``None``: no limit)."""
+def _tokens(normal: Column, by: str) -> Column:
+    """Words, or single characters, of a normalised text."""
+    if by == "words":
+        return words(normal)
+    if by == "characters":
+        return F.filter(F.split(normal, ""), lambda c: (c != "") & (c != " "))
+    raise ValueError(f"unknown token kind {by!r}")
+
+
+def whole_tokens(text: Column, limit: int | None = 1000, unit: str = "words", by: str = "words") -> Column:
+    """Normalised tokens of a text taken as a whole, truncated first (``None``: no limit).
+
+    ``by`` is ``words`` or ``characters``. For another tokenizer, give ``rouge_n`` the
+    columns made by ``models.encode_texts``.
+    """
     cut = F.replace(text, F.lit("\n"), F.lit(" ")) if limit is None else truncate_text(text, limit, unit)
-    return words(normalise_text(cut))
+    return _tokens(normalise_text(cut), by)
 
 
-def sentence_list(text: Column, limit: int | None = 1000, unit: str = "words") -> Column:
-    """Normalised lines of a text, truncated first (``None``: no limit)."""
+def sentence_list(text: Column, limit: int | None = 1000, unit: str = "words", by: str = "words") -> Column:
+    """Normalised lines of a text, truncated first (``None``: no limit), tokens between blanks."""
     lines = F.split(text, "\n") if limit is None else truncate_sentences(text, limit, unit)
-    return F.transform(lines, normalise_text)
+    return F.transform(lines, lambda line: F.array_join(_tokens(normalise_text(line), by), " "))
 
 
 def rouge_n(df: DataFrame, n: int, out: str, hyp: str = "hyp_tokens", ref: str = "ref_tokens",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegralType, StringType
 
 from reviewlab import values as v
 from reviewlab.scale import exact_quantiles, running_total
@@ -48,6 +49,25 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     return known.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def auto_bins(df: DataFrame, col: str) -> int:
+    """Number of bins from the spread of the values.
+
+    The narrower of two widths is used: range / (log2 n + 1), and 2 * (q75 - q25) / n^(1/3)
+    where that is not 0. Whole-number columns get no bins narrower than 1.
+    """
+    d = describe(df, col).first()
+    n, span = d["count"], (d["max"] or 0.0) - (d["min"] or 0.0)
+    if not n or not span:
+        return 1
+    width = span / (math.log2(n) + 1)
+    quartiles = 2 * (d["q75"] - d["q25"]) / n ** (1 / 3)
+    if quartiles > 0:
+        width = min(width, quartiles)
+    if isinstance(df.schema[col].dataType, IntegralType):
+        width = max(width, 1.0)
+    return math.ceil(span / width)
+
+
 def mean_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean of every score column, one row."""
     return df.agg(*[F.avg(c).alias(c) for c in cols])

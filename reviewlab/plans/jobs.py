@@ -17,7 +17,7 @@ from reviewlab.operators.examples import split_train_test_val
 from reviewlab.operators.filters import length_band, similarity_gate
 from reviewlab.operators.masking import mask_entities
 from reviewlab.operators.models import Model, score_labels, score_labels_batch, tag_entities
-from reviewlab.operators.rouge import rouge_lcs, rouge_mean, sentence_list
+from reviewlab.operators.rouge import rouge_lcs, sentence_list
 from reviewlab.operators.similarity import (
     PREDICTION_SCORES, prediction_report, with_tfidf, with_tokens, with_vector_cosine, with_word_vector_cosine,
 )
@@ -116,18 +116,16 @@ def mean_emotion_sim(report: DataFrame) -> DataFrame:
 
 
 def evaluate_predictions(predictions: DataFrame, vectors: DataFrame, sentence_vectors: Sequence[str],
-                         **scale: int) -> DataFrame:
-    """One row: means of the six similarities, their mean, mean ROUGE-L of predictions."""
+                         weight: float = 1.0, **scale: int) -> DataFrame:
+    """One row: means of the six similarities, their mean, mean ROUGE-L and ROUGE-W.
+
+    With weight 1 ROUGE-W is ROUGE-L and is not computed again.
+    """
     scored = prediction_report(predictions, vectors, sentence_vectors, **scale)
     lines = scored.withColumns({"hyp_lines": sentence_list(F.col("predicted_reply")),
                                 "ref_lines": sentence_list(F.col("reply"))})
-    rouge = rouge_lcs(lines, "rouge_l").select(*PREDICTION_SCORES, "rouge_l.*")
-    means = mean_scores(rouge, [*PREDICTION_SCORES, "p", "r", "f"])
-    named = means.withColumnsRenamed({"p": "rouge_l_p", "r": "rouge_l_r", "f": "rouge_l_f"})
-    return grand_mean(named, PREDICTION_SCORES)
-
-
-__all__ = [
-    "additional_masking", "clean_and_mask", "emotion_report", "evaluate_predictions", "mean_emotion_sim",
-    "preprocess_reviews", "rouge_mean", "score_pairs", "select_training_set", "with_emotions",
-]
+    rouge = rouge_lcs(lines, "rouge_l")
+    rouge = rouge.withColumn("rouge_w", F.col("rouge_l")) if weight == 1.0 else rouge_lcs(rouge, "rouge_w", weight=weight)
+    parts = {f"{m}_{x}": F.col(f"{m}.{x}") for m in ("rouge_l", "rouge_w") for x in ("p", "r", "f")}
+    flat = rouge.select(*PREDICTION_SCORES, *[c.alias(name) for name, c in parts.items()])
+    return grand_mean(mean_scores(flat, [*PREDICTION_SCORES, *parts]), PREDICTION_SCORES)

@@ -76,6 +76,15 @@ def _element(html: Column, tag: str, attrs: Mapping[str, str]) -> Column:
     return first_text(html, tag, f'<{tag}(?=[\\s>]){wanted}(?:[^>"]|"[^"]*")*>')
 
 
+STORE_ENTRY = opening("div", class_="restaurant-name ng-binding")
+
+
+def extract_stores(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
+    """Store names of listing pages, in page order."""
+    name = unescape(F.regexp_extract("block", "^([^<]*)<", 1))
+    return extract_blocks(pages, STORE_ENTRY, {"store": name}, html=html, row_id=row_id)
+
+
 def extract_reviews(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
     """Answered reviews of review pages, with placeholders for missing ratings and menus."""
     tag, attrs = STORE_NAME

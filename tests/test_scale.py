@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -114,6 +115,17 @@ def test_histogram_of_equal_values_and_edges(spark):
     assert sorted(tuple(r) for r in edges.collect()) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]
 
 
+def test_bins_equal_numpy(spark):
+    r = random.Random(3)
+    for kind, values in (("double", [r.gauss(0, 3) for _ in range(500)]), ("long", [r.randint(0, 12) for _ in range(300)]),
+                         ("double", [1.0] * 20)):
+        df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+        assert stats.auto_bins(df, "x") == len(np.histogram_bin_edges(np.array(values), "auto")) - 1
+    # Equal quartiles: only the number of rows counts (numpy changed this case over its versions).
+    flat = spark.createDataFrame([(0.0,)] * 90 + [(1.0,)] * 10, "x double")
+    assert stats.auto_bins(flat, "x") == math.ceil(math.log2(100) + 1)
+
+
 def test_store_order_and_totals(spark):
     rows = [(5, "b", "x"), (1, "c", None), (3, "b", "y"), (2, "a", "z"), (4, "c", "w")]
     df = spark.createDataFrame(rows, "review_id long, store string, reply string")

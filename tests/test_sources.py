@@ -70,6 +70,12 @@ def test_review_page(spark):
                     ("Cafe & Co", v.NO_RATING, v.NO_RATING, "2", v.NO_MENU, "aa**님", "so <good>", "again")]
 
 
+def test_store_list(spark):
+    html = "".join(f'<div><div class="restaurant-name ng-binding" ng-bind="x">{n}</div>9</div>' for n in ("A &amp; B", "C"))
+    got = pages.extract_stores(spark.createDataFrame([(1, f"<body>{html}</body>")], "page_id long, html string"))
+    assert sorted((r.at, r.store) for r in got.collect()) == [(0, "A & B"), (1, "C")]
+
+
 EVENT = T.StructType([T.StructField("store", T.StringType()), T.StructField("reply", T.StringType())])
 
 
