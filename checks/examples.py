@@ -246,5 +246,5 @@ _nucleus("top_k_nucleus_filter", 12, 0.8, 20.0)
     (CAST('0x' || substr(md5(concat('3:', grp, '|', token)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM kept) GROUP BY grp""",
             nucleus_sql(0, 0.9, 10.0)))
 def sample_candidate(spark, sf):
-    kept = candidates.nucleus_filter(_candidates(spark, sf), top_p=0.9, temperature=10.0)
+    kept = candidates.nucleus_filter(_candidates(spark, sf), top_p=0.9, temperature=10.0, renormalise=False)
     return candidates.sample_candidate(kept, seed=3)

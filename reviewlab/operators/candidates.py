@@ -5,38 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlab.scale import PIECE, add_running_total, null_safe_join, ordered_pieces
+from reviewlab.scale import lookup_join, running_total
+from reviewlab.session import cut_lineage
 
 
 def nucleus_filter(df: DataFrame, group: str = "grp", token: str = "token", score: str = "score",
-                   top_k: int = 0, top_p: float = 0.0, temperature: float = 1.0) -> DataFrame:
+                   top_k: int = 0, top_p: float = 0.0, temperature: float = 1.0, renormalise: bool = True,
+                   **scale: int) -> DataFrame:
     """Candidates that survive top-k and nucleus filtering, with their probability.
 
     Scores are divided by the temperature. Top-k keeps candidates tied with the k-th.
     Going down by score, a candidate stays while the probability summed up before it is
-    not above ``top_p``; the first always stays. ``prob`` is renormalised over the kept.
-    0 switches a filter off. ``token`` is unique within a group.
+    not above ``top_p``; the first always stays. 0 switches a filter off. ``token`` is
+    unique within a group. ``prob`` is the share among the kept candidates; without
+    ``renormalise`` the share among those the nucleus is cut from, which takes one pass
+    less and is all that a draw needs.
+
+    Groups may be of any size: their largest score and kept mass are looked up, and the
+    running total is taken over pieces.
     """
     scaled = df.withColumn("_s", F.col(score) / F.lit(float(temperature)))
-    best_first = [F.desc("_s"), F.asc(token)]
     if top_k > 0:
         by_score = Window.partitionBy(group).orderBy(F.desc("_s"))
         scaled = scaled.withColumn("_rank", F.rank().over(by_score)).where(F.col("_rank") <= top_k).drop("_rank")
-
-    # Groups of any size: pieces of a group carry its maximum, then its running total.
-    pieces = ordered_pieces(scaled, [group], best_first)
-    tops = pieces.groupBy(group, PIECE).agg(F.max("_s").alias("_top"))
-    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(group)))
-    weighted = null_safe_join(pieces, tops, [group, PIECE]).withColumn("_w", F.exp(F.col("_s") - F.col("_top")))
-    summed = add_running_total(weighted, [group], best_first, F.col("_w"), "_upto", "_all")
-    before = (F.col("_upto") - F.col("_w")) / F.col("_all")
+    tops = cut_lineage(scaled.groupBy(group).agg(F.max("_s").alias("_top")))
+    weighted = lookup_join(scaled, tops, [group], [group, token], **scale).withColumn(
+        "_w", F.exp(F.col("_s") - F.col("_top"))).drop("_top")
+    summed = running_total(weighted, [group], [F.desc("_s"), F.asc(token)], F.col("_w"), "_upto", "_all")
     if top_p > 0:
-        summed = summed.where(before <= F.lit(top_p))
-    kept = summed.withColumn("_p", F.col("_w") / F.col("_all"))
-    mass = kept.groupBy(group, PIECE).agg(F.sum("_p").alias("_mass"))
-    mass = mass.withColumn("_mass", F.sum("_mass").over(Window.partitionBy(group)))
-    renormed = null_safe_join(kept, mass, [group, PIECE]).withColumn("prob", F.col("_p") / F.col("_mass"))
-    return renormed.select(*df.columns, "prob")
+        summed = summed.where((F.col("_upto") - F.col("_w")) / F.col("_all") <= F.lit(top_p))
+        if renormalise:
+            # The kept candidates come first, so their mass is their largest running total.
+            mass = cut_lineage(summed.groupBy(group).agg(F.max("_upto").alias("_kept")))
+            summed = lookup_join(summed, mass, [group], [group, token], **scale).withColumn("_all", F.col("_kept"))
+    return summed.select(*df.columns, (F.col("_w") / F.col("_all")).alias("prob"))
 
 
 def seeded_uniform(key: Column, seed: int) -> Column:
@@ -47,7 +49,7 @@ def seeded_uniform(key: Column, seed: int) -> Column:
 
 def sample_candidate(kept: DataFrame, seed: int, group: str = "grp", token: str = "token",
                      prob: str = "prob") -> DataFrame:
-    """One draw per group with the given probabilities.
+    """One draw per group, in proportion to ``prob`` (which need not sum to 1).
 
     The largest of log p plus Gumbel noise is a multinomial draw, and a maximum is
     combined before the shuffle.

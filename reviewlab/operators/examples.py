@@ -66,12 +66,13 @@ def split_train_test_val(df: DataFrame, test: float = 0.2, val: float = 0.2, see
     rest = n - n_test
     n_val = F.ceil(F.coalesce(F.try_divide(n * val, rest), F.lit(0.0)) * rest)
 
-    def key_at(rank: Column) -> Column:
-        return placed.where(F.col("_at") == rank).select(F.struct("_h", row_id).alias("k")).scalar()
+    def key_at(rank: Column, name: str) -> Column:
+        return F.min(F.when(F.col("_at") == rank, F.struct("_h", row_id))).alias(name)
 
     # Rows are compared with the first key of val and of train, so the table is not joined.
-    key = F.struct(digest.alias("_h"), F.col(row_id))
-    first_val, first_train = key_at(n_test), key_at(n_test + n_val)
-    split = (F.when(first_val.isNull() | (key < first_val), "test")
-             .when(first_train.isNull() | (key < first_train), "val").otherwise("train"))
-    return df.withColumn("split", split)
+    firsts = placed.agg(key_at(n_test, "val"), key_at(n_test + n_val, "train"))
+    cuts = firsts.select(F.struct("val", "train").alias("c")).scalar()
+    key, val_from, train_from = F.struct(digest.alias("_h"), F.col(row_id)), F.col("_cuts.val"), F.col("_cuts.train")
+    split = (F.when(val_from.isNull() | (key < val_from), "test")
+             .when(train_from.isNull() | (key < train_from), "val").otherwise("train"))
+    return df.withColumn("_cuts", cuts).withColumn("split", split).drop("_cuts")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlab import values as v
 from reviewlab.scale import lookup_join
+from reviewlab.session import cut_lineage
 
 
 def project(df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
@@ -58,10 +59,13 @@ def similarity_gate(df: DataFrame, gates: Mapping[str, float] | None = None) ->
 
 def reply_ratio_filter(df: DataFrame, row_id: Sequence[str], store: str = "store",
                        reply: str = "reply", divisor: int = 10) -> DataFrame:
-    """Drop stores where ``reviews // divisor`` exceeds the number of replies."""
+    """Drop stores where ``reviews // divisor`` exceeds the number of replies.
+
+    The list of kept stores is written out once, then measured and joined.
+    """
     counts = df.groupBy(store).agg(F.count("*").alias("_reviews"), F.count(reply).alias("_replies"))
     answered = counts.where(F.floor(F.col("_reviews") / divisor) <= F.col("_replies")).select(store)
-    return lookup_join(df, answered, [store], row_id, "left_semi")
+    return lookup_join(df, cut_lineage(answered), [store], row_id, "left_semi")
 
 
 def parse_count(col: Column, offset: int = 0) -> Column:

@@ -52,6 +52,7 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], row_id: Sequ
                 how: str = "inner", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Equi-join ``df`` with a lookup ``table`` whose key may be hot in ``df``.
 
+    ``table`` is read twice, to measure and to join it, so a costly one is written first.
     A table measured below ``limit`` is broadcast. Beyond that both sides are shuffled, and
     a key that holds more than a thousandth of the rows of ``df`` (so there are fewer than
     a thousand such keys, which are safe to broadcast) is joined on (key, salt): its rows
@@ -92,15 +93,16 @@ def ordered_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column])
     return cut_lineage(placed.withColumn(PIECE, F.spark_partition_id()))
 
 
-def add_running_total(pieces: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column,
-                      out: str, total: str | None = None) -> DataFrame:
-    """Inclusive running total of ``value`` over rows already tagged by ``ordered_pieces``.
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column,
+                  out: str, total: str | None = None) -> DataFrame:
+    """Inclusive running total of ``value`` per group, for groups of any size.
 
-    The window without a partition key, used when ``group`` is empty, runs over one row
-    per partition only.
+    Rows move twice: to their range, and by (group, piece), which serves both the join
+    with the offsets and the window. The window without a partition key, used when
+    ``group`` is empty, runs over one row per partition only.
     """
+    rows = ordered_pieces(df.withColumn("_value", value), group, order)
     part = [*group, PIECE]
-    rows = pieces.withColumn("_value", value)
     sums = rows.groupBy(*part).agg(F.sum("_value").alias("_sum"))
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,14 +116,7 @@ def add_running_total(pieces: DataFrame, group: Sequence[str], order: Sequence[C
     result = joined.withColumn(out, F.col("_before") + F.sum("_value").over(inside))
     if total:
         result = result.withColumn(total, F.col("_total"))
-    return result.drop("_value", "_before", "_total")
-
-
-def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column,
-                  out: str, total: str | None = None) -> DataFrame:
-    """Inclusive running total per group, for groups of any size."""
-    pieces = ordered_pieces(df, group, order)
-    return add_running_total(pieces, group, order, value, out, total).drop(PIECE)
+    return result.drop("_value", "_before", "_total", PIECE)
 
 
 def dense_index(df: DataFrame, order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
@@ -136,6 +131,7 @@ ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row of exact quantiles with linear interpolation; NULLs are left out.
 
+    The column is scanned three times, so scores that are costly to compute are stored first.
     An approximate quantile sketch brackets each quantile within a few thousandths of the
     rows, a count proves the brackets right, and only rows inside a bracket are counted by
     value and ordered. A bracket the count does not confirm is opened to all rows.
@@ -219,7 +215,7 @@ def next_in_group(df: DataFrame, group: str, position: str, cols: Sequence[str],
         return (seen if keep_last else seen.where("_found")).select(*out)
 
     beyond = (F.col(position) >= block) | (F.col(position) < 0)
-    long_groups = df.where(beyond).select(group).distinct()
+    long_groups = cut_lineage(df.where(beyond).select(group).distinct())
     long_rows = look_ahead(lookup_join(tagged, long_groups, [group], [group, position], "left_semi"), group, "_block")
     edges = look_ahead(long_rows.where(~F.col("_found") | (F.col("_rank") == 1)), group, suffix="_edge")
     over_edge = edges.where(~F.col("_found")).select(

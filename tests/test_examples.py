@@ -120,10 +120,11 @@ def test_candidates_equal_brute_force(spark, top_k, top_p):
     rows = [(g, t, s) for g, ts in groups.items() for t, s in ts.items()]
     df = spark.createDataFrame(rows, "grp string, token string, score double").repartition(3)
     got = {}
-    for row in nucleus_filter(df, top_k=top_k, top_p=top_p).collect():
-        got.setdefault(row.grp, {})[row.token] = row.prob
-    for g, ts in groups.items():
-        assert got[g] == pytest.approx(brute_nucleus(ts, top_k, top_p))
+    for limit in (1 << 20, 0):
+        for row in nucleus_filter(df, top_k=top_k, top_p=top_p, limit=limit).collect():
+            got.setdefault(row.grp, {})[row.token] = row.prob
+        for g, ts in groups.items():
+            assert got.pop(g) == pytest.approx(brute_nucleus(ts, top_k, top_p))
 
 
 def test_draws_follow_the_probabilities(spark):
