@@ -78,8 +78,11 @@ def regex_extract(col: Column, pattern: str) -> Column:
 
 
 def normalise_text(col: Column, cls: str = v.NORMAL_CLASS) -> Column:
-    """Lower case, every character outside ``cls`` to a blank, trimmed."""
-    return strip(F.regexp_replace(F.lower(col), f"[^{cls}]", " "))
+    """Lower case, every character outside ``cls`` to a blank, trimmed.
+
+    Blanks are left alone: they are the most frequent character outside the class.
+    """
+    return F.trim(F.regexp_replace(F.lower(col), f"[^{cls} ]", " "))
 
 
 def tokenise(col: Column) -> Column:

@@ -128,14 +128,13 @@ def char_frequency(df: DataFrame, col: str, allowed: str = v.PROFILE_ALLOWED, k:
                    by: str = "total") -> DataFrame:
     """Top ``k`` characters outside a class: occurrences and rows that contain them.
 
-    Each row reports a character once, with its number of occurrences, so rows are counted
-    without a distinct count.
+    Allowed characters are dropped in runs, and each row reports what is left once per
+    character with its number of occurrences, so rows are counted without a distinct count.
     """
-    found = F.regexp_extract_all(F.col(col), F.lit(f"([^{allowed}])"), 1)
-    per_row = F.transform(F.array_distinct(F.col("_found")), lambda ch: F.struct(
-        ch.alias("ch"), F.size(F.filter(F.col("_found"), lambda x: x == ch)).alias("n")))
-    seen = df.select(found.alias("_found")).select(F.inline(per_row))
-    counts = seen.groupBy("ch").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
+    left = df.select(F.regexp_replace(col, f"[{allowed}]+", "").alias("_left")).where(F.col("_left") != "")
+    per_row = F.transform(F.array_distinct(F.split("_left", "")), lambda ch: F.struct(
+        ch.alias("ch"), (F.length("_left") - F.length(F.replace(F.col("_left"), ch, F.lit("")))).alias("n")))
+    counts = left.select(F.inline(per_row)).groupBy("ch").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     return counts.orderBy(F.desc(by), "ch").limit(k)
 
 

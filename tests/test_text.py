@@ -144,7 +144,17 @@ def test_whole_text_until_a_number_of_characters(value, limit, want):
     assert value(text.truncate_text(X, limit, "chars"), x=" ab\ncd \n") == want
 
 
+def test_characters_outside_the_basic_plane(spark):
+    from reviewlab.operators.stats import char_frequency
+
+    df = spark.createDataFrame([("a😀😀é",), ("é가😀",), ("plain",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in char_frequency(df, "t").collect()]
+    assert got == [("😀", 3, 2), ("é", 2, 2)]
+    assert char_frequency(df, "t", k=1).count() == 1
+
+
 def test_normalise_and_tokenise(value):
+    assert value(text.normalise_text(X), x="\u3000a\tb\n😀c \n") == "a b  c"
     assert value(text.normalise_text(X), x=" A-b가!é ") == "a b가"
     assert value(text.tokenise(X), x="Été_1, 맛있어요!") == ["été_1", "맛있어요"]
     assert value(text.tokenise(X), x="") == []
