@@ -190,6 +190,16 @@ def exclude_seen_stores(spark, sf):
     return fresh.select("store", "review")
 
 
+@check("""SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders
+    WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
+    GROUP BY o_custkey""")
+def exclude_seen_customers(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    seen = orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    fresh = pairing.exclude_seen_stores(orders, seen, "o_custkey", "o_orderkey")
+    return fresh.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
 @check("""SELECT doc_id, source, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic
     FROM documents JOIN labels USING (doc_id)""")
 def attach_scores(spark, sf):

@@ -11,15 +11,15 @@ from reviewlab import values as v
 def threshold_labels(scores: Column, threshold: float = v.LABEL_THRESHOLD) -> Column:
     """Sorted set of labels whose score is above ``threshold`` (strictly)."""
     kept = F.filter(scores, lambda s: s["score"] > F.lit(threshold))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: s["label"])))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda s: s["label"])))
 
 
 def common_labels(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_intersect(a, b))
+    return F.sort_array(F.array_intersect(a, b))
 
 
 def union_labels(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
 def label_jaccard(a: Column, b: Column) -> Column:

@@ -120,7 +120,7 @@ def mask_tagged(text: Column, entities: Column) -> Column:
     def terms(kind: str) -> Column:
         usable = F.filter(entities, lambda e: (e["type"] == kind) & ~e["word"].contains("#")
                           & ~e["word"].contains("@"))
-        ranked = F.array_sort(F.array_distinct(F.transform(
+        ranked = F.sort_array(F.array_distinct(F.transform(
             usable, lambda e: F.struct((-F.length(e["word"])).alias("n"), e["word"].alias("word")))))
         return F.transform(ranked, lambda e: e["word"])
 

@@ -40,7 +40,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, cols: Mapping[str, str], unkn
     coded = lookup_join(long, vocab, ["word"], [row_id, "side", "pos"], "left", **scale)
     at = F.struct("pos", F.coalesce(F.col("id"), F.lit(unknown)).alias("id"))
     wide = coded.groupBy(row_id).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("side") == new, at))).alias(new) for new in cols])
+        F.sort_array(F.collect_list(F.when(F.col("side") == new, at))).alias(new) for new in cols])
     joined = df.join(wide, row_id, "left")
     return joined.withColumns({
         new: F.coalesce(F.transform(new, lambda x: x["id"]), F.array().cast("array<int>")) for new in cols})

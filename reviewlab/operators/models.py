@@ -30,7 +30,7 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     weights))). ``lexicon`` holds label, token and weight; every token occurrence counts.
     Labels are few and are read as one array. All texts share one lookup.
     """
-    labels = lexicon.agg(F.array_sort(F.collect_set("label")).alias("l")).scalar()
+    labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("l")).scalar()
     sides = F.array(*[F.struct(F.lit(new).alias("side"), tokenise(F.col(text)).alias("tokens"))
                       for new, text in cols.items()])
     long = df.select(row_id, *cols.values()).repartition(row_id).select(row_id, F.inline(sides))

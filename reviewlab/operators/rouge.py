@@ -158,7 +158,7 @@ def _batch_counts(hyps: pd.Series, refs: pd.Series, weight: float) -> list[tuple
         ids: dict[str, int] = {}
         hyp_lines, ref_lines = (
             [np.array([ids.setdefault(t, len(ids)) for t in s.split()], dtype=np.int64) for s in side]
-            for side in (hyp, ref))
+            for side in ([] if hyp is None else hyp, [] if ref is None else ref))
         hits = [np.zeros(len(line), dtype=bool) for line in ref_lines]
         lines += [(r, h, hit) for r, hit in zip(ref_lines, hits, strict=True) for h in hyp_lines]
         pairs.append((len(ids), hyp_lines, ref_lines, hits))
@@ -201,8 +201,13 @@ def union_lcs_counts(hyp: Column, ref: Column, weight: float = 1.0) -> Column:
 
 def rouge_lcs(df: DataFrame, out: str, hyp: str = "hyp_lines", ref: str = "ref_lines",
               weight: float = 1.0, alpha: float = 0.5) -> DataFrame:
-    """Add ``<out>_counts`` and the score ``out``: ROUGE-L, or ROUGE-W for another weight."""
-    counted = df.withColumn(f"{out}_counts", union_lcs_counts(F.col(hyp), F.col(ref), weight))
+    """Add ``<out>_counts`` and the score ``out``: ROUGE-L, or ROUGE-W for another weight.
+
+    A missing text has no score and is left out of means.
+    """
+    known = F.col(hyp).isNotNull() & F.col(ref).isNotNull()
+    counts = F.when(known, union_lcs_counts(F.col(hyp), F.col(ref), weight))
+    counted = df.withColumn(f"{out}_counts", counts)
     return counted.withColumn(out, score_of(F.col(f"{out}_counts"), alpha, weight))
 
 

@@ -57,7 +57,8 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], row_id: Sequ
     a key that holds more than a thousandth of the rows of ``df`` (so there are fewer than
     a thousand such keys, which are safe to broadcast) is joined on (key, salt): its rows
     spread over ``salts`` tasks by ``row_id``, a unique key of ``df``, and its match is
-    repeated once per salt. Every match is kept.
+    repeated once per salt. Every match is kept. Rows without a key match nothing and are
+    spread as well.
     """
     on = list(on)
     if table_bytes(table) <= limit:
@@ -66,8 +67,9 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], row_id: Sequ
     rows = df.agg(F.count("*").alias("_n")).scalar()
     hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > rows).select(*on, F.lit(True).alias("_hot")))
     spread = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salted = df.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0))).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copies = table.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

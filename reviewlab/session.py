@@ -18,6 +18,8 @@ def build_session(app: str = "reviewlab", cores: str | int = "*", shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Work per row is costly here, so a small shuffle still uses all cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Sums over vectors of a few hundred dimensions stay in generated code.
+        .config("spark.sql.codegen.maxFields", "400")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

@@ -133,6 +133,14 @@ def test_many_line_pairs_do_not_fit_in_one_block(spark, monkeypatch):
     assert rouge._batch_counts(hyps, refs, 1.5) == whole
 
 
+def test_missing_text_has_no_rouge(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", "a"), (3, "", "a")], "id long, h string, r string")
+    lines = df.select("id", rouge.sentence_list(F.col("h")).alias("hyp_lines"), rouge.sentence_list(F.col("r")).alias("ref_lines"))
+    assert {r.id: r.s and r.s.f for r in rouge.rouge_lcs(lines, "s").collect()} == {1: None, 2: 1.0, 3: 0.0}
+    tokens = df.select("id", rouge.whole_tokens(F.col("h")).alias("hyp_tokens"), rouge.whole_tokens(F.col("r")).alias("ref_tokens"))
+    assert {r.id: r.s and r.s.f for r in rouge.rouge_n(tokens, 1, "s").collect()} == {1: None, 2: 1.0, 3: 0.0}
+
+
 def test_overlap_is_clipped_by_the_hypothesis_only(spark):
     df = spark.createDataFrame([(1, ["a"], ["a", "a a"])], "id long, x array<string>, y array<string>")
     assert df.select(rouge.union_lcs_counts(X, Y).alias("c")).first().c.overlap == 1

@@ -63,6 +63,7 @@ def test_next_row_of_a_long_group(spark, block):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_lookup_equals_broadcast_lookup(spark, hot, how):
+    hot = hot.unionByName(spark.range(1000, 1300).select("id", F.lit(None).cast("string").alias("g"), F.lit(0.0).alias("x")))
     table = spark.createDataFrame([("hot", 1), ("hot", 2), ("g1", 3), ("g2", 4), ("no", 5)], "g string, y int")
     a = scale.lookup_join(hot, table, ["g"], ["id"], how)
     b = scale.lookup_join(hot, table, ["g"], ["id"], how, limit=0, salts=5)
