@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlab.llm.bpe import VOCABULARY, encode_documents
 from reviewlab.llm.common import table
 from reviewlab.llm.licences import NOTICES, OTHER, notice_table, scan_licences
 from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
 from reviewlab.llm.sharding import shard_documents
+from reviewlab.llm.simhash import near_duplicates
 
 SHARDS = 40
 LEAST_DICE = 0.8
@@ -17,10 +19,18 @@ TEMPERATURE = 0.5
 SEED = 42
 
 
+def op4_simhash_gray_index(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 def op5_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents"), SHARDS)
 
 
+def op8_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_documents(table(spark, sf, "documents"), VOCABULARY, keep_ids=False)
+
+
 def op9_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licences(table(spark, sf, "documents"), LEAST_DICE)
 
@@ -69,5 +79,5 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op5_minimax_shards, op9_licence_scan, op10_poisson_mixing)}
+    op4_simhash_gray_index, op5_minimax_shards, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
 SQL: dict[str, str] = {"op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
