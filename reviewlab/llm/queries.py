@@ -12,6 +12,7 @@ from reviewlab.llm.licences import NOTICES, OTHER, notice_table, scan_licences
 from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
+from reviewlab.llm.suffix_dedup import remove_repeats
 
 SHARDS = 40
 LEAST_DICE = 0.8
@@ -19,6 +20,10 @@ TEMPERATURE = 0.5
 SEED = 42
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_simhash_gray_index(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -79,5 +84,5 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_simhash_gray_index, op5_minimax_shards, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
+    op1_suffix_array_dedup, op4_simhash_gray_index, op5_minimax_shards, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
 SQL: dict[str, str] = {"op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
