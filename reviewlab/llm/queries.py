@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewlab.llm.bpe import VOCABULARY, encode_documents
 from reviewlab.llm.common import table
 from reviewlab.llm.licences import NOTICES, OTHER, notice_table, scan_licences
 from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
+from reviewlab.llm.neighbours import nearest
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
+from reviewlab.llm.warc import BASE32, archive_and_read
+from reviewlab.session import shared_folder
 
 SHARDS = 40
 LEAST_DICE = 0.8
 TEMPERATURE = 0.5
 SEED = 42
+NEIGHBOURS = 5
+QUERY_STEP = 50
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,6 +39,14 @@ def op5_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents"), SHARDS)
 
 
+def op6_warc_boundary_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_and_read(table(spark, sf, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+
+
+def op7_stable_projection_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, NEIGHBOURS)
+
+
 def op8_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), VOCABULARY, keep_ids=False)
 
@@ -68,6 +83,13 @@ SELECT doc_id, licence, dice, unit, coalesce(n_matches, 0) AS n_matches FROM cle
   (SELECT * FROM ranked WHERE k = 1) USING (r)"""
 
 
+_DIGITS = "||".join(f"substr('{BASE32}', 1 + ((('0x' || substr(h, {5 * k + 1}, 5))::INT >> {s}) & 31), 1)"
+                   for k in range(8) for s in (15, 10, 5, 0))
+_WARC_SQL = f"""WITH bodies AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+  firsts AS (SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM bodies)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM firsts"""
+
 _HEX = "('0x' || substr(md5({}), 1, {}))::BIGINT"
 _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-') AS s,
     coalesce(doc_id::VARCHAR, '-') AS id FROM documents),
@@ -84,5 +106,6 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op4_simhash_gray_index, op5_minimax_shards, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
-SQL: dict[str, str] = {"op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
+    op1_suffix_array_dedup, op4_simhash_gray_index, op5_minimax_shards, op6_warc_boundary_chain,
+    op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
+SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
