@@ -13,6 +13,7 @@ from reviewlab.llm.common import table
 from reviewlab.llm.licences import NOTICES, OTHER, notice_table, scan_licences
 from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
 from reviewlab.llm.neighbours import nearest
+from reviewlab.llm.perplexity import quality
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
@@ -31,6 +32,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_kneser_ney_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"))
+
+
 def op4_simhash_gray_index(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -106,6 +111,6 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op4_simhash_gray_index, op5_minimax_shards, op6_warc_boundary_chain,
+    op1_suffix_array_dedup, op2_kneser_ney_bands, op4_simhash_gray_index, op5_minimax_shards, op6_warc_boundary_chain,
     op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
 SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
