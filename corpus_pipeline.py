@@ -9,17 +9,49 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reviewlab.llm.bpe import encode_documents
 from reviewlab.llm.mixing import mix_sources
+from reviewlab.llm.simhash import near_duplicates
+from reviewlab.llm.suffix_dedup import remove_repeats
+from reviewlab.llm.toxicity import fit, score_toxicity
+from reviewlab.scale import lookup_join
 from reviewlab.session import shared_folder
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on their labels, does not reject."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies; rows without an id stay."""
+    groups = near_duplicates(docs)
+    others = groups.where("doc_id > component_id").select("doc_id").distinct()
+    return lookup_join(docs, others, ["doc_id"], ["doc_id"], "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; those of which nothing is left go."""
+    kept = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    left = remove_repeats(docs, keep=kept).where("n_removed = 0 OR n_removed < n_bytes")
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return left.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated and mixed to the weights of their sources."""
     return mix_sources(docs).select(*docs.columns)
 
 
-STAGES = [("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeats", drop_repeats), ("mixing", mix), ("bpe", encode)]
 
 #: Compression dictionaries, suffix arrays and merges are beyond SQL; the stages are tested by brute force.
 ORACLE_SQL = None

@@ -17,6 +17,7 @@ from reviewlab.llm.perplexity import quality
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
+from reviewlab.llm.toxicity import fit, score_toxicity
 from reviewlab.llm.warc import BASE32, archive_and_read
 from reviewlab.session import shared_folder
 
@@ -36,6 +37,11 @@ def op2_kneser_ney_bands(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
 
+def op3_compression_distance(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf, "labels")))
+
+
 def op4_simhash_gray_index(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -111,6 +117,6 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op2_kneser_ney_bands, op4_simhash_gray_index, op5_minimax_shards, op6_warc_boundary_chain,
-    op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
+    op1_suffix_array_dedup, op2_kneser_ney_bands, op3_compression_distance, op4_simhash_gray_index,
+    op5_minimax_shards, op6_warc_boundary_chain, op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
 SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}

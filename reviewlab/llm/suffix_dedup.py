@@ -14,8 +14,9 @@ of which only the last two see texts, and only the parts of them that can hold a
    ``BUCKET`` bytes. Each bucket's suffix array is built by two-stage sorting: suffixes smaller
    than their successor are sorted directly, all others are induced by one scan over the
    buckets of first bytes. Neighbours with a common prefix of ``LENGTH`` or more are repeats.
-4. An anchor of more than ``HOT`` runs would outgrow a bucket. Its windows are compared by
-   128-bit digests, counted before they are shuffled; they are kept whole all the same.
+4. An anchor of more than ``HOT`` runs would outgrow a bucket. Its runs are first counted by
+   128-bit digests of their windows; one run of each kind goes on to the suffix array. If even
+   the kinds are more than ``HOT``, they are compared window by window, by digests.
 
 Spans of a text are merged and cut out where the text is.
 """
@@ -23,6 +24,7 @@ Spans of a text are merged and cut out where the text is.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab.llm.common import text_bytes, whole_text
-from reviewlab.scale import cut_lineage, lookup_join
+from reviewlab.scale import BROADCAST_BYTES, cut_lineage, lookup_join, table_bytes
 
 LENGTH = 200
 GRAM = 64
@@ -232,16 +234,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches_of(rows(), ["_key", "hash", "first", "more", "bytes"], [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 
 
+def _run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of the windows of each run."""
+    from xxhash import xxh3_128_digest
+
+    rows = ((key, h, f, m, xxh3_128_digest(text[f:f + m + LENGTH])) for key, hashes, first, more, text in _listed_runs(batches)
+            for h, f, m in zip(hashes, first, more, strict=True))
+    yield from _batches_of(rows, ["_key", "hash", "first", "more", "digest"], [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+
+
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per window."""
+    """A digest of each window of each run; ``hash`` of a run is passed on."""
     from xxhash import xxh3_128_digest
 
-    def rows() -> Iterator[tuple]:
-        for key, _, first, more, text in _listed_runs(batches):
-            for f, m in zip(first, more, strict=True):
-                for p in range(f, f + m + 1):
-                    yield key, p, xxh3_128_digest(text[p:p + LENGTH])
-    yield from _batches_of(rows(), ["_key", "first", "digest"], [pa.binary(), pa.int32(), pa.binary()])
+    rows = ((key, h, p, xxh3_128_digest(text[p:p + LENGTH])) for key, hashes, first, more, text in _listed_runs(batches)
+            for h, f, m in zip(hashes, first, more, strict=True) for p in range(f, f + m + 1))
+    yield from _batches_of(rows, ["_key", "hash", "first", "digest"], [pa.binary(), pa.int64(), pa.int32(), pa.binary()])
 
 
 def repeats_in_bucket(contexts: list[bytes], more: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -269,62 +277,92 @@ def repeats_in_bucket(contexts: list[bytes], more: np.ndarray, length: int = LEN
 
 
 def _bucket_spans(table: pa.Table) -> pa.Table:
-    contexts = table.column("bytes").to_pylist()
-    more = table.column("more").to_numpy().astype(np.int64)
-    owner, offset = repeats_in_bucket(contexts, more)
-    by_run = np.lexsort((offset, owner))
-    owner, offset = owner[by_run], offset[by_run]
-    keys, firsts = table.column("_key").to_pylist(), table.column("first").to_numpy()
-    out_key, begin, end = [], [], []
-    for part in np.split(np.arange(len(owner)), np.flatnonzero(owner[1:] != owner[:-1]) + 1):
-        if len(part):
-            run = owner[part[0]]
-            a, b = spans_of(offset[part] + firsts[run])
-            out_key += [keys[run]] * len(a)
-            begin += a.tolist()
-            end += b.tolist()
-    return pa.table({"_key": pa.array(out_key, pa.binary()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
+    """Repeated spans of the runs of one bucket.
+
+    Runs alike in all bytes repeat each other wholly, and one of them stands for all in the
+    suffix array, which holds the anchors of two or more different runs.
+    """
+    hashes, more = table.column("hash").to_pylist(), table.column("more").to_pylist()
+    kinds: dict[tuple, list[int]] = {}
+    for i, kind in enumerate(zip(hashes, table.column("bytes").to_pylist(), more, strict=True)):
+        kinds.setdefault(kind, []).append(i)
+    different = Counter(h for h, _, _ in kinds)
+    sorted_ones = [kind for kind in kinds if different[kind[0]] > 1]
+    found: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    if sorted_ones:
+        owner, offset = repeats_in_bucket([k[1] for k in sorted_ones], np.array([k[2] for k in sorted_ones]))
+        by_run = np.lexsort((offset, owner))
+        owner, offset = owner[by_run], offset[by_run]
+        edges = np.searchsorted(owner, np.arange(len(sorted_ones) + 1))
+        found = {k: spans_of(offset[edges[i]:edges[i + 1]]) for i, k in enumerate(sorted_ones) if edges[i] < edges[i + 1]}
+    keys, firsts = table.column("_key").to_pylist(), table.column("first").to_pylist()
+    out: list[tuple] = []
+    for kind, runs in kinds.items():
+        if len(runs) > 1:
+            out += [(keys[i], firsts[i], firsts[i] + kind[2] + LENGTH) for i in runs]
+        elif kind in found:
+            out += [(keys[runs[0]], firsts[runs[0]] + x, firsts[runs[0]] + y) for x, y in zip(*map(np.ndarray.tolist, found[kind]), strict=True)]
+    columns = list(zip(*out, strict=True)) or [()] * 3
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("_key", "begin", "end"), columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)})
 
 
 # ----------------------------------------------------------------------- the whole
 
-def repeated_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(_key, spans): the repeated spans of every text that holds some.
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts with one of the ``keys``, if these are few enough to be sent to all tasks; else all texts."""
+    return texts.join(F.broadcast(keys), "_key", "left_semi") if table_bytes(keys) <= BROADCAST_BYTES else texts
 
-    _key is the MD5 of the text. Spans may overlap; the single span [0, 2**31 - 1) stands for
-    the whole of a text of at least LENGTH bytes that occurs twice. ``keep`` are columns that
-    tell rows apart; rows alike in them take part together, which changes no result.
+
+def text_classes(body: DataFrame) -> DataFrame:
+    """(_key, n, _first) of the texts that occur n >= 2 times."""
+    return cut_lineage(body.groupBy("_key").agg(F.count("*").alias("n"), F.min("_row").alias("_first")).where("n > 1"))
+
+
+def repeated_spans(body: DataFrame, classes: DataFrame) -> DataFrame:
+    """(_key, spans): the repeated spans of every text of no class that holds some. Spans may overlap.
+
+    ``body`` holds (_key, _text, _row): the MD5 of a text, its bytes, and a number that tells rows
+    of a class apart; of those alike in it all take part, which changes no result.
     """
-    body = df.select(F.unhex(F.md5(whole_text(text))).alias("_key"), text_bytes(text).alias("_text"),
-                     F.xxhash64(*keep).alias("_row")).where(F.octet_length("_text") >= LENGTH)
-    classes = cut_lineage(body.groupBy("_key").agg(F.count("*").alias("n"), F.min("_row").alias("_first")).where("n > 1"))
     marked = lookup_join(body, classes, ["_key"], ["_row"], "left")
     single = marked.where(F.col("n").isNull() | (F.col("_row") == F.col("_first"))).select("_key", "_text")
-
     anchors = cut_lineage(single.mapInArrow(_anchors, "_key binary, hash array<long>, first array<int>, more array<int>"))
     shared = cut_lineage(anchors.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1"))
     runs = anchors.select("_key", F.inline(F.arrays_zip("hash", "first", "more")))
     kept = cut_lineage(lookup_join(runs, shared, ["hash"], ["_key", "first"]))
 
     def with_texts(some: DataFrame) -> DataFrame:
-        lists = some.groupBy("_key").agg(F.collect_list(F.struct("hash", "first", "more")).alias("r")).select(
-            "_key", *[F.col(f"r.{c}").alias(c) for c in ("hash", "first", "more")])
-        return lookup_join(single, cut_lineage(lists), ["_key"], ["_key"]).select("_key", "hash", "first", "more", "_text")
+        """One row per text with its runs; each text has one row on both sides."""
+        lists = cut_lineage(some.groupBy("_key").agg(F.collect_list(F.struct("hash", "first", "more")).alias("r")).select(
+            "_key", *[F.col(f"r.{c}").alias(c) for c in ("hash", "first", "more")]))
+        return _only(single, lists.select("_key")).join(lists, "_key").select("_key", "hash", "first", "more", "_text")
 
-    every = classes.select("_key", F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))
-    usual, hot = kept.where(F.col("_n") <= HOT), kept.where(F.col("_n") > HOT)
+    every = anchors.select("_key", F.lit(0).alias("begin"), F.lit(0).alias("end")).limit(0)
+    usual, hot = kept.where(F.col("_n") <= HOT).drop("_n"), kept.where(F.col("_n") > HOT)
+    if not hot.isEmpty():
+        # Runs alike in all windows repeat each other; one of each kind stands for them in what follows.
+        digests = cut_lineage(with_texts(hot).mapInArrow(_run_digests, "_key binary, hash long, first int, more int, digest binary"))
+        kinds = cut_lineage(digests.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_key", "first", "more")).alias("one")))
+        alike = lookup_join(digests, kinds.where("n > 1").select("digest"), ["digest"], ["_key", "first"], "left_semi")
+        every = every.union(alike.select("_key", F.col("first").alias("begin"), (F.col("first") + F.col("more") + LENGTH).alias("end")))
+        ones = lookup_join(kinds, kinds.groupBy("hash").agg(F.count("*").alias("kinds")), ["hash"], ["digest"])
+        ones = cut_lineage(ones.select("one.*", "hash", "n", "kinds"))
+        usual = usual.unionByName(ones.where(F.col("kinds") <= HOT).select(*usual.columns))
+        many = ones.where(F.col("kinds") > HOT).select("_key", "first", "more", F.col("n").alias("hash"))
+        if not many.isEmpty():
+            windows = cut_lineage(with_texts(many).mapInArrow(_window_digests, "_key binary, hash long, first int, digest binary"))
+            twice = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"))
+            every = every.union(lookup_join(windows.where("hash = 1"), twice, ["digest"], ["_key", "first"], "left_semi").select(
+                "_key", F.col("first").alias("begin"), (F.col("first") + LENGTH).alias("end")))
     size = usual.agg(F.sum(F.col("more") + LENGTH)).first()[0] or 0
     if size:
         contexts = with_texts(usual).mapInArrow(_contexts, "_key binary, hash long, first int, more int, bytes binary")
         buckets = F.pmod(F.xxhash64("hash"), F.lit(1 + size // BUCKET)).alias("_bucket")
-        every = every.union(contexts.select(buckets, "_key", "first", "more", "bytes").groupBy("_bucket").applyInArrow(
+        every = every.union(contexts.select(buckets, "_key", "hash", "first", "more", "bytes").groupBy("_bucket").applyInArrow(
             _bucket_spans, "_key binary, begin int, end int"))
-    if not hot.isEmpty():
-        windows = cut_lineage(with_texts(hot).mapInArrow(_window_digests, "_key binary, first int, digest binary"))
-        twice = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"))
-        every = every.union(lookup_join(windows, twice, ["digest"], ["_key", "first"], "left_semi").select(
-            "_key", F.col("first").alias("begin"), (F.col("first") + LENGTH).alias("end")))
-    return every.groupBy("_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = every.join(F.broadcast(classes.select("_key")), "_key", "left_anti") if table_bytes(classes) <= BROADCAST_BYTES else \
+        every.join(classes.select("_key"), "_key", "left_anti")
+    return spans.groupBy("_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -363,11 +401,25 @@ def remove_repeats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     kept_text characters that lost bytes are left out; kept_sha256 is over all kept bytes. An empty table
     gives no rows; other columns are not read.
     """
-    spans = cut_lineage(repeated_spans(df, text, keep)).withColumnRenamed("spans", "_spans")
-    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], text_bytes(text).alias("_text"),
-                     F.unhex(F.md5(whole_text(text))).alias("_key"))
-    joined = lookup_join(rows, spans, ["_key"], [f"_k{i}" for i in range(len(keep))], "left")
-    kinds = [f"_k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    ids = [f"_k{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(keep, ids, strict=True)], text_bytes(text).alias("_text"),
+                     F.unhex(F.md5(whole_text(text))).alias("_key"), F.xxhash64(*keep).alias("_row"))
+    body = rows.where(F.octet_length("_text") >= LENGTH).select("_key", "_text", "_row")
+    classes = text_classes(body)
+    spans = cut_lineage(repeated_spans(body, classes))
+    marked = lookup_join(rows, classes.select("_key", "n"), ["_key"], ids, "left")
+    # Only texts with spans meet them in a shuffle; a text that occurs twice goes as a whole, where it is.
+    keys = spans.select("_key", F.lit(True).alias("_has"))
+    if table_bytes(keys) <= BROADCAST_BYTES:
+        marked = marked.join(F.broadcast(keys), "_key", "left")
+    else:
+        marked = marked.withColumn("_has", F.lit(True))
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end")))
+    none = F.lit(None).cast("array<struct<begin:int,end:int>>")
+    alone = marked.where(F.col("n").isNotNull() | F.col("_has").isNull()).select(
+        *ids, "_text", F.when(F.col("n").isNotNull(), whole).otherwise(none).alias("_spans"))
+    meeting = marked.where(F.col("n").isNull() & F.col("_has")).join(spans, "_key", "left").select(*ids, "_text", "_spans")
+    kinds = [f"{k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, ids, strict=True)]
     schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"])
-    out = joined.select(*[f"_k{i}" for i in range(len(keep))], "_text", "_spans").mapInArrow(_removed, schema)
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    out = alone.mapInArrow(_removed, schema).union(meeting.mapInArrow(_removed, schema))
+    return out.withColumnsRenamed(dict(zip(ids, keep, strict=True)))
