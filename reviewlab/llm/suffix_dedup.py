@@ -10,13 +10,14 @@ of which only the last two see texts, and only the parts of them that can hold a
    the leftmost of equal ones. Equal windows have the same anchor at the same distance, so
    windows whose anchor's string occurs once in the corpus are alone. A run is the windows next
    to each other that name one anchor.
-3. Runs of anchors that occur twice or more are dealt by the anchor's hash to buckets of about
-   ``BUCKET`` bytes. Each bucket's suffix array is built by two-stage sorting: suffixes smaller
-   than their successor are sorted directly, all others are induced by one scan over the
-   buckets of first bytes. Neighbours with a common prefix of ``LENGTH`` or more are repeats.
-4. An anchor of more than ``HOT`` runs would outgrow a bucket. Its runs are first counted by
-   128-bit digests of their windows; one run of each kind goes on to the suffix array. If even
-   the kinds are more than ``HOT``, they are compared window by window, by digests.
+3. Runs of anchors that occur twice or more are counted by a 128-bit digest of their windows.
+   Runs of one digest repeat each other wholly, and one run of each kind goes on.
+4. Anchors with several kinds of runs are dealt by their hash to buckets of about ``BUCKET``
+   bytes. Each bucket's suffix array is built by two-stage sorting: suffixes smaller than their
+   successor are sorted directly, all others are induced by one scan over the buckets of first
+   bytes. Neighbours with a common prefix of ``LENGTH`` or more are repeats. An anchor of more
+   than ``HOT`` kinds would outgrow a bucket; its kinds are compared window by window, by digests
+   that are counted before they are shuffled.
 
 Spans of a text are merged and cut out where the text is.
 """
@@ -329,7 +330,7 @@ def repeated_spans(body: DataFrame, classes: DataFrame) -> DataFrame:
     anchors = cut_lineage(single.mapInArrow(_anchors, "_key binary, hash array<long>, first array<int>, more array<int>"))
     shared = cut_lineage(anchors.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1"))
     runs = anchors.select("_key", F.inline(F.arrays_zip("hash", "first", "more")))
-    kept = cut_lineage(lookup_join(runs, shared, ["hash"], ["_key", "first"]))
+    kept = lookup_join(runs, shared.select("hash"), ["hash"], ["_key", "first"], "left_semi")
 
     def with_texts(some: DataFrame) -> DataFrame:
         """One row per text with its runs; each text has one row on both sides."""
@@ -338,22 +339,20 @@ def repeated_spans(body: DataFrame, classes: DataFrame) -> DataFrame:
         return _only(single, lists.select("_key")).join(lists, "_key").select("_key", "hash", "first", "more", "_text")
 
     every = anchors.select("_key", F.lit(0).alias("begin"), F.lit(0).alias("end")).limit(0)
-    usual, hot = kept.where(F.col("_n") <= HOT).drop("_n"), kept.where(F.col("_n") > HOT)
-    if not hot.isEmpty():
-        # Runs alike in all windows repeat each other; one of each kind stands for them in what follows.
-        digests = cut_lineage(with_texts(hot).mapInArrow(_run_digests, "_key binary, hash long, first int, more int, digest binary"))
-        kinds = cut_lineage(digests.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_key", "first", "more")).alias("one")))
-        alike = lookup_join(digests, kinds.where("n > 1").select("digest"), ["digest"], ["_key", "first"], "left_semi")
-        every = every.union(alike.select("_key", F.col("first").alias("begin"), (F.col("first") + F.col("more") + LENGTH).alias("end")))
-        ones = lookup_join(kinds, kinds.groupBy("hash").agg(F.count("*").alias("kinds")), ["hash"], ["digest"])
-        ones = cut_lineage(ones.select("one.*", "hash", "n", "kinds"))
-        usual = usual.unionByName(ones.where(F.col("kinds") <= HOT).select(*usual.columns))
-        many = ones.where(F.col("kinds") > HOT).select("_key", "first", "more", F.col("n").alias("hash"))
-        if not many.isEmpty():
-            windows = cut_lineage(with_texts(many).mapInArrow(_window_digests, "_key binary, hash long, first int, digest binary"))
-            twice = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"))
-            every = every.union(lookup_join(windows.where("hash = 1"), twice, ["digest"], ["_key", "first"], "left_semi").select(
-                "_key", F.col("first").alias("begin"), (F.col("first") + LENGTH).alias("end")))
+    # Runs alike in all windows repeat each other; one of each kind stands for them in what follows.
+    digests = cut_lineage(with_texts(kept).mapInArrow(_run_digests, "_key binary, hash long, first int, more int, digest binary"))
+    kinds = cut_lineage(digests.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_key", "first", "more")).alias("one")))
+    alike = lookup_join(digests, kinds.where("n > 1").select("digest"), ["digest"], ["_key", "first"], "left_semi")
+    every = every.union(alike.select("_key", F.col("first").alias("begin"), (F.col("first") + F.col("more") + LENGTH).alias("end")))
+    several = cut_lineage(kinds.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    ones = cut_lineage(lookup_join(kinds, several, ["hash"], ["digest"]).select("one.*", "hash", "n", "kinds"))
+    usual = ones.where(F.col("kinds") <= HOT).select("_key", "hash", "first", "more")
+    many = ones.where(F.col("kinds") > HOT).select("_key", "first", "more", F.col("n").alias("hash"))
+    if not many.isEmpty():
+        windows = cut_lineage(with_texts(many).mapInArrow(_window_digests, "_key binary, hash long, first int, digest binary"))
+        twice = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"))
+        every = every.union(lookup_join(windows.where("hash = 1"), twice, ["digest"], ["_key", "first"], "left_semi").select(
+            "_key", F.col("first").alias("begin"), (F.col("first") + LENGTH).alias("end")))
     size = usual.agg(F.sum(F.col("more") + LENGTH)).first()[0] or 0
     if size:
         contexts = with_texts(usual).mapInArrow(_contexts, "_key binary, hash long, first int, more int, bytes binary")

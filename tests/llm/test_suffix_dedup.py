@@ -71,7 +71,7 @@ def test_runs_cover_every_window_once():
     assert np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]).tolist() == list(range(len(data) - 199))
 
 
-@pytest.mark.parametrize("hot", [sd.HOT, 4, 2])
+@pytest.mark.parametrize("hot", [sd.HOT, 3, 1])
 def test_rows_of_any_kind(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
     texts = odd_texts()
