@@ -8,8 +8,10 @@ difference is the window's distance between the classes. A text's distances (the
 their sum, the share of windows with one, and the number of windows) are mapped to a score by a
 logistic calibration, fitted on labelled texts that trained no dictionary; ``DECIDE`` is the threshold.
 
-Training is bounded: ``SAMPLE`` windows of each class and ``CALIBRATION`` labelled texts at most,
-chosen by a hash. Scoring compresses every window of every whole text.
+Training is bounded: the windows of ``LABELLED`` texts of each class, of which ``SAMPLE`` are taken,
+and ``CALIBRATION`` further labelled texts, all chosen by a hash. The ids of these texts are chosen
+first, from ids and labels alone, so that no text is moved to meet its label. Scoring compresses
+every window of every whole text.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab.llm.common import text_bytes
+from reviewlab.scale import cut_lineage
 
 #: Bytes of a window and between the begins of windows, so that no short phrase is cut in all of them.
 WINDOW, STRIDE = 96, 72
 SAMPLE = 30_000
+#: Labelled texts of each class that windows are cut from, and texts that the scores are calibrated on.
+#: A hash picks them, so there may be a few hundredths more or fewer.
+LABELLED = 20_000
 CALIBRATION = 20_000
 #: Bytes of text that count as known if ordinary text holds them.
 GRAM = 5
@@ -142,12 +148,35 @@ def _scorer(ordinary: bytes, toxic: bytes):
     return run
 
 
-def labelled(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
-    """(_fold, _order, _label, _text) of the rows that may be learnt from."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
-    rows = df.select(F.col(id_col).alias("_id"), text_bytes(text).alias("_text")).where(fold("_id") != HELD_OUT)
-    # Labels are narrow, so texts need not be moved where the labels are few.
-    return rows.join(marks, "_id").select(fold("_id").alias("_fold"), F.xxhash64(F.lit("order"), "_id").alias("_order"), "_label", "_text")
+def choose_labelled(df: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(_id, _label, _fold, _order) of the sample that is learnt from, of bounded size.
+
+    Only ids and labels are read. Ids on several rows are left out, so every id stands for one
+    text; of several labels of an id the largest counts.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")) \
+        .agg(F.max(F.col(label).cast("int")).alias("_label"))
+    single = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n = 1")
+    known = marks.join(single.select("_id"), "_id").where(fold("_id") != HELD_OUT).withColumns({
+        "_fold": fold("_id"), "_order": F.xxhash64(F.lit("order"), "_id"),
+        # The least share of the texts of its kind at which a row is in the sample.
+        "_place": F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 40)) / float(1 << 40)})
+    kinds = {(False, 0): LABELLED, (False, 1): LABELLED, (True, 0): CALIBRATION, (True, 1): CALIBRATION}
+    calibrates = F.col("_fold") == 3
+    # Four numbers: how many texts of each kind there are.
+    sums = known.agg(*[F.count_if((calibrates == c) & (F.col("_label") == y)).alias(f"n{int(c)}{y}") for c, y in kinds]).first()
+    total = sums["n10"] + sums["n11"]
+    of = {(c, y): total if c else sums[f"n{int(c)}{y}"] for c, y in kinds}
+    share = F.lit(0.0)
+    for (c, y), most in kinds.items():
+        share = F.when((calibrates == c) & (F.col("_label") == y), most / max(of[c, y], 1)).otherwise(share)
+    return cut_lineage(known.where(F.col("_place") < share).drop("_place"))
+
+
+def labelled(df: DataFrame, chosen: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(_fold, _order, _label, _text) of the texts that are learnt from; ``chosen`` is bounded."""
+    rows = df.select(F.col(id_col).alias("_id"), text_bytes(text).alias("_text"))
+    return rows.join(F.broadcast(chosen), "_id").drop("_id")
 
 
 def _sample_windows(known: DataFrame, label: int) -> list[bytes]:
@@ -175,13 +204,15 @@ class Model:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from labelled rows outside of the held-out fold; without both classes every score is 0."""
-    known = labelled(df, labels, id_col, text, label)
-    classes = {r["_label"] for r in known.where(F.col("_fold") != 3).groupBy("_label").count().collect()}
+    chosen = choose_labelled(df, labels, id_col, label)
+    known = labelled(df, chosen, id_col, text)
+    classes = {r["_label"] for r in chosen.where(F.col("_fold") != 3).select("_label").distinct().collect()}
     if not {0, 1} <= classes:
         return Model(b"", b"", np.array([0.0] * FEATURES + [-30.0]))
     ordinary, toxic = train_dictionaries(_sample_windows(known, 0), _sample_windows(known, 1))
-    chosen = known.where(F.col("_fold") == 3).orderBy("_order").limit(CALIBRATION).select("_label", "_text")
-    rows = chosen.mapInArrow(_scorer(ordinary, toxic), "_label int, _features array<double>").collect()
+    # Scored where the texts lie; only six numbers of each of the bounded sample are collected.
+    tuned = known.where(F.col("_fold") == 3).select("_order", "_label", "_text")
+    rows = sorted(tuned.mapInArrow(_scorer(ordinary, toxic), "_order long, _label int, _features array<double>").collect())
     x, y = np.array([r["_features"] for r in rows]).reshape(-1, FEATURES), np.array([r["_label"] for r in rows], float)
     return Model(ordinary, toxic, fit_logistic(x, y) if len(set(y)) == 2 else np.array([1.0] + [0.0] * (FEATURES - 1) + [-5.0]))
 
