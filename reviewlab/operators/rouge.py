@@ -6,6 +6,8 @@ its references. Scores are structs <p, r, f>.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,8 @@ def _tokens(normal: Column, by: str) -> Column:
     raise ValueError(f"unknown token kind {by!r}")
 
 
-def whole_tokens(text: Column, limit: int | None = 1000, unit: str = "words", by: str = "words") -> Column:
-    """Normalised tokens of a text taken as a whole, truncated first (``None``: no limit).
+def whole_tokens(text: Column, limit: int | None = None, unit: str = "words", by: str = "words") -> Column:
+    """Normalised tokens of a text, the whole of it or, with a ``limit``, what truncation leaves.
 
     ``by`` is ``words`` or ``characters``. For another tokenizer, give ``rouge_n`` the
     columns made by ``models.encode_texts``.
@@ -36,8 +38,8 @@ def whole_tokens(text: Column, limit: int | None = 1000, unit: str = "words", by
     return _tokens(normalise_text(cut), by)
 
 
-def sentence_list(text: Column, limit: int | None = 1000, unit: str = "words", by: str = "words") -> Column:
-    """Normalised lines of a text, truncated first (``None``: no limit), tokens between blanks."""
+def sentence_list(text: Column, limit: int | None = None, unit: str = "words", by: str = "words") -> Column:
+    """Normalised lines of a text, all or, with a ``limit``, what truncation leaves; tokens between blanks."""
     lines = F.split(text, "\n") if limit is None else truncate_sentences(text, limit, unit)
     return F.transform(lines, lambda line: F.array_join(_tokens(normalise_text(line), by), " "))
 
@@ -76,20 +78,21 @@ def lcs_length(a: Column, b: Column) -> Column:
 # Pairs whose lines are aligned together, and cells of the move tables held at once.
 PAIRS = 256
 CELLS = 8_000_000
+# Least number of anti-diagonals whose moves are held at once.
+LEAST_BLOCK = 256
 
 
-def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float) -> np.ndarray:
-    """Aligned reference tokens of many line pairs: (ref token, pair) -> bool.
+def _block(m: int, n: int) -> int:
+    """Anti-diagonals per block: a state is 32 bytes a cell and a move one, so both take the same room."""
+    return max(LEAST_BLOCK, math.isqrt(32 * (m + n)))
 
-    ``refs`` and ``hyps`` are (token, pair) ids, padded with ids that match nothing. The
-    tables of all pairs are filled together, one anti-diagonal after the other. Moves: 0 match, 1 drop
-    the reference token (also on a tie), 2 drop the hypothesis token.
-    """
-    (m, pairs), n = refs.shape, len(hyps)
-    move = np.zeros((m + n + 1, m + 1, pairs), dtype=np.int8)
-    older, old = np.zeros((m + 1, pairs)), np.zeros((m + 1, pairs))
-    older_run, old_run = np.zeros((m + 1, pairs)), np.zeros((m + 1, pairs))
-    for d in range(2, m + n + 1):
+
+def _fill(refs: np.ndarray, hyps: np.ndarray, weight: float, state: tuple[np.ndarray, ...], first: int, last: int,
+          move: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The state after anti-diagonals ``first`` to ``last - 1`` of all pairs; their moves go to ``move``."""
+    m, n = len(refs), len(hyps)
+    older, old, older_run, old_run = state
+    for d in range(first, last):
         lo, hi = max(1, d - n), min(m, d - 1)
         match = refs[lo - 1:hi] == hyps[d - hi - 1:d - lo][::-1]
         up, left = old[lo - 1:hi], old[lo:hi + 1]
@@ -102,19 +105,42 @@ def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float)
             new_run = np.zeros_like(old)
             new_run[lo:hi + 1] = np.where(match, run + 1, 0)
         new[lo:hi + 1] = np.where(match, older[lo - 1:hi] + gain, np.maximum(up, left))
-        move[d, lo:hi + 1] = np.where(match, 0, np.where(up >= left, 1, 2))
+        if move is not None:
+            move[d - first, lo:hi + 1] = np.where(match, 0, np.where(up >= left, 1, 2))
         older, old, older_run, old_run = old, new, old_run, new_run
+    return older, old, older_run, old_run
+
+
+def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float) -> np.ndarray:
+    """Aligned reference tokens of many line pairs: (ref token, pair) -> bool.
+
+    ``refs`` and ``hyps`` are (token, pair) ids, padded with ids that match nothing. The
+    tables of all pairs are filled together, one anti-diagonal after the other. Moves: 0 match, 1 drop
+    the reference token (also on a tie), 2 drop the hypothesis token. Only the state before each
+    block of anti-diagonals is kept; the moves of a block are made again when the way back
+    comes to it, so memory grows with m * sqrt(m + n).
+    """
+    (m, pairs), n = refs.shape, len(hyps)
+    step, end = _block(m, n), m + n + 1
+    blocks = [(first, min(first + step, end)) for first in range(2, end, step)]
+    states = [tuple(np.zeros((m + 1, pairs)) for _ in range(4))]
+    for first, last in blocks[:-1]:
+        states.append(_fill(refs, hyps, weight, states[-1], first, last))
 
     hits = np.zeros((m, pairs), dtype=bool)
     i, j = sizes[0].copy(), sizes[1].copy()
-    at = np.flatnonzero((i > 0) & (j > 0))
-    while len(at):
-        step = move[i[at] + j[at], i[at], at]
-        matched = at[step == 0]
-        hits[i[matched] - 1, matched] = True
-        i[at] -= step != 2
-        j[at] -= step != 1
-        at = at[(i[at] > 0) & (j[at] > 0)]
+    while blocks:
+        first, last = blocks.pop()
+        move = np.zeros((last - first, m + 1, pairs), dtype=np.int8)
+        _fill(refs, hyps, weight, states.pop(), first, last, move)
+        at = np.flatnonzero((i > 0) & (j > 0) & (i + j >= first))
+        while len(at):
+            kind = move[i[at] + j[at] - first, i[at], at]
+            matched = at[kind == 0]
+            hits[i[matched] - 1, matched] = True
+            i[at] -= kind != 2
+            j[at] -= kind != 1
+            at = at[(i[at] > 0) & (j[at] > 0) & (i[at] + j[at] >= first)]
     return hits
 
 
@@ -134,7 +160,7 @@ def _mark(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weight: float)
         while order:
             r, h, _ = lines[order[-1]]
             wide, high = max(m, len(r)), max(n, len(h))
-            if chunk and (wide + high) * wide * (len(chunk) + 1) > CELLS:
+            if chunk and min(wide + high, _block(wide, high)) * wide * (len(chunk) + 1) > CELLS:
                 break
             chunk.append(order.pop())
             m, n = wide, high

@@ -133,6 +133,41 @@ def test_many_line_pairs_do_not_fit_in_one_block(spark, monkeypatch):
     assert rouge._batch_counts(hyps, refs, 1.5) == whole
 
 
+@pytest.mark.parametrize("weight", [1.0, 1.3])
+def test_blocks_of_moves_give_the_same_alignment(monkeypatch, weight):
+    import pandas as pd
+
+    rows = random_lines(40, seed=5)
+    hyps, refs = pd.Series([r[1] for r in rows]), pd.Series([r[2] for r in rows])
+    whole = rouge._batch_counts(hyps, refs, weight)
+    monkeypatch.setattr(rouge, "_block", lambda m, n: 3)
+    assert rouge._batch_counts(hyps, refs, weight) == whole
+
+
+def test_lines_of_any_length_are_aligned_whole_in_bounded_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 6_000
+    hyp = [f"w{k}" for k in range(n)]
+    ref = [t if k % 3 else f"x{k}" for k, t in enumerate(hyp)]
+    tracemalloc.start()
+    (got,) = rouge._batch_counts(pd.Series([[" ".join(hyp)]]), pd.Series([[" ".join(ref)]]), 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == (n, n, n - n // 3)
+    # A table of all moves would take 72 MB.
+    assert peak < 30e6
+
+
+def test_texts_are_whole_unless_a_limit_is_given(spark):
+    df = spark.createDataFrame([("word " * 3000,)], "t string")
+    sizes = df.select(F.size(rouge.whole_tokens(F.col("t"))), F.size(rouge.whole_tokens(F.col("t"), 1000)),
+                      F.size(F.split(rouge.sentence_list(F.col("t"))[0], " "))).first()
+    assert tuple(sizes) == (3000, 1000, 3000)
+
+
 def test_missing_text_has_no_rouge(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "a"), (3, "", "a")], "id long, h string, r string")
     lines = df.select("id", rouge.sentence_list(F.col("h")).alias("hyp_lines"), rouge.sentence_list(F.col("r")).alias("ref_lines"))
