@@ -33,8 +33,10 @@ BLOCKS = f"""turns AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr
     FROM turns WHERE role = 'user'),
   blocks AS (SELECT {', '.join(BLOCK_COLUMNS)} FROM asked)"""
 PAIRS = BLOCKS + ", pairs AS (SELECT * FROM blocks WHERE reply IS NOT NULL)"
-PREDICTIONS = PAIRS + """, predictions AS (SELECT review_id, review, reply,
-    concat(substr(reply, 1, 120), ' ', substr(review, 1, 60)) AS predicted_reply FROM pairs)"""
+# A generated reply: the reply with many of its words spelt otherwise, and the review.
+PREDICTED = "concat(replace(replace(reply, 'er', 'ar'), 'de', 'do'), ' ', review)"
+PREDICTIONS = PAIRS + f""", predictions AS (SELECT review_id, review, reply,
+    {PREDICTED} AS predicted_reply FROM pairs)"""
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 SPACE = r"[\t\n\x0b\f\r\x1c-\x20\x85\p{Z}]"
@@ -80,7 +82,7 @@ def review_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return review_pairs(spark, sf).selectExpr(
         "review_id", "review", "reply",
-        "concat(substr(reply, 1, 120), ' ', substr(review, 1, 60)) AS predicted_reply")
+        f"{PREDICTED} AS predicted_reply")
 
 
 # Label weights per token, and the bias that keeps texts without hits below the threshold.
@@ -123,10 +125,11 @@ def gazetteer(spark: SparkSession) -> DataFrame:
 
 # Vector of a token: a row of the embeddings picked by the token's letters. Tokens that
 # start with z are out of the vocabulary.
-VECTOR_KEY = "(length(word) * 131 + ascii(word) * 7) % 500"
+VECTOR_KEY = "(length(word) * 131 + ascii(word) * 7)"
+N_VECTORS = "(SELECT count(*) FROM embeddings)"
 VECTORS = f"""vocabulary AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM conversations),
-  vectors AS (SELECT word, embedding AS vec FROM vocabulary JOIN embeddings ON vec_id = {VECTOR_KEY}
-    WHERE word NOT LIKE 'z%')"""
+  picked AS (SELECT word, {VECTOR_KEY} % {N_VECTORS} AS key FROM vocabulary),
+  vectors AS (SELECT word, embedding AS vec FROM picked JOIN embeddings ON vec_id = key WHERE word NOT LIKE 'z%')"""
 
 
 def conversation_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,8 +138,8 @@ def conversation_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    words = conversation_words(spark, sf).where("word NOT LIKE 'z%'").withColumn("vec_id", F.expr(VECTOR_KEY))
     vecs = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    words = conversation_words(spark, sf).where("word NOT LIKE 'z%'").withColumn("vec_id", F.expr(VECTOR_KEY) % vecs.count())
     # Vectors are a stored table, not a step of the job that looks words up.
     path = scratch(spark)
     words.join(vecs, "vec_id").select("word", "vec").write.parquet(path)
@@ -146,14 +149,15 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def with_sentence_vectors(spark: SparkSession, sf: str, df: DataFrame, cols: dict[str, int]) -> DataFrame:
     """Add a row of the embeddings per text column, picked by review id and offset."""
     vecs = table(spark, sf, "embeddings")
+    n = vecs.count()
     for new, offset in cols.items():
         keyed = vecs.select(F.col("vec_id").alias("_v"), F.col("embedding").alias(new))
-        df = df.join(keyed, F.expr(f"(review_id * 13 + {offset}) % 500") == F.col("_v")).drop("_v")
+        df = df.join(keyed, F.expr(f"(review_id * 13 + {offset}) % {n}") == F.col("_v")).drop("_v")
     return df
 
 
 def sentence_vector_sql(offset: int, alias: str = "p") -> str:
-    return f"(SELECT embedding FROM embeddings e WHERE e.vec_id = ({alias}.review_id * 13 + {offset}) % 500)"
+    return f"(SELECT embedding FROM embeddings e WHERE e.vec_id = ({alias}.review_id * 13 + {offset}) % {N_VECTORS})"
 
 
 def cosine_sql(a: str, b: str) -> str:

@@ -90,11 +90,11 @@ def vector_cosine(spark, sf):
 
 
 @check(f"""SELECT a.vec_id, round({cosine_sql('a.embedding', 'b.embedding')}, 6) AS score
-    FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % 500""")
+    FROM (SELECT *, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS o FROM embeddings) a JOIN embeddings b ON b.vec_id = a.o""")
 def embedding_cosine(spark, sf):
     vecs = table(spark, sf, "embeddings")
     other = vecs.select(F.col("vec_id").alias("o"), F.col("embedding").alias("b"))
-    joined = vecs.join(other, F.expr("(vec_id * 7 + 1) % 500 = o"))
+    joined = vecs.join(other, F.expr(f"(vec_id * 7 + 1) % {vecs.count()} = o"))
     return joined.select("vec_id", F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
 
 
@@ -156,10 +156,8 @@ def any_common_share(spark, sf):
 # ---------------------------------------------------------------------- ROUGE
 
 def whole_sql(col: str) -> str:
-    """Normalised words of a text; the given texts stay below the limit of 1000 words."""
-    return rf"""regexp_extract_all(regexp_replace(lower(array_to_string(list_slice(
-        regexp_extract_all({col}, '[^\t\n\x0b\f\r\x1c-\x20\x85\p{{Z}}]+', 0), 1, 1000), ' ')),
-        '[^A-Za-z0-9가-힣]', ' ', 'g'), '[^ ]+', 0)"""
+    """Normalised words of a text."""
+    return f"regexp_extract_all(regexp_replace(lower({col}), '[^A-Za-z0-9가-힣]', ' ', 'g'), '[^ ]+', 0)"
 
 
 def rouge_n_sql(source: str, n: int, out: str, alpha: float = 0.5, key: str = "review_id") -> str:
