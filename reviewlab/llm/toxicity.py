@@ -179,13 +179,21 @@ def labelled(df: DataFrame, chosen: DataFrame, id_col: str, text: str) -> DataFr
     return rows.join(F.broadcast(chosen), "_id").drop("_id")
 
 
-def _sample_windows(known: DataFrame, label: int) -> list[bytes]:
-    """At most SAMPLE windows of a class, of the texts that train dictionaries."""
-    places = F.sequence(F.lit(0), F.greatest(F.octet_length("_text") - WINDOW, F.lit(0)), F.lit(STRIDE))
-    cut = known.where((F.col("_label") == label) & (F.col("_fold") != 3)).select("_order", "_text", F.explode(places).alias("p"))
-    chosen = cut.select(F.xxhash64("_order", "p").alias("h"), F.substring("_text", F.col("p") + 1, F.lit(WINDOW)).alias("w")) \
-        .orderBy("h", "w").limit(SAMPLE)
-    return [bytes(r.w).lower() for r in chosen.collect()]
+def _sample_windows(known: DataFrame, totals: dict[int, int], label: int) -> list[bytes]:
+    """About SAMPLE windows of a class, in the order of a hash, of the texts that train dictionaries.
+
+    A window is taken by its own hash, so tasks hand on the sample and not their best each.
+    """
+    cut = known.where((F.col("_label") == label) & (F.col("_fold") != 3)).select("_order", "_text", F.explode(_places()).alias("p"))
+    place = F.pmod(F.xxhash64("_order", "p"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = cut.where(place < SAMPLE / max(totals[label], 1)).select(
+        F.xxhash64("_order", "p").alias("h"), F.substring("_text", F.col("p") + 1, F.lit(WINDOW)).alias("w"))
+    return [bytes(r.w).lower() for r in sorted(chosen.collect())]
+
+
+def _places() -> Column:
+    """Where the windows of a text begin."""
+    return F.sequence(F.lit(0), F.greatest(F.octet_length("_text") - WINDOW, F.lit(0)), F.lit(STRIDE))
 
 
 class Model:
@@ -209,7 +217,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     classes = {r["_label"] for r in chosen.where(F.col("_fold") != 3).select("_label").distinct().collect()}
     if not {0, 1} <= classes:
         return Model(b"", b"", np.array([0.0] * FEATURES + [-30.0]))
-    ordinary, toxic = train_dictionaries(_sample_windows(known, 0), _sample_windows(known, 1))
+    totals = {r["_label"]: r["n"] for r in known.where(F.col("_fold") != 3).groupBy("_label").agg(F.sum(F.size(_places())).alias("n")).collect()}
+    ordinary, toxic = train_dictionaries(_sample_windows(known, totals, 0), _sample_windows(known, totals, 1))
     # Scored where the texts lie; only six numbers of each of the bounded sample are collected.
     tuned = known.where(F.col("_fold") == 3).select("_order", "_label", "_text")
     rows = sorted(tuned.mapInArrow(_scorer(ordinary, toxic), "_order long, _label int, _features array<double>").collect())
