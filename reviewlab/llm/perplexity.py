@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab.llm.common import slices, text_bytes
-from reviewlab.scale import cut_lineage
+from reviewlab.scale import cut_lineage, lookup_join
 
 ORDER = 5
 BEGIN, STOP = "\x02", "\x03"
@@ -113,12 +114,13 @@ def language(lang: str = "lang") -> Column:
 
 # ------------------------------------------------------- modified Kneser-Ney model
 
-def _discounts(table: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) from the counts of counts; estimates that cannot be made are 0.5, 1 and 1.5."""
+def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
+    """(k, lang, d1, d2, d3) from the counts of counts of each order; estimates that cannot be made are 0.5, 1 and 1.5."""
     def seen(k: int) -> Column:
         return F.count_if(F.col("n") == k).cast("double")
 
-    sums = table.groupBy("lang").agg(*[seen(k).alias(f"t{k}") for k in (1, 2, 3, 4)])
+    every = reduce(DataFrame.unionByName, [table.select(F.lit(k).alias("k"), "lang", "n") for k, table in tables.items()])
+    sums = every.groupBy("k", "lang").agg(*[seen(k).alias(f"t{k}") for k in (1, 2, 3, 4)])
     t = {k: F.col(f"t{k}") for k in (1, 2, 3, 4)}
     y = F.try_divide(t[1], t[1] + 2 * t[2])
 
@@ -126,7 +128,7 @@ def _discounts(table: DataFrame) -> DataFrame:
         d = k - F.try_divide((k + 1) * y * t[k + 1], t[k])
         return F.when((t[1] > 0) & (t[k] > 0) & (d > 0) & (d < k), d).otherwise(F.lit(k / 2))
 
-    return sums.select("lang", *[estimate(k).alias(f"d{k}") for k in (1, 2, 3)])
+    return sums.select("k", "lang", *[estimate(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
@@ -134,15 +136,17 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
+    Discounts are one row per order and language and are looked up, so that no language is a task.
     """
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         longer = tables[k + 1]
-        tables[k] = longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    discounts = cut_lineage(_discounts(tables))
     lower = None
     for k in range(1, ORDER + 1):
         table = tables[k].withColumn("context", F.substring("gram", 1, k - 1))
-        known = table.join(_discounts(tables[k]), "lang")
+        known = lookup_join(table, discounts.where(F.col("k") == k).drop("k"), ["lang"], ["gram"])
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rest = known.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum(cut).alias("left"), F.count("*").alias("kinds"))
         joined = known.join(rest, ["lang", "context"]).withColumn("own", (F.col("n") - cut) / F.col("all"))
@@ -284,11 +288,11 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
         "perplexity": F.round(F.exp(-F.when(symbols > 0, F.col("_logp") / symbols).otherwise(0.0)), 6),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))}))
     passing = scored.where(~F.col("base_failed")).select("_lang", F.log("perplexity").alias("x"))
-    middle = passing.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
-    spread = passing.join(middle, "_lang").groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
+    middle = cut_lineage(passing.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")))
+    spread = lookup_join(passing, middle, ["_lang"], ["x"]).groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
     half = F.greatest(F.lit(width * 1.4826) * F.col("s"), F.lit(LEAST_WIDTH))
-    bands = spread.select("_lang", F.exp(F.col("m") - half).alias("band_low"), F.exp(F.col("m") + half).alias("band_high"))
+    bands = cut_lineage(spread.select("_lang", F.exp(F.col("m") - half).alias("band_low"), F.exp(F.col("m") + half).alias("band_high")))
     inside = F.col("perplexity").between(F.col("band_low"), F.col("band_high"))
-    return scored.join(bands, "_lang", "left").select(
+    return lookup_join(scored, bands, ["_lang"], ["_id"], "left").select(
         F.col("_id").alias(id_col), *_FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "perplexity", "band_low", "band_high")
 
