@@ -281,22 +281,89 @@ LCS = """lcs AS (SELECT review_id, len(hyp_tokens) AS hyp, len(ref_tokens) AS re
       list_resize([0::BIGINT], len(ref_tokens) + 1, 0::BIGINT))) END AS n FROM texts)"""
 
 
+def lines_sql(col: str) -> str:
+    return f"list_transform(string_split({col}, chr(10)), lambda line: {whole_sql('line')})"
+
+
+def recursive(select: str, *ctes: str) -> str:
+    return rows(select, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def rouge_lcs_sql(source: str, out: str, weight: float = 1.0, key: str = "review_id") -> str:
+    """CTEs up to ``out`` (key, p, r, f) of ROUGE-L or ROUGE-W over a CTE with hyp_lines and ref_lines.
+
+    The alignment of two lines is filled row by row: values, and lengths of the runs of matches that end in a cell.
+    The way back reads a letter per cell: m match, u up, l left. All ways of a reference line make its hits, of which
+    each token counts as often as the hypothesis has it; a run closes with a hit that counts and is the last of its
+    neighbours.
+    """
+    size = "1" if weight == 1.0 else f"pow(count(*), {weight})"
+    run = "place" if weight == 1.0 else "before"
+    ends = "" if weight == 1.0 else "HAVING max(ends) = 1"
+    return f"""{out}_r AS (SELECT {key}, unnest(range(1, len(ref_lines) + 1)) AS line, unnest(ref_lines) AS r FROM {source}),
+      {out}_h AS (SELECT {key}, unnest(range(1, len(hyp_lines) + 1)) AS other, unnest(hyp_lines) AS h FROM {source}),
+      {out}_two AS (SELECT row_number() OVER () AS two, * FROM {out}_r JOIN {out}_h USING ({key}) WHERE len(r) > 0 AND len(h) > 0),
+      {out}_fill(two, i, r, h, row, runs) AS (
+        SELECT two, 0::BIGINT, r, h, list_transform(range(len(h) + 1), lambda x: 0.0::DOUBLE),
+          list_transform(range(len(h) + 1), lambda x: 0::BIGINT) FROM {out}_two
+        UNION ALL SELECT two, i + 1, r, h, list_reduce(range(1, len(h) + 1), lambda cur, j: list_append(cur,
+            CASE WHEN tok = h[j] THEN row[j] + pow(runs[j] + 1, {weight}) - pow(runs[j], {weight})
+            ELSE greatest(row[j + 1], cur[j]) END), [0.0::DOUBLE]),
+          list_prepend(0::BIGINT, list_transform(range(1, len(h) + 1), lambda j: CASE WHEN tok = h[j] THEN runs[j] + 1 ELSE 0 END))
+        FROM (SELECT *, r[i + 1] AS tok FROM {out}_fill WHERE i < len(r))),
+      {out}_move AS (SELECT two, i, array_to_string(list_transform(range(1, len(h) + 1), lambda j: CASE WHEN tok = h[j] THEN 'm'
+          WHEN above[j + 1] >= row[j] THEN 'u' ELSE 'l' END), '') AS moves
+        FROM (SELECT *, r[i] AS tok, lag(row) OVER (PARTITION BY two ORDER BY i) AS above FROM {out}_fill) WHERE i > 0),
+      {out}_way AS (SELECT two, list_reduce(list(moves ORDER BY i DESC),
+          lambda back, moves: {{'i': back.i - 1,
+            'j': length(rtrim(moves[1:back.j], 'l')) - (right(rtrim(moves[1:back.j], 'l'), 1) = 'm')::BIGINT,
+            's': CASE WHEN right(rtrim(moves[1:back.j], 'l'), 1) = 'm' THEN back.s || ',' || back.i ELSE back.s END}}, {{'i': max(i)::BIGINT, 'j': max(length(moves))::BIGINT, 's': ''}}) AS way FROM {out}_move GROUP BY two),
+      {out}_at AS (SELECT DISTINCT {key}, line, place, r[place] AS tok FROM (SELECT {key}, line, r,
+          unnest(string_split(way.s[2:], ','))::BIGINT AS place FROM {out}_way JOIN {out}_two USING (two) WHERE way.s <> '')),
+      {out}_hit AS (SELECT *, row_number() OVER (PARTITION BY {key}, tok ORDER BY line, place) AS nth,
+        (lead(place) OVER (PARTITION BY {key}, line ORDER BY place) IS DISTINCT FROM place + 1)::INT AS ends FROM {out}_at),
+      {out}_have AS (SELECT {key}, tok, count(*) AS n FROM (SELECT {key}, unnest(h) AS tok FROM {out}_h) GROUP BY ALL),
+      {out}_used AS (SELECT {key}, line, place, ends, coalesce(sum(ends) OVER (PARTITION BY {key}, line ORDER BY place
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM {out}_hit JOIN {out}_have USING ({key}, tok) WHERE nth <= n),
+      {out}_o AS (SELECT {key}, sum(size) AS overlap FROM (SELECT {key}, {size} AS size FROM {out}_used
+        GROUP BY {key}, line, {run} {ends}) GROUP BY ALL),
+      {out}_counts AS (SELECT {key}, pow(list_sum(list_transform(hyp_lines, lambda x: len(x))), {weight}) AS hyp,
+        pow(list_sum(list_transform(ref_lines, lambda x: pow(len(x), {weight}))), {weight}) AS ref,
+        coalesce(overlap, 0) AS overlap FROM {source} LEFT JOIN {out}_o USING ({key})),
+      {out}_pr AS (SELECT {key}, pow(CASE WHEN hyp = 0 THEN 0 ELSE overlap / hyp END, {1 / weight}) AS p,
+        pow(CASE WHEN ref = 0 THEN 0 ELSE overlap / ref END, {1 / weight}) AS r FROM {out}_counts),
+      {out} AS (SELECT *, CASE WHEN p = 0 OR r = 0 THEN 0 ELSE p * r / (0.5 * p + 0.5 * r) END AS f FROM {out}_pr)"""
+
+
+LINES = f"""texts AS (SELECT review_id, {lines_sql('predicted_reply')} AS hyp_lines,
+    {lines_sql('reply')} AS ref_lines FROM predictions)"""
+ROUGE_L, ROUGE_W = rouge_lcs_sql("texts", "rl"), rouge_lcs_sql("texts", "rw", 1.2)
+
+
 def _lines(spark, sf):
     return predictions(spark, sf).select("review_id", rouge.sentence_list(F.col("predicted_reply")).alias("hyp_lines"),
                                          rouge.sentence_list(F.col("reply")).alias("ref_lines"))
 
 
-@check()
+@check(recursive("SELECT review_id, round(p, 6) AS p, round(r, 6) AS r, round(f, 6) AS f FROM rl", PREDICTIONS, LINES, ROUGE_L))
 def rouge_l(spark, sf):
     return _scores(rouge.rouge_lcs(_lines(spark, sf), "s"), "review_id", "s")
 
 
-@check()
+@check(recursive("SELECT review_id, round(p, 6) AS p, round(r, 6) AS r, round(f, 6) AS f FROM rw", PREDICTIONS, LINES, ROUGE_W))
 def rouge_w(spark, sf):
     return _scores(rouge.rouge_lcs(_lines(spark, sf), "s", weight=1.2), "review_id", "s")
 
 
-@check()
+MULTI_LINES = f"""refs AS (SELECT review_id * 10 AS pair_id, {lines_sql('predicted_reply')} AS hyp_lines,
+      {lines_sql('reply')} AS ref_lines FROM predictions
+    UNION ALL SELECT review_id * 10 + 1, {lines_sql('predicted_reply')}, {lines_sql('review')} FROM predictions)"""
+
+
+@check(recursive("""SELECT pair_id // 10 AS sample_id, round(p, 6) AS p, round(r, 6) AS r, round(f, 6) AS f FROM rl
+    QUALIFY row_number() OVER (PARTITION BY pair_id // 10 ORDER BY rl.r DESC, pair_id) = 1""",
+            PREDICTIONS, MULTI_LINES, rouge_lcs_sql("refs", "rl", key="pair_id")))
 def rouge_l_best_reference(spark, sf):
     sides = F.array(F.struct(F.lit(0).alias("ref_id"), F.col("reply").alias("text")),
                     F.struct(F.lit(1).alias("ref_id"), F.col("review").alias("text")))
@@ -307,7 +374,7 @@ def rouge_l_best_reference(spark, sf):
     return best.select("sample_id", *[F.round(c, 6).alias(c) for c in ("p", "r", "f")])
 
 
-@check()
+@check(recursive("SELECT round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg(f), 6) AS f FROM rl", PREDICTIONS, LINES, ROUGE_L))
 def prediction_rouge_l_mean(spark, sf):
     scored = rouge.rouge_lcs(_lines(spark, sf), "s").select("s.*")
     return rouge.rouge_mean(scored).select(*[F.round(c, 6).alias(c) for c in ("p", "r", "f")])
@@ -375,7 +442,13 @@ def mean_scores(spark, sf):
     return stats.mean_scores(report, SIX).select(*[F.round(c, 6).alias(c) for c in SIX])
 
 
-@check()
+MEASURES = [("rouge_l", "rl"), ("rouge_w", "rw")]
+
+
+@check(recursive(f"""SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in SIX)},
+    {', '.join(f'round(avg({t}.{x}), 6) AS {m}_{x}' for m, t in MEASURES for x in ('p', 'r', 'f'))},
+    round(({' + '.join(f'avg({c})' for c in SIX)}) / 6, 6) AS grand_mean
+    FROM report JOIN rl USING (review_id) JOIN rw USING (review_id)""", PREDICTIONS, VECTORS, REPORT, LINES, ROUGE_L, ROUGE_W))
 def evaluate_predictions(spark, sf):
     means = jobs.evaluate_predictions(_encoded_predictions(spark, sf), word_vectors(spark, sf), ENCODED, weight=1.2)
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])

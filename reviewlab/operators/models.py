@@ -30,17 +30,27 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     weights))). ``lexicon`` holds label, token and weight; every token occurrence counts.
     Labels are few and are read as one array. All texts share one lookup.
     """
-    labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("l")).scalar()
+    joined = df.join(label_sums(df, cols, lexicon, row_id, **scale), row_id, "left")
+    return with_label_scores(joined, cols, lexicon, bias)
+
+
+def label_sums(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, row_id: str = "review_id", **scale: int) -> DataFrame:
+    """One row per id with a weighted token: for each new column a map ``_z_<column>`` from label to sum of weights."""
     sides = F.array(*[F.struct(F.lit(new).alias("side"), tokenise(F.col(text)).alias("tokens"))
                       for new, text in cols.items()])
     long = df.select(row_id, *cols.values()).repartition(row_id).select(row_id, F.inline(sides))
     occurrences = long.select(row_id, "side", F.posexplode("tokens").alias("pos", "token"))
     hits = lookup_join(occurrences, lexicon, ["token"], [row_id, "side", "pos"], **scale)
     sums = hits.groupBy(row_id, "side", "label").agg(F.sum("weight").alias("z"))
-    per_row = sums.groupBy(row_id).agg(*[
+    return sums.groupBy(row_id).agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col("side") == new, F.struct("label", "z")))).alias(f"_z_{new}")
         for new in cols])
 
+
+def with_label_scores(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias: float = 0.0) -> DataFrame:
+    """Scores of all labels from the columns of ``label_sums``, which go."""
+    labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("l")).scalar()
+
     def scores(new: str) -> Column:
         def score(label: Column) -> Column:
             z = F.lit(float(bias)) + F.coalesce(F.try_element_at(F.col(f"_z_{new}"), label), F.lit(0.0))
@@ -48,8 +58,7 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
 
         return F.transform("_l", score)
 
-    joined = df.join(per_row, row_id, "left").withColumn("_l", labels)
-    return joined.withColumns({new: scores(new) for new in cols}).drop("_l", *[f"_z_{new}" for new in cols])
+    return df.withColumn("_l", labels).withColumns({new: scores(new) for new in cols}).drop("_l", *[f"_z_{new}" for new in cols])
 
 
 def batch_function(factory: Callable[[], Model], returns: str, failed: object = None,

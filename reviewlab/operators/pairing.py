@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab.scale import lookup_join, next_in_group
@@ -40,17 +40,17 @@ def lookup_vectors(df: DataFrame, vectors: DataFrame, row_id: Sequence[str], tok
 
 
 def first_per_key(df: DataFrame, key: str, order: str | Column) -> DataFrame:
-    """The row that comes first for each key, combined before the shuffle."""
+    """The row that comes first for each key; a task hands on one row per key."""
     order = F.col(order) if isinstance(order, str) else order
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(key).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order.asc_nulls_last()))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def exclude_seen_stores(df: DataFrame, seen: DataFrame, store: str = "store",
                         order: str = "review_id") -> DataFrame:
     """First row of each store that is not listed in ``seen``."""
-    fresh = first_per_key(df, store, order)
-    return fresh.join(seen.select(store).distinct(), store, "left_anti")
+    fresh = df.join(seen.select(store).distinct(), store, "left_anti")
+    return first_per_key(fresh, store, order)
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str = "review_id") -> DataFrame:

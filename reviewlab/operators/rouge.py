@@ -195,20 +195,31 @@ def _batch_counts(hyps: pd.Series, refs: pd.Series, weight: float) -> list[tuple
         n_hyp = float(sum(map(len, hyp_lines))) ** weight
         n_ref = float(sum(len(line) ** weight for line in ref_lines)) ** weight
         left = np.bincount(np.concatenate([*hyp_lines, np.array([], dtype=np.int64)]), minlength=n_ids)
-        overlap = 0.0
-        for line, hit in zip(ref_lines, hits, strict=True):
-            run = 0
-            for at in np.flatnonzero(hit):
-                if left[line[at]] == 0:
-                    continue
-                left[line[at]] -= 1
-                run += 1
-                if weight == 1.0 or at + 1 == len(line) or not hit[at + 1]:
-                    overlap, run = overlap + run**weight, 0
-        counts.append((n_hyp, n_ref, overlap))
+        counts.append((n_hyp, n_ref, _overlap(ref_lines, hits, left, weight)))
     return counts
 
 
+def _overlap(ref_lines: list[np.ndarray], hits: list[np.ndarray], available: np.ndarray, weight: float) -> float:
+    """Weighted hits of all lines, of which each token counts as often as it is ``available``."""
+    if not any(hit.any() for hit in hits):
+        return 0.0
+    tokens = np.concatenate([line[hit] for line, hit in zip(ref_lines, hits, strict=True)])
+    order = np.argsort(tokens, kind="stable")
+    rank = np.empty(len(tokens), dtype=np.int64)
+    rank[order] = np.arange(len(tokens)) - np.searchsorted(tokens[order], tokens[order])
+    used = rank < available[tokens]
+    if weight == 1.0:
+        return float(used.sum())
+    last = np.concatenate([~np.append(hit[1:], False)[hit] for hit in hits])
+    line = np.repeat(np.arange(len(hits)), [hit.sum() for hit in hits])
+    # A run reaches from behind the last end in its line to the next one; what no end follows does not count.
+    ends, line = last[used], line[used]
+    before = np.cumsum(ends) - ends
+    _, run, sizes = np.unique(line * (len(ends) + 1) + before, return_inverse=True, return_counts=True)
+    closed = np.bincount(run, weights=ends) > 0
+    return float((sizes[closed] ** weight).sum())
+
+
 def union_lcs_counts(hyp: Column, ref: Column, weight: float = 1.0) -> Column:
     """struct<hyp, ref, overlap> of two lists of normalised lines, in Arrow batches."""
     if weight <= 0:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlab.functions.overlap import tfidf_pair_cosine, vector_cosine
 from reviewlab.functions.text import tokenise
-from reviewlab.operators.pairing import lookup_vectors
-from reviewlab.scale import compute_once
+from reviewlab.scale import compute_once, lookup_join
 
 
 def with_tokens(df: DataFrame, texts: Mapping[str, str]) -> DataFrame:
@@ -29,17 +28,20 @@ def mean_vectors(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
 
     ``texts`` maps output column to token column. A column is NULL where no token is
     known. All texts share one lookup. Rows are placed by id once, which serves all further
-    steps; where the vectors are broadcast nothing else is shuffled.
+    steps; where the vectors are broadcast nothing else is shuffled. Equal tokens of a text are
+    counted first, so a vector is looked up once for them.
     """
     size = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
     placed = df.select(row_id, *[tokens.alias(f"_t{i}") for i, tokens in enumerate(texts.values())]).repartition(row_id)
     sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"_t{i}").alias("tokens"))
                       for i, name in enumerate(texts)])
-    hits = lookup_vectors(placed.select(row_id, F.inline(sides)), vectors, [row_id, "side"], **scale)
+    tokens = placed.select(row_id, F.inline(sides)).select(row_id, "side", F.explode("tokens").alias("word"))
+    counted = tokens.groupBy(row_id, "side", "word").agg(F.count("*").alias("_times"))
+    hits = lookup_join(counted, vectors, ["word"], [row_id, "side"], **scale)
     # A plain sum per dimension: its buffer has a fixed width, so rows are combined in a hash
     # table before any shuffle.
-    sums = [F.sum(F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
-    per_side = hits.groupBy(row_id, "side").agg(F.count("*").alias("_n"), *sums).select(
+    sums = [F.sum(F.col("_times") * F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
+    per_side = hits.groupBy(row_id, "side").agg(F.sum("_times").alias("_n"), *sums).select(
         row_id, "side", F.array(*[F.col(f"_d{i}") / F.col("_n") for i in range(size)]).alias("mean"))
     return per_side.groupBy(row_id).agg(*[
         F.any_value(F.when(F.col("side") == name, F.col("mean")), F.lit(True)).alias(name) for name in texts])
@@ -52,13 +54,18 @@ def with_word_vector_cosine(df: DataFrame, vectors: DataFrame, texts: Mapping[st
 
     ``pairs`` maps new column to two names of ``texts``.
     """
-    means = mean_vectors(df, vectors, texts, row_id, **scale)
-    scores = means.select(row_id, *[
-        vector_cosine(F.col(a), F.col(b)).alias(new) for new, (a, b) in pairs.items()])
-    joined = df.join(scores, row_id, "left")
+    joined = df.join(word_vector_cosines(df, vectors, texts, pairs, row_id, **scale), row_id, "left")
     return joined.withColumns({new: F.coalesce(F.col(new), F.lit(0.0)) for new in pairs})
 
 
+def word_vector_cosines(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
+                        pairs: Mapping[str, tuple[str, str]], row_id: str = "review_id",
+                        **scale: int) -> DataFrame:
+    """The scores of ``with_word_vector_cosine`` as a table by id, of rows with a known token."""
+    means = mean_vectors(df, vectors, texts, row_id, **scale)
+    return means.select(row_id, *[vector_cosine(F.col(a), F.col(b)).alias(new) for new, (a, b) in pairs.items()])
+
+
 def with_vector_cosine(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add cosines of sentence vectors held in columns of ``df``."""
     return compute_once(df, {new: vector_cosine(F.col(a), F.col(b)) for new, (a, b) in pairs.items()})
@@ -73,14 +80,15 @@ def prediction_report(predictions: DataFrame, vectors: DataFrame, sentence_vecto
     """Six similarity columns of a prediction table.
 
     ``predictions`` holds review, reply and predicted_reply; ``sentence_vectors`` names
-    the columns with the sentence vectors of the three. Each text is tokenised once.
+    the columns with the sentence vectors of the three. Word vectors go first: what their
+    lookup reads again is the texts alone, not the other scores.
     """
     tokens = {"_review": F.col("_t_review"), "_reply": F.col("_t_reply"), "_pred": F.col("_t_pred")}
     df = with_tokens(predictions, {"_t_review": "review", "_t_reply": "reply", "_t_pred": "predicted_reply"})
-    df = with_tfidf(df, {"tfidf_review": (tokens["_review"], tokens["_pred"]),
-                         "tfidf_reply": (tokens["_reply"], tokens["_pred"])})
     df = with_word_vector_cosine(df, vectors, tokens, {"glove_review": ("_review", "_pred"),
                                                        "glove_reply": ("_reply", "_pred")}, row_id, **scale)
+    df = with_tfidf(df, {"tfidf_review": (tokens["_review"], tokens["_pred"]),
+                         "tfidf_reply": (tokens["_reply"], tokens["_pred"])})
     v_review, v_reply, v_pred = sentence_vectors
     df = with_vector_cosine(df, {"sbert_review": (v_review, v_pred), "sbert_reply": (v_reply, v_pred)})
     return df.select(*predictions.columns, *PREDICTION_SCORES)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -96,27 +95,35 @@ def _per_literal(df: DataFrame, literals: Sequence[str], exprs: list[Column], na
     return wide.select(F.inline("_r")).select("literal", *names)
 
 
-def literal_profile(df: DataFrame, col: str, literals: Sequence[str] | None = None) -> DataFrame:
-    """For each literal: rows that contain it, and its occurrences over all rows."""
+def _occurrences(text: Column, literal: str) -> Column:
+    """Occurrences of a literal from left to right without overlaps, from what is left without them."""
+    if not literal:
+        return F.length(text) + 1
+    gone = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
+    return F.when(text.contains(literal), (gone / len(literal)).cast("bigint")).otherwise(F.lit(0))
+
+
+def literal_profile(df: DataFrame, col: str, literals: Sequence[str] | None = None,
+                    names: Sequence[str] = ("rows", "total")) -> DataFrame:
+    """For each literal: rows that contain it, and its occurrences over all rows, or one of the two."""
     literals = v.PROFILE_LITERALS if literals is None else literals
     text = F.col(col)
-    exprs = [
-        F.struct(
-            F.lit(x).alias("literal"),
-            F.count_if(text.contains(x)).alias("rows"),
-            F.coalesce(F.sum(F.regexp_count(text, F.lit(re.escape(x)))), F.lit(0)).cast("bigint").alias("total"),
-        )
-        for x in literals
-    ]
-    return _per_literal(df, literals, exprs, ["rows", "total"])
+
+    def measure(name: str, x: str) -> Column:
+        if name == "rows":
+            return F.count_if(text.contains(x))
+        return F.coalesce(F.sum(_occurrences(text, x)), F.lit(0)).cast("bigint")
+
+    exprs = [F.struct(F.lit(x).alias("literal"), *[measure(n, x).alias(n) for n in names]) for x in literals]
+    return _per_literal(df, literals, exprs, list(names))
 
 
 def contains_count(df: DataFrame, col: str, literals: Sequence[str] | None = None) -> DataFrame:
-    return literal_profile(df, col, literals).select("literal", "rows")
+    return literal_profile(df, col, literals, ["rows"])
 
 
 def substring_total(df: DataFrame, col: str, literals: Sequence[str] | None = None) -> DataFrame:
-    return literal_profile(df, col, literals).select("literal", "total")
+    return literal_profile(df, col, literals, ["total"])
 
 
 def regex_row_count(df: DataFrame, col: str, pattern: str = "[a-zA-Z]") -> DataFrame:
@@ -132,8 +139,10 @@ def char_frequency(df: DataFrame, col: str, allowed: str = v.PROFILE_ALLOWED, k:
     character with its number of occurrences, so rows are counted without a distinct count.
     """
     left = df.select(F.regexp_replace(col, f"[{allowed}]+", "").alias("_left")).where(F.col("_left") != "")
-    per_row = F.transform(F.array_distinct(F.split("_left", "")), lambda ch: F.struct(
-        ch.alias("ch"), (F.length("_left") - F.length(F.replace(F.col("_left"), ch, F.lit("")))).alias("n")))
+    # Sorted, equal characters are runs, which one pass finds.
+    ordered = F.array_join(F.array_sort(F.split("_left", "")), "")
+    per_row = F.transform(F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0)), lambda run: F.struct(
+        F.left(run, F.lit(1)).alias("ch"), F.length(run).alias("n")))
     counts = left.select(F.inline(per_row)).groupBy("ch").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     return counts.orderBy(F.desc(by), "ch").limit(k)
 

@@ -24,8 +24,6 @@ from reviewlab.session import cut_lineage
 
 PIECE = "_piece"
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
-HOT_SHARE = 1000
 
 
 # ---------------------------------------------------------------- lookup joins
@@ -49,32 +47,38 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], row_id: Sequence[str],
-                how: str = "inner", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+                how: str = "inner", limit: int = BROADCAST_BYTES, tasks: int | None = None) -> DataFrame:
     """Equi-join ``df`` with a lookup ``table`` whose key may be hot in ``df``.
 
     ``table`` is read twice, to measure and to join it, so a costly one is written first.
-    A table measured below ``limit`` is broadcast. Beyond that both sides are shuffled, and
-    a key that holds more than a thousandth of the rows of ``df`` (so there are fewer than
-    a thousand such keys, which are safe to broadcast) is joined on (key, salt): its rows
-    spread over ``salts`` tasks by ``row_id``, a unique key of ``df``, and its match is
-    repeated once per salt. Every match is kept. Rows without a key match nothing and are
-    spread as well.
+    A table measured below ``limit`` is broadcast. Beyond that both sides are shuffled to
+    ``tasks`` (the number of shuffle partitions, unless given), and a key that holds more than
+    a task's share of the rows of ``df`` is joined on (key, salt): it gets as many salts as it
+    holds shares, its rows are spread over them by ``row_id``, a unique key of ``df``, and its
+    match is repeated once per salt. There are fewer such keys than tasks, so they are safe to
+    broadcast. Every match is kept. Rows without a key match nothing and are spread as well.
     """
     on = list(on)
     if table_bytes(table) <= limit:
         return df.join(F.broadcast(table), on, how)
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    rows = df.agg(F.count("*").alias("_n")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > rows).select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(df, on, tasks))
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted = df.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0))).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copies = table.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    salts = F.when(keyless, F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = df.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copies = table.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], tasks: int) -> DataFrame:
+    """Keys that hold more than the share of one of ``tasks``, and how many shares: columns ``on`` and ``_salts``."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    rows = df.agg(F.count("*").alias("_n")).scalar()
+    shares = F.ceil(F.col("_n") * tasks / rows).cast("int")
+    return counts.where(F.col("_n") * tasks > rows).select(*on, shares.alias("_salts"))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that treats NULL keys as equal, keeping the key columns of ``left``."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])

@@ -66,7 +66,7 @@ def test_salted_lookup_equals_broadcast_lookup(spark, hot, how):
     hot = hot.unionByName(spark.range(1000, 1300).select("id", F.lit(None).cast("string").alias("g"), F.lit(0.0).alias("x")))
     table = spark.createDataFrame([("hot", 1), ("hot", 2), ("g1", 3), ("g2", 4), ("no", 5)], "g string, y int")
     a = scale.lookup_join(hot, table, ["g"], ["id"], how)
-    b = scale.lookup_join(hot, table, ["g"], ["id"], how, limit=0, salts=5)
+    b = scale.lookup_join(hot, table, ["g"], ["id"], how, limit=0, tasks=5)
     assert a.columns == b.columns
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
@@ -77,6 +77,15 @@ def test_hot_key_is_spread_over_salts(spark, hot):
     assert "_salt" in plan
 
 
+def test_keys_are_salted_by_their_weight(spark):
+    weights = {"a": 500, "b": 250, "c": 60, "d": 20}
+    rows = [(k, i) for k, n in weights.items() for i in range(n)] + [(f"x{i}", i) for i in range(170)]
+    df = spark.createDataFrame(rows, "g string, id long")
+    salts = {r.g: r["_salts"] for r in scale.hot_keys(df, ["g"], 20).collect()}
+    assert salts == {"a": 10, "b": 5, "c": 2}
+    assert all(weights[g] / n <= len(rows) / 20 for g, n in salts.items())
+
+
 def test_table_bytes_grows_with_the_rows(spark):
     df = spark.range(100).select(F.lit("abcd").alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("a"), "id")
     assert scale.table_bytes(df) == 100 * (20 + 32 + 8)
