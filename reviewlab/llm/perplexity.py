@@ -12,8 +12,12 @@ were counted, so the model is a table from hash to log probability.
   up by binary search once per different word of a batch.
 * Beyond that, the n-grams of a text, with their counts, meet the table in a join.
 
-A text is rejected if its perplexity lies outside its language's band, median +- ``WIDTH`` robust
-standard deviations of the log perplexity, over all texts of the language that pass the base rules.
+Every text is part of what the model was counted from, so an n-gram that occurs nowhere else would look
+likely just for that. For the verdict, an n-gram that occurs once in the corpus has the probability that
+the model would give it without that occurrence; all others keep theirs.
+
+A text is rejected if this perplexity lies outside its language's band, median +- ``WIDTH`` robust
+standard deviations of its logarithm, over all texts of the language that pass the base rules.
 """
 
 from __future__ import annotations
@@ -132,16 +136,20 @@ def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, gram, logp) of every counted n-gram: interpolated modified Kneser-Ney.
+    """(lang, gram, logp, alone) of every counted n-gram: interpolated modified Kneser-Ney.
+
+    ``alone`` is ``logp`` but for n-grams that occur once: without that occurrence, their context
+    has one character less, and none at all if it was its only one.
 
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
     Discounts are one row per order and language and are looked up, so that no language is a task.
     """
-    tables = {ORDER: counts}
+    tables = {ORDER: counts.withColumn("c", F.col("n"))}
     for k in range(ORDER - 1, 0, -1):
         longer = tables[k + 1]
-        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(
+            F.count("*").alias("n"), F.sum("c").alias("c")))
     discounts = cut_lineage(_discounts(tables))
     lower = None
     for k in range(1, ORDER + 1):
@@ -151,31 +159,32 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         rest = known.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum(cut).alias("left"), F.count("*").alias("kinds"))
         joined = known.join(rest, ["lang", "context"]).withColumn("own", (F.col("n") - cut) / F.col("all"))
         if lower is None:
-            p = F.col("own") + F.col("left") / F.col("all") / F.col("kinds")
-            lower = joined.select("lang", "gram", p.alias("p"))
+            joined = joined.withColumns({"q": 1 / F.col("kinds"), "r": 1 / F.col("kinds")})
         else:
-            below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
+            below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("alone").alias("r"))
             joined = joined.withColumn("tail", F.substring("gram", 2, k - 1)).join(below, ["lang", "tail"])
-            lower = joined.select("lang", "gram", (F.col("own") + F.col("left") / F.col("all") * F.col("q")).alias("p"))
-        lower = cut_lineage(lower)
-    return lower.select("lang", "gram", F.log("p").alias("logp"))
+        p = F.col("own") + F.col("left") / F.col("all") * F.col("q")
+        without = F.when(F.col("all") == 1, F.col("r")).otherwise((F.col("left") - cut) / (F.col("all") - 1) * F.col("r"))
+        lower = cut_lineage(joined.select("lang", "gram", p.alias("p"), F.when(F.col("c") == 1, without).otherwise(p).alias("alone")))
+    return lower.select("lang", "gram", F.log("p").alias("logp"), F.log("alone").alias("alone"))
 
 
 def hash_table(model: DataFrame) -> DataFrame:
-    """(lang, hash, logp), ``hash`` of the code points of the n-gram."""
+    """(lang, hash, logp, alone), ``hash`` of the code points of the n-gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = "".join(batch.column(1).to_pylist())
             points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             h = gram_hash(points, np.arange(0, len(points), ORDER))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(2)], names=["lang", "hash", "logp"])
-    return model.select("lang", "gram", "logp").mapInArrow(run, "lang string, hash long, logp double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(2), batch.column(3)],
+                                              names=["lang", "hash", "logp", "alone"])
+    return model.select("lang", "gram", "logp", "alone").mapInArrow(run, "lang string, hash long, logp double, alone double")
 
 
 def sorted_arrays(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language, hashes in order and their log probabilities."""
+    """For each language, hashes in order and, as one complex number, both their log probabilities."""
     langs = table.column("lang").to_numpy(zero_copy_only=False)
-    hashes, logp = table.column("hash").to_numpy().view(np.uint64), table.column("logp").to_numpy()
+    hashes, logp = table.column("hash").to_numpy().view(np.uint64), table.column("logp").to_numpy() + 1j * table.column("alone").to_numpy()
     out = {}
     for lang in set(langs):
         own = np.flatnonzero(langs == lang)
@@ -228,19 +237,21 @@ def score_by_arrays(rows: DataFrame, table: DataFrame, id_type: str) -> DataFram
             texts = batch.column("_text").to_pylist()
             words = [decoded_words(t) for t in texts]
             langs = batch.column("_lang").to_pylist()
-            known: dict[str, dict[str, float]] = {}
+            known: dict[str, dict[str, complex]] = {}
             for lang in set(langs):
                 mine = list(set().union(*(w for w, x in zip(words, langs, strict=True) if x == lang)) - {""})
-                known[lang] = scores = {"": 0.0}
+                known[lang] = scores = {"": 0j}
                 if mine:
                     points, first, owner = word_points(mine)
                     hashes, logp = arrays[lang]
                     found = logp[np.searchsorted(hashes, gram_hash(points, first))]
-                    scores.update(zip(mine, np.bincount(owner, weights=found).tolist(), strict=True))
-            total = [sum(map(known[x].__getitem__, w)) for w, x in zip(words, langs, strict=True)]
-            yield pa.RecordBatch.from_arrays([*_features(batch, texts), pa.array(total, pa.float64())], names=["_id", "_lang", *_FEATURES, "_logp"])
+                    sums = np.bincount(owner, weights=found.real) + 1j * np.bincount(owner, weights=found.imag)
+                    scores.update(zip(mine, sums.tolist(), strict=True))
+            total = np.array([sum(map(known[x].__getitem__, w)) for w, x in zip(words, langs, strict=True)], complex)
+            yield pa.RecordBatch.from_arrays([*_features(batch, texts), pa.array(total.real), pa.array(total.imag)],
+                                             names=["_id", "_lang", *_FEATURES, "_logp", "_alone"])
 
-    return rows.mapInArrow(run, f"_id {id_type}, _lang string, {', '.join(f'{f} long' for f in _FEATURES)}, _logp double")
+    return rows.mapInArrow(run, f"_id {id_type}, _lang string, {', '.join(f'{f} long' for f in _FEATURES)}, _logp double, _alone double")
 
 
 def score_by_join(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
@@ -265,15 +276,15 @@ def score_by_join(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
     made = cut_lineage(made.withColumn("_row", F.monotonically_increasing_id()))
     grams = made.select("_row", F.col("_lang").alias("lang"), F.inline(F.arrays_zip("_h", "_c")))
     sums = grams.join(table.withColumnRenamed("hash", "_h"), ["lang", "_h"]).groupBy("_row").agg(
-        F.sum(F.col("_c") * F.col("logp")).alias("_logp"))
-    return made.drop("_h", "_c").join(sums, "_row", "left").drop("_row").withColumn("_logp", F.coalesce("_logp", F.lit(0.0)))
+        *[F.sum(F.col("_c") * F.col(x)).alias(f"_{x}") for x in ("logp", "alone")])
+    return made.drop("_h", "_c").join(sums, "_row", "left").drop("_row").fillna(0.0, ["_logp", "_alone"])
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", model_bytes: int = MODEL_BYTES,
             width: float = WIDTH) -> DataFrame:
-    """Counts, base_failed, perplexity, the band and kept for every row.
+    """Counts, base_failed, perplexity, perplexity_alone, the band of the latter and kept for every row.
 
-    A missing text has no words and a perplexity of 1; a missing language is a language of its
+    A missing text has no words and perplexities of 1; a missing language is a language of its
     own. A language none of whose texts pass the base rules has no band and rejects by the base
     rules alone. Repeated rows and ids stay; an empty table gives no rows; other columns are not read.
     """
@@ -281,18 +292,23 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
     counts = cut_lineage(gram_counts(df, lang, text))
     table = cut_lineage(hash_table(log_probabilities(counts)))
     rows = df.select(F.col(id_col).alias("_id"), language(lang).alias("_lang"), text_bytes(text).alias("_text"))
-    small = table.count() * 16 <= model_bytes
+    small = table.count() * 24 <= model_bytes
     scored = (score_by_arrays if small else score_by_join)(rows, table, id_type)
     symbols = F.col("word_chars") + F.col("n_words")
+
+    def per_symbol(total: str) -> Column:
+        return F.round(F.exp(-F.when(symbols > 0, F.col(total) / symbols).otherwise(0.0)), 6)
+
     scored = cut_lineage(scored.withColumns({
-        "perplexity": F.round(F.exp(-F.when(symbols > 0, F.col("_logp") / symbols).otherwise(0.0)), 6),
+        "perplexity": per_symbol("_logp"), "perplexity_alone": per_symbol("_alone"),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))}))
-    passing = scored.where(~F.col("base_failed")).select("_lang", F.log("perplexity").alias("x"))
+    passing = scored.where(~F.col("base_failed")).select("_lang", F.log("perplexity_alone").alias("x"))
     middle = cut_lineage(passing.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")))
     spread = lookup_join(passing, middle, ["_lang"], ["x"]).groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
     half = F.greatest(F.lit(width * 1.4826) * F.col("s"), F.lit(LEAST_WIDTH))
     bands = cut_lineage(spread.select("_lang", F.exp(F.col("m") - half).alias("band_low"), F.exp(F.col("m") + half).alias("band_high")))
-    inside = F.col("perplexity").between(F.col("band_low"), F.col("band_high"))
+    inside = F.col("perplexity_alone").between(F.col("band_low"), F.col("band_high"))
     return lookup_join(scored, bands, ["_lang"], ["_id"], "left").select(
-        F.col("_id").alias(id_col), *_FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "perplexity", "band_low", "band_high")
+        F.col("_id").alias(id_col), *_FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "perplexity", "perplexity_alone",
+        "band_low", "band_high")
 
