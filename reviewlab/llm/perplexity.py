@@ -13,11 +13,12 @@ were counted, so the model is a table from hash to log probability.
 * Beyond that, the n-grams of a text, with their counts, meet the table in a join.
 
 Every text is part of what the model was counted from, so an n-gram that occurs nowhere else would look
-likely just for that. For the verdict, an n-gram that occurs once in the corpus has the probability that
-the model would give it without that occurrence; all others keep theirs.
+likely just for that, the more so the more copies its text has. For the verdict, n-grams are counted over
+the different texts of a language, and one that only a single text has, however often and in however many
+copies, has the probability that the model would give it without all its occurrences; all others keep theirs.
 
 A text is rejected if this perplexity lies outside its language's band, median +- ``WIDTH`` robust
-standard deviations of its logarithm, over all texts of the language that pass the base rules.
+standard deviations of its logarithm, over all different texts of the language that pass the base rules.
 """
 
 from __future__ import annotations
@@ -76,40 +77,83 @@ def decoded_words(text: bytes) -> list[str]:
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
-def _gram_rows(lang: str | None, counts: Counter) -> pa.RecordBatch:
-    words = list(counts)
-    points, first, owner = word_points(words)
-    weight = np.fromiter(counts.values(), np.int64, len(words))[owner]
-    _, at, back = np.unique(gram_hash(points, first), return_index=True, return_inverse=True)
-    grams = points[first[at][:, None] + np.arange(ORDER)[None, :]]
-    texts = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    total = np.bincount(back, weights=weight).astype(np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(at), pa.string()), pa.array([texts[i:i + ORDER] for i in range(0, len(texts), ORDER)], pa.string()),
-        pa.array(total)], names=["lang", "gram", "n"])
+class _Words:
+    """Words of the different texts of a language: how often, how often again in copies, and their text if it is one."""
+
+    def __init__(self) -> None:
+        self.counts: Counter = Counter()
+        self.again: Counter = Counter()
+        self.texts: dict[str, int | None] = {}
+
+    def add(self, words: list[str], copies: int, key: int) -> None:
+        self.counts.update(words)
+        for w in set(words):
+            if self.texts.setdefault(w, key) != key:
+                self.texts[w] = None
+        if copies > 1:
+            self.again.update({w: n * (copies - 1) for w, n in Counter(words).items()})
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        for held in (self.counts, self.again, self.texts):
+            held.pop("", None)
+        words = list(self.counts)
+        if not words:
+            return
+        points, first, owner = word_points(words)
+        once = np.fromiter(self.counts.values(), np.int64, len(words))
+        every = once + np.fromiter((self.again.get(w, 0) for w in words), np.int64, len(words))
+        lowest, highest = (np.fromiter((x if self.texts[w] is None else self.texts[w] for w in words), np.int64, len(words)) for x in (-2**63, 2**63 - 1))
+        _, at, back = np.unique(gram_hash(points, first), return_index=True, return_inverse=True)
+        low, high = np.full(len(at), 2**63 - 1), np.full(len(at), -2**63)
+        np.minimum.at(low, back, lowest[owner])
+        np.maximum.at(high, back, highest[owner])
+        # Sums of whole numbers: a float would lose the last digits of counts beyond 2^53.
+        n, m = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        np.add.at(n, back, every[owner])
+        np.add.at(m, back, once[owner])
+        grams = points[first[at][:, None] + np.arange(ORDER)[None, :]]
+        texts = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(at), pa.string()), pa.array([texts[i:i + ORDER] for i in range(0, len(texts), ORDER)], pa.string()),
+            *map(pa.array, (n, m, low, high))], names=["lang", "gram", "n", "m", "low", "high"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, Counter] = {}
+    held: dict[str, _Words] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            counts = held.setdefault(lang.as_py(), Counter())
-            counts.update(decoded_words(text.as_py()))
-            if len(counts) > WORDS:
-                counts.pop("", None)
-                yield _gram_rows(lang.as_py(), counts)
-                counts.clear()
-    for lang, counts in held.items():
-        counts.pop("", None)
-        if counts:
-            yield _gram_rows(lang, counts)
-
-
-def gram_counts(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, gram, n) over all words of all texts; a missing language is a language of its own."""
-    rows = df.select(language(lang).alias("lang"), text_bytes(text).alias("_text"))
-    parts = rows.mapInArrow(_count_grams, "lang string, gram string, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        for lang, key, text, copies in zip(*(batch.column(c).to_pylist() for c in ("lang", "_key", "_text", "copies")), strict=True):
+            words = held.setdefault(lang, _Words())
+            words.add(decoded_words(text), copies, key)
+            if len(words.counts) > WORDS:
+                yield from held.pop(lang).rows(lang)
+    for lang, words in held.items():
+        yield from words.rows(lang)
+
+
+def different_texts(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, _key, _text, copies): each text of a language once; _key is a digest of both.
+
+    Only texts with copies are shuffled, after those of one task were combined.
+    """
+    rows = df.select(language(lang).alias("lang"), text_bytes(text).alias("_text")).withColumn("_key", text_key())
+    classes = cut_lineage(rows.groupBy("_key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    marked = lookup_join(rows.withColumn("_row", F.monotonically_increasing_id()), classes, ["_key"], ["_row"], "left")
+    several = marked.where("copies > 1").groupBy("_key", "copies").agg(F.any_value("lang").alias("lang"), F.any_value("_text").alias("_text"))
+    return marked.where("copies IS NULL").select("lang", "_key", "_text", F.lit(1).cast("long").alias("copies")).unionByName(several)
+
+
+def text_key(lang: str = "lang") -> Column:
+    return F.xxhash64(lang, "_text")
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, n, m, low, high) over all words; a missing language is a language of its own.
+
+    ``n`` counts copies of a text, ``m`` does not; ``low`` and ``high`` are the least and largest key of
+    the texts that have the n-gram, the same if it is one text.
+    """
+    parts = texts.mapInArrow(_count_grams, "lang string, gram string, n long, m long, low long, high long")
+    return parts.groupBy("lang", "gram").agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "m"), (F.min, "low"), (F.max, "high"))])
 
 
 def language(lang: str = "lang") -> Column:
@@ -135,37 +179,52 @@ def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
     return sums.select("k", "lang", *[estimate(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
+def _with_cuts(table: DataFrame, discounts: DataFrame, k: int, n: str, out: str) -> DataFrame:
+    """``table`` with the discounts d1 to d3 of order ``k``, and as ``out`` the one of its count ``n``."""
+    known = lookup_join(table.drop("d1", "d2", "d3"), discounts.where(F.col("k") == k).drop("k"), ["lang"], ["gram"])
+    return known.withColumn(out, F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3")))
+
+
 def log_probabilities(counts: DataFrame) -> DataFrame:
     """(lang, gram, logp, alone) of every counted n-gram: interpolated modified Kneser-Ney.
 
-    ``alone`` is ``logp`` but for n-grams that occur once: without that occurrence, their context
-    has one character less, and none at all if it was its only one.
+    ``logp`` is over all texts, ``alone`` over the different ones. There an n-gram of a single text
+    is taken without its occurrences: its context has those less, and none at all if it had no others.
 
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
     Discounts are one row per order and language and are looked up, so that no language is a task.
     """
-    tables = {ORDER: counts.withColumn("c", F.col("n"))}
+    tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         longer = tables[k + 1]
         tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(
-            F.count("*").alias("n"), F.sum("c").alias("c")))
-    discounts = cut_lineage(_discounts(tables))
+            F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    # Copies change the counts of the highest order only; its discounts without them are those of order 0.
+    discounts = cut_lineage(_discounts({0: counts.select("lang", F.col("m").alias("n")), **tables}))
     lower = None
     for k in range(1, ORDER + 1):
         table = tables[k].withColumn("context", F.substring("gram", 1, k - 1))
-        known = lookup_join(table, discounts.where(F.col("k") == k).drop("k"), ["lang"], ["gram"])
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rest = known.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum(cut).alias("left"), F.count("*").alias("kinds"))
-        joined = known.join(rest, ["lang", "context"]).withColumn("own", (F.col("n") - cut) / F.col("all"))
+        known = _with_cuts(table, discounts, k, "n", "cut")
+        sums = [F.sum("n").alias("all"), F.sum("cut").alias("left"), F.count("*").alias("kinds")]
+        if k == ORDER:
+            known = _with_cuts(known, discounts, 0, "m", "cut_m")
+            rest = known.groupBy("lang", "context").agg(*sums, F.sum("m").alias("all_m"), F.sum("cut_m").alias("left_m"))
+        else:
+            rest = known.groupBy("lang", "context").agg(*sums)
+        joined = known.join(rest, ["lang", "context"])
+        n, cut, every, left = map(F.col, ("m", "cut_m", "all_m", "left_m") if k == ORDER else ("n", "cut", "all", "left"))
         if lower is None:
             joined = joined.withColumns({"q": 1 / F.col("kinds"), "r": 1 / F.col("kinds")})
         else:
             below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("alone").alias("r"))
             joined = joined.withColumn("tail", F.substring("gram", 2, k - 1)).join(below, ["lang", "tail"])
-        p = F.col("own") + F.col("left") / F.col("all") * F.col("q")
-        without = F.when(F.col("all") == 1, F.col("r")).otherwise((F.col("left") - cut) / (F.col("all") - 1) * F.col("r"))
-        lower = cut_lineage(joined.select("lang", "gram", p.alias("p"), F.when(F.col("c") == 1, without).otherwise(p).alias("alone")))
+        p = (F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("all")
+        # Sums of discounts are rounded, and never below the least one.
+        others = F.greatest(left - cut, F.least("d1", "d2", "d3"))
+        without = F.when(every == n, F.col("r")).otherwise(others / (every - n) * F.col("r"))
+        alone = F.when(F.col("low") == F.col("high"), without).otherwise((n - cut + left * F.col("q")) / every)
+        lower = cut_lineage(joined.select("lang", "gram", p.alias("p"), alone.alias("alone")))
     return lower.select("lang", "gram", F.log("p").alias("logp"), F.log("alone").alias("alone"))
 
 
@@ -224,7 +283,7 @@ _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 def _features(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.Array]:
     made = [base_features(t) for t in texts]
-    return [batch.column("_id"), batch.column("_lang")] + [pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [()] * 5)]
+    return [batch.column("_id"), batch.column("_lang"), batch.column("_key")] + [pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [()] * 5)]
 
 
 def score_by_arrays(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
@@ -249,9 +308,9 @@ def score_by_arrays(rows: DataFrame, table: DataFrame, id_type: str) -> DataFram
                     scores.update(zip(mine, sums.tolist(), strict=True))
             total = np.array([sum(map(known[x].__getitem__, w)) for w, x in zip(words, langs, strict=True)], complex)
             yield pa.RecordBatch.from_arrays([*_features(batch, texts), pa.array(total.real), pa.array(total.imag)],
-                                             names=["_id", "_lang", *_FEATURES, "_logp", "_alone"])
+                                             names=["_id", "_lang", "_key", *_FEATURES, "_logp", "_alone"])
 
-    return rows.mapInArrow(run, f"_id {id_type}, _lang string, {', '.join(f'{f} long' for f in _FEATURES)}, _logp double, _alone double")
+    return rows.mapInArrow(run, f"_id {id_type}, _lang string, _key long, {', '.join(f'{f} long' for f in _FEATURES)}, _logp double, _alone double")
 
 
 def score_by_join(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
@@ -270,9 +329,9 @@ def score_by_join(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
                 counts.append(np.bincount(back, weights=weight, minlength=len(kinds)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*_features(batch, texts), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["_id", "_lang", *_FEATURES, "_h", "_c"])
+                names=["_id", "_lang", "_key", *_FEATURES, "_h", "_c"])
 
-    made = rows.mapInArrow(run, f"_id {id_type}, _lang string, {', '.join(f'{f} long' for f in _FEATURES)}, _h array<long>, _c array<long>")
+    made = rows.mapInArrow(run, f"_id {id_type}, _lang string, _key long, {', '.join(f'{f} long' for f in _FEATURES)}, _h array<long>, _c array<long>")
     made = cut_lineage(made.withColumn("_row", F.monotonically_increasing_id()))
     grams = made.select("_row", F.col("_lang").alias("lang"), F.inline(F.arrays_zip("_h", "_c")))
     sums = grams.join(table.withColumnRenamed("hash", "_h"), ["lang", "_h"]).groupBy("_row").agg(
@@ -289,9 +348,9 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
     rules alone. Repeated rows and ids stay; an empty table gives no rows; other columns are not read.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    counts = cut_lineage(gram_counts(df, lang, text))
+    counts = cut_lineage(gram_counts(different_texts(df, lang, text)))
     table = cut_lineage(hash_table(log_probabilities(counts)))
-    rows = df.select(F.col(id_col).alias("_id"), language(lang).alias("_lang"), text_bytes(text).alias("_text"))
+    rows = df.select(F.col(id_col).alias("_id"), language(lang).alias("_lang"), text_bytes(text).alias("_text")).withColumn("_key", text_key("_lang"))
     small = table.count() * 24 <= model_bytes
     scored = (score_by_arrays if small else score_by_join)(rows, table, id_type)
     symbols = F.col("word_chars") + F.col("n_words")
@@ -302,9 +361,9 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
     scored = cut_lineage(scored.withColumns({
         "perplexity": per_symbol("_logp"), "perplexity_alone": per_symbol("_alone"),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))}))
-    passing = scored.where(~F.col("base_failed")).select("_lang", F.log("perplexity_alone").alias("x"))
+    passing = cut_lineage(scored.where(~F.col("base_failed")).groupBy("_lang", "_key").agg(F.log(F.any_value("perplexity_alone")).alias("x")))
     middle = cut_lineage(passing.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")))
-    spread = lookup_join(passing, middle, ["_lang"], ["x"]).groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
+    spread = lookup_join(passing, middle, ["_lang"], ["_key"]).groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
     half = F.greatest(F.lit(width * 1.4826) * F.col("s"), F.lit(LEAST_WIDTH))
     bands = cut_lineage(spread.select("_lang", F.exp(F.col("m") - half).alias("band_low"), F.exp(F.col("m") + half).alias("band_high")))
     inside = F.col("perplexity_alone").between(F.col("band_low"), F.col("band_high"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -101,3 +102,21 @@ def test_band_rejects_what_is_unlike_its_language(spark):
     odd = spark.createDataFrame([(10**6, " ".join(f"{chr(33 + k % 90)}{k * 7919 % 9973}{chr(35 + k * 31 % 80)}qz" for k in range(300)), "en")], docs.schema)
     got = {r.doc_id: r for r in pp.quality(docs.union(odd)).collect()}
     assert not got[10**6].kept and not got[10**6].base_failed
+
+
+def test_copies_do_not_make_gibberish_likely(spark):
+    """2 to 1,000 copies of a text of random letters, some of whose words come back, are rejected like one."""
+    rnd = random.Random(7)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    rows, copies = [], {}
+    for n in (1, 2, 10, 100, 1000):
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(200)]
+        text = " ".join(words + [w for w in words[:40] for _ in range(5)])
+        copies[n] = len(rows)
+        rows += [(10**6 + len(rows) + k, text, "en") for k in range(n)]
+    got = {r.doc_id: r for r in pp.quality(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    ids = {n: 10**6 + at for n, at in copies.items()}
+    assert not any(got[i].base_failed or got[i].kept for i, _, _ in rows)
+    assert all(got[i].perplexity_alone > 1.5 * got[i].band_high for i in ids.values())
+    clean = [r for i, r in got.items() if i < 10**6 and not r.base_failed]
+    assert sum(r.kept for r in clean) > 0.9 * len(clean)
