@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlab.llm.bpe import encode_documents
@@ -16,7 +16,7 @@ from reviewlab.llm.mixing import mix_sources
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
 from reviewlab.llm.toxicity import fit, score_toxicity
-from reviewlab.scale import lookup_join
+from reviewlab.scale import cut_lineage, lookup_join
 from reviewlab.session import shared_folder
 
 
@@ -27,10 +27,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; rows without an id stay."""
-    groups = near_duplicates(docs)
-    others = groups.where("doc_id > component_id").select("doc_id").distinct()
-    return lookup_join(docs, others, ["doc_id"], ["doc_id"], "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest id, then of the least digest of all columns.
+
+    A missing id is above every other one. Of rows alike in all columns any one is the same.
+    """
+    keyed = docs.withColumn("_key", row_key(docs))
+    groups = cut_lineage(near_duplicates(keyed, "_key"))
+    others = cut_lineage(groups.where("_key != component_id").select("_key").distinct())
+    again = cut_lineage(groups.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    numbered = keyed.withColumn("_row", F.monotonically_increasing_id())
+    first = lookup_join(numbered, others, ["_key"], ["_row"], "left_anti")
+    marked = lookup_join(first, again, ["_key"], ["_row"], "left")
+    one = marked.where("_n > 1").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in docs.columns])
+    return marked.where("_n IS NULL").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A key of each row that sorts by doc_id, missing ones last, then by an MD5 of all columns."""
+    digests = [F.md5(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))) for c in docs.columns]
+    # With its sign turned, a number sorts like its bytes.
+    known = F.concat(F.lit("00"), F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2**63))), 16, "0"))
+    return F.unhex(F.concat(F.coalesce(known, F.lit("01")), F.md5(F.concat(*digests))))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,9 +63,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _fp) of every row; the 64 bits of _fp are read as a signed number."""
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text).alias("_text"))
-    return rows.mapInArrow(_fingerprints, "_id long, _fp long")
+    """(_id, _fp) of every row; the 64 bits of _fp are read as a signed number. An id is a number or binary."""
+    kind = "binary" if df.schema[id_col].dataType.typeName() == "binary" else "long"
+    rows = df.select(F.col(id_col).cast(kind).alias("_id"), text_bytes(text).alias("_text"))
+    return rows.mapInArrow(_fingerprints, f"_id {kind}, _fp long")
 
 
 # ------------------------------------------------------------- index of one group

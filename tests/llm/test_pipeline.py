@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -34,3 +35,16 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and max(Counter(r.doc_id for r in out.collect()).values()) < 20
+
+
+def test_repeated_and_missing_ids_keep_one_copy(spark):
+    """Through near-dedup and removal of repeats, every clean text is left once and whole."""
+    rnd = random.Random(3)
+    a, b, c, d, e, f = (" ".join("".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(80)) for _ in range(6))
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (5, d), (5, e), (-4, f), (3, f), (None, f), (3, f), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    want = Counter([(1, a), (2, b), (None, c), (5, d), (5, e), (-4, f), (None, None)])
+    assert near.columns == docs.columns and Counter((r.doc_id, r.text) for r in near.collect()) == want
+    left = corpus_pipeline.drop_repeats(spark, near, SMALL)
+    assert Counter((r.doc_id, r.text or None) for r in left.collect()) == want
