@@ -17,8 +17,13 @@ likely just for that, the more so the more copies its text has. For the verdict,
 the different texts of a language, and one that only a single text has, however often and in however many
 copies, has the probability that the model would give it without all its occurrences; all others keep theirs.
 
+No n-gram of characters crosses a word, so a second model of the same kind is one of words: ``WORD_ORDER``
+of them, over the different texts of each language, with two begin signs and an end sign a text. Its
+n-grams grow with the input, so it is never sent whole: those of the texts meet it in a join by hash.
+
 A text is rejected if this perplexity lies outside its language's band, median +- ``WIDTH`` robust
-standard deviations of its logarithm, over all different texts of the language that pass the base rules.
+standard deviations of its logarithm, over all different texts of the language that pass the base rules,
+or if that of its words lies above the upper end of its band. Below is what shares passages with others.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from reviewlab.llm.common import slices, text_bytes
 from reviewlab.scale import cut_lineage, lookup_join
 
 ORDER = 5
+WORD_ORDER = 3
 BEGIN, STOP = "\x02", "\x03"
 MODEL_BYTES = 64 << 20
 WIDTH = 6.0
@@ -60,10 +66,10 @@ def word_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, first, np.repeat(np.arange(len(words)), sizes)
 
 
-def gram_hash(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``ORDER`` code points from each place on."""
+def gram_hash(points: np.ndarray, first: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """A 64-bit hash of the ``order`` code points, or hashes of words, from each place on."""
     h = np.full(len(first), 0x9E3779B97F4A7C15, np.uint64)
-    for k in range(ORDER):
+    for k in range(order):
         h = (h ^ points[first + k]) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
     return h
@@ -160,6 +166,86 @@ def language(lang: str = "lang") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`").cast("string")), F.lit("-"))
 
 
+# ----------------------------------------------------------------- n-grams over words
+
+def word_hashes(lang: str, words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of the words of a text of ``lang`` between its begin and end signs; ``known`` is filled."""
+    from xxhash import xxh3_64_intdigest
+
+    seed = xxh3_64_intdigest(lang.encode())
+    for w in set(words).difference(known):
+        known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed)
+    # No word is empty or a space.
+    begin, stop = xxh3_64_intdigest(b"", seed), xxh3_64_intdigest(b" ", seed)
+    return np.array([begin] * (WORD_ORDER - 1) + [known[w] for w in words] + [stop], np.uint64)
+
+
+def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(language, key, hashes of words) of each text that has words."""
+    known: dict[str, dict[str, int]] = {}
+    for batch in slices(batches, "_text"):
+        for lang, key, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "_key", "_text")), strict=True):
+            words = [w for w in decoded_words(text) if w]
+            if words:
+                own = known.setdefault(lang, {})
+                yield lang, key, word_hashes(lang, words, own)
+                if len(own) > WORDS:
+                    own.clear()
+
+
+def _word_rows(lang: str, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    points = np.concatenate([x for _, x in held])
+    sizes = np.array([len(x) for _, x in held])
+    owner = np.repeat(np.arange(len(held)), sizes - WORD_ORDER + 1)
+    begins = np.cumsum(sizes) - sizes
+    first = np.arange(len(owner)) + (begins - (np.cumsum(sizes - WORD_ORDER + 1) - sizes + WORD_ORDER - 1))[owner]
+    key = np.array([k for k, _ in held], np.int64)[owner]
+    _, at, back, m = np.unique(gram_hash(points, first, WORD_ORDER), return_index=True, return_inverse=True, return_counts=True)
+    low, high = np.full(len(at), 2**63 - 1), np.full(len(at), -2**63)
+    np.minimum.at(low, back, key)
+    np.maximum.at(high, back, key)
+    grams = points[first[at][:, None] + np.arange(WORD_ORDER)[None, :]]
+    ends = np.arange(len(at) + 1, dtype=np.int32) * (8 * WORD_ORDER)
+    made = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(grams.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), made, *map(pa.array, (m.astype(np.int64), low, high))],
+                                      names=["lang", "gram", "m", "low", "high"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list[tuple[int, np.ndarray]]] = {}
+    size: Counter = Counter()
+    for lang, key, points in _word_texts(batches):
+        held.setdefault(lang, []).append((key, points))
+        size[lang] += len(points)
+        if size[lang] > WORDS:
+            del size[lang]
+            yield _word_rows(lang, held.pop(lang))
+    for lang, texts in held.items():
+        yield _word_rows(lang, texts)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, n, m, low, high) as of ``gram_counts``, without copies; a gram is the hashes of its words, 8 bytes each."""
+    parts = texts.mapInArrow(_count_words, "lang string, gram binary, m long, low long, high long")
+    return parts.groupBy("lang", "gram").agg(*[f(c).alias(c) for f, c in ((F.sum, "m"), (F.min, "low"), (F.max, "high"))]).withColumn("n", F.col("m"))
+
+
+def _word_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, key, points in _word_texts(batches):
+        kinds, counts = np.unique(gram_hash(points, np.arange(len(points) - WORD_ORDER + 1), WORD_ORDER), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), key)), pa.array(kinds.view(np.int64)), pa.array(counts.astype(np.int64))],
+                                         names=["_key", "hash", "c"])
+
+
+def word_scores(texts: DataFrame) -> DataFrame:
+    """(_key, word_perplexity) of every different text that has words."""
+    model = hash_table(log_probabilities(cut_lineage(word_counts(texts)), WORD_ORDER, 8), WORD_ORDER)
+    postings = texts.mapInArrow(_word_postings, "_key long, hash long, c long")
+    sums = postings.join(model.select("hash", "alone"), "hash").groupBy("_key").agg(
+        F.sum(F.col("c") * F.col("alone")).alias("total"), F.sum("c").alias("size"))
+    return sums.select("_key", F.round(F.exp(-F.col("total") / F.col("size")), 6).alias("word_perplexity"))
+
+
 # ------------------------------------------------------- modified Kneser-Ney model
 
 def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
@@ -185,40 +271,41 @@ def _with_cuts(table: DataFrame, discounts: DataFrame, k: int, n: str, out: str)
     return known.withColumn(out, F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3")))
 
 
-def log_probabilities(counts: DataFrame) -> DataFrame:
+def log_probabilities(counts: DataFrame, order: int = ORDER, unit: int = 1) -> DataFrame:
     """(lang, gram, logp, alone) of every counted n-gram: interpolated modified Kneser-Ney.
 
     ``logp`` is over all texts, ``alone`` over the different ones. There an n-gram of a single text
     is taken without its occurrences: its context has those less, and none at all if it had no others.
 
+    An n-gram is ``order`` symbols, each ``unit`` characters or bytes long.
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
     Discounts are one row per order and language and are looked up, so that no language is a task.
     """
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
         longer = tables[k + 1]
-        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(
+        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 1 + unit, unit * k).alias("gram")).agg(
             F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
     # Copies change the counts of the highest order only; its discounts without them are those of order 0.
     discounts = cut_lineage(_discounts({0: counts.select("lang", F.col("m").alias("n")), **tables}))
     lower = None
-    for k in range(1, ORDER + 1):
-        table = tables[k].withColumn("context", F.substring("gram", 1, k - 1))
+    for k in range(1, order + 1):
+        table = tables[k].withColumn("context", F.substring("gram", 1, unit * (k - 1)))
         known = _with_cuts(table, discounts, k, "n", "cut")
         sums = [F.sum("n").alias("all"), F.sum("cut").alias("left"), F.count("*").alias("kinds")]
-        if k == ORDER:
+        if k == order:
             known = _with_cuts(known, discounts, 0, "m", "cut_m")
             rest = known.groupBy("lang", "context").agg(*sums, F.sum("m").alias("all_m"), F.sum("cut_m").alias("left_m"))
         else:
             rest = known.groupBy("lang", "context").agg(*sums)
         joined = known.join(rest, ["lang", "context"])
-        n, cut, every, left = map(F.col, ("m", "cut_m", "all_m", "left_m") if k == ORDER else ("n", "cut", "all", "left"))
+        n, cut, every, left = map(F.col, ("m", "cut_m", "all_m", "left_m") if k == order else ("n", "cut", "all", "left"))
         if lower is None:
             joined = joined.withColumns({"q": 1 / F.col("kinds"), "r": 1 / F.col("kinds")})
         else:
             below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("alone").alias("r"))
-            joined = joined.withColumn("tail", F.substring("gram", 2, k - 1)).join(below, ["lang", "tail"])
+            joined = joined.withColumn("tail", F.substring("gram", 1 + unit, unit * (k - 1))).join(below, ["lang", "tail"])
         p = (F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("all")
         # Sums of discounts are rounded, and never below the least one.
         others = F.greatest(left - cut, F.least("d1", "d2", "d3"))
@@ -228,13 +315,14 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     return lower.select("lang", "gram", F.log("p").alias("logp"), F.log("alone").alias("alone"))
 
 
-def hash_table(model: DataFrame) -> DataFrame:
-    """(lang, hash, logp, alone), ``hash`` of the code points of the n-gram."""
+def hash_table(model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, hash, logp, alone), ``hash`` of the code points of the n-gram, or of the hashes of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = "".join(batch.column(1).to_pylist())
-            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-            h = gram_hash(points, np.arange(0, len(points), ORDER))
+            grams = batch.column(1).to_pylist()
+            points = np.frombuffer(b"".join(grams), np.uint64) if grams and isinstance(grams[0], bytes) else \
+                np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+            h = gram_hash(points, np.arange(0, len(points), order), order)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(2), batch.column(3)],
                                               names=["lang", "hash", "logp", "alone"])
     return model.select("lang", "gram", "logp", "alone").mapInArrow(run, "lang string, hash long, logp double, alone double")
@@ -341,14 +429,15 @@ def score_by_join(rows: DataFrame, table: DataFrame, id_type: str) -> DataFrame:
 
 def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", model_bytes: int = MODEL_BYTES,
             width: float = WIDTH) -> DataFrame:
-    """Counts, base_failed, perplexity, perplexity_alone, the band of the latter and kept for every row.
+    """Counts, base_failed, perplexity, perplexity_alone, the band of the latter, that of words and kept for every row.
 
     A missing text has no words and perplexities of 1; a missing language is a language of its
     own. A language none of whose texts pass the base rules has no band and rejects by the base
     rules alone. Repeated rows and ids stay; an empty table gives no rows; other columns are not read.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    counts = cut_lineage(gram_counts(different_texts(df, lang, text)))
+    texts = different_texts(df, lang, text)
+    counts = cut_lineage(gram_counts(texts))
     table = cut_lineage(hash_table(log_probabilities(counts)))
     rows = df.select(F.col(id_col).alias("_id"), language(lang).alias("_lang"), text_bytes(text).alias("_text")).withColumn("_key", text_key("_lang"))
     small = table.count() * 24 <= model_bytes
@@ -361,13 +450,16 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
     scored = cut_lineage(scored.withColumns({
         "perplexity": per_symbol("_logp"), "perplexity_alone": per_symbol("_alone"),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))}))
-    passing = cut_lineage(scored.where(~F.col("base_failed")).groupBy("_lang", "_key").agg(F.log(F.any_value("perplexity_alone")).alias("x")))
-    middle = cut_lineage(passing.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m")))
-    spread = lookup_join(passing, middle, ["_lang"], ["_key"]).groupBy("_lang", "m").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10_000).alias("s"))
-    half = F.greatest(F.lit(width * 1.4826) * F.col("s"), F.lit(LEAST_WIDTH))
-    bands = cut_lineage(spread.select("_lang", F.exp(F.col("m") - half).alias("band_low"), F.exp(F.col("m") + half).alias("band_high")))
-    inside = F.col("perplexity_alone").between(F.col("band_low"), F.col("band_high"))
+    scored = cut_lineage(lookup_join(scored, cut_lineage(word_scores(texts)), ["_key"], ["_id"], "left").fillna(1.0, ["word_perplexity"]))
+    passing = cut_lineage(scored.where(~F.col("base_failed")).groupBy("_lang", "_key").agg(
+        F.log(F.any_value("perplexity_alone")).alias("x"), F.log(F.any_value("word_perplexity")).alias("y")))
+    middle = cut_lineage(passing.groupBy("_lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m{c}") for c in "xy"]))
+    spread = lookup_join(passing, middle, ["_lang"], ["_key"]).groupBy("_lang", "mx", "my").agg(
+        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c}")), 0.5, 10_000).alias(f"s{c}") for c in "xy"])
+    half, word_half = (F.greatest(F.lit(width * 1.4826) * F.col(c), F.lit(LEAST_WIDTH)) for c in ("sx", "sy"))
+    bands = cut_lineage(spread.select("_lang", F.exp(F.col("mx") - half).alias("band_low"), F.exp(F.col("mx") + half).alias("band_high"),
+                                      F.exp(F.col("my") + word_half).alias("word_band_high")))
+    inside = F.col("perplexity_alone").between(F.col("band_low"), F.col("band_high")) & (F.col("word_perplexity") <= F.col("word_band_high"))
     return lookup_join(scored, bands, ["_lang"], ["_id"], "left").select(
         F.col("_id").alias(id_col), *_FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "perplexity", "perplexity_alone",
-        "band_low", "band_high")
-
+        "band_low", "band_high", "word_perplexity", "word_band_high")

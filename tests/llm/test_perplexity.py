@@ -120,3 +120,19 @@ def test_copies_do_not_make_gibberish_likely(spark):
     assert all(got[i].perplexity_alone > 1.5 * got[i].band_high for i in ids.values())
     clean = [r for i, r in got.items() if i < 10**6 and not r.base_failed]
     assert sum(r.kept for r in clean) > 0.9 * len(clean)
+
+
+def test_shuffled_words_are_rejected(spark):
+    """Texts of known sentences stay; the same words in any order go, with and without copies."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 8))) for _ in range(300)]
+    sentences = [" ".join(rnd.choices(words, k=12)) for _ in range(200)]
+    texts = [" ".join(rnd.sample(sentences, 25)) for _ in range(150)]
+    salad = [" ".join(rnd.sample(" ".join(rnd.sample(texts, 50)).split(), 300)) for _ in range(3)]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, *salad, *[salad[0]] * 20])]
+    got = {r.doc_id: r for r in pp.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(150)) > 0.9 * 150
+    odd = [r for i, r in got.items() if i >= 150]
+    assert all(r.band_low <= r.perplexity_alone <= r.band_high for r in odd)
+    assert not any(r.kept for r in odd)
