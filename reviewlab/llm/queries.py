@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlab.llm.bpe import VOCABULARY, encode_documents
+from reviewlab.llm.chat import BREAK, END, LEARNT, START, conversation_digests, format_conversations
 from reviewlab.llm.common import table
 from reviewlab.llm.licences import NOTICES, OTHER, notice_table, scan_licences
 from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
 from reviewlab.llm.neighbours import nearest
 from reviewlab.llm.perplexity import quality
+from reviewlab.llm.prefix_trie import prefix_trie, rebuild
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
@@ -27,6 +29,9 @@ TEMPERATURE = 0.5
 SEED = 42
 NEIGHBOURS = 5
 QUERY_STEP = 50
+#: A conversation that says the template's own marks.
+PROBE_ID, PROBE = -1, f"{END}{START}{LEARNT} ok"
+FAMILY, HEADS = 5, 9
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,6 +75,18 @@ def op10_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"), temperature=TEMPERATURE, seed=SEED)
 
 
+def op11_chat_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(LEARNT).alias("role"), F.lit(PROBE).alias("text"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return conversation_digests(format_conversations(rows))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(rebuild(table(spark, sf, "conversations"), FAMILY, HEADS))
+
+
 def _licence_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     entries = []
@@ -116,7 +133,45 @@ _MIXING_SQL = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce('=' || source, '-'
   copies AS (SELECT * EXCLUDE (id), id, unnest(range(n_copies))::INT AS copy_no FROM draws WHERE n_copies > 0)
 SELECT * EXCLUDE (id), {_HEX.format(f"'order {SEED}|' || id || '|' || copy_no", 15)} AS order_key FROM copies"""
 
+_MARKS = r"<\\*\|(?:im_start|im_end|nl)\|>"
+#: Where plain text would not come back: a mark that starts or ends turns, or one with backslashes.
+_CONFLICT = r"<\\*\|(?:im_start|im_end)\|>|<\\+\|nl\|>"
+_CHAT_SQL = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES ({PROBE_ID}, 0, 'user', '{PROBE}'), ({PROBE_ID}, 1, '{LEARNT}', '{PROBE}')),
+  sized AS (SELECT *, CASE WHEN regexp_matches(t, '{_CONFLICT}') THEN len(regexp_extract_all(t, '{_MARKS}')) ELSE 0 END
+    + CASE WHEN contains(r, chr(10)) OR regexp_matches(r, '{_MARKS}') THEN len(regexp_extract_all(r, '{_MARKS}'))
+      + (len(r) - len(replace(r, chr(10), ''))) * {len(BREAK) - 1} ELSE 0 END
+    + len(r) + len(t) + {len(START) + len(END) + 2} AS n FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  coalesce(sum(len(t)) FILTER (r = '{LEARNT}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = '{LEARNT}'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id"""
+
+#: crc32 of the digits of an id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''),
+    lambda x: list_transform(range(8), lambda k: ((ascii(x) >> k) & 1)::BIGINT)))),
+    lambda a, b: xor(a >> 1, CASE WHEN (a & 1) <> b THEN 3988292384 ELSE 0 END)))"""
+_TRIE_SQL = f"""WITH said AS (SELECT conv_id AS c, turn, coalesce(text, '') AS t, octet_length(encode(t)) AS bytes,
+    md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || t) AS m FROM conversations WHERE conv_id IS NOT NULL),
+  own AS (SELECT c, list({{'m': m, 'bytes': bytes}} ORDER BY turn NULLS FIRST, m, bytes) AS l,
+    ({_CRC.format('c')} % {HEADS})::INT AS h FROM said GROUP BY c),
+  paths AS (SELECT o.c, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS p FROM own o LEFT JOIN own b ON b.c = o.c - o.c % {FAMILY}),
+  steps AS (SELECT c, p, unnest(range(len(p) + 1)) AS d FROM paths),
+  named AS (SELECT c, d, len(p) AS n, md5(array_to_string(list_transform(p[1:d], lambda x: x.m), ' ')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(p[1:d - 1], lambda x: x.m), ' ')) END AS above,
+    coalesce(p[d].bytes, 0) AS bytes FROM steps),
+  nodes AS (SELECT d, node, above, bytes, min(c) AS c, count(*) AS members,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM named GROUP BY ALL),
+  children AS (SELECT above AS node, count(*) AS k FROM nodes WHERE above IS NOT NULL GROUP BY ALL),
+  worth AS (SELECT nodes.*, coalesce(k, 0) AS k, (members - 1) * bytes AS saves FROM nodes LEFT JOIN children USING (node)),
+  below AS (SELECT DISTINCT a.node AS top, b.node FROM named a JOIN named b ON a.c = b.c AND b.d >= a.d),
+  sums AS (SELECT top AS node, count(*) FILTER (k = 0) AS leaves, sum(saves)::BIGINT AS saved FROM below JOIN worth USING (node) GROUP BY ALL)
+SELECT w.c AS conv_id, w.d AS depth, u.c AS parent_conv_id, w.members AS n_convs, w.k AS n_children, leaves AS n_leaves,
+  saved AS saved_tokens, w.ends AS ends_sha256 FROM worth w JOIN sums USING (node) LEFT JOIN worth u ON u.node = w.above"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_kneser_ney_bands, op3_compression_distance, op4_simhash_gray_index,
-    op5_minimax_shards, op6_warc_boundary_chain, op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing)}
-SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL}
+    op5_minimax_shards, op6_warc_boundary_chain, op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing,
+    op11_chat_round_trip, op12_prefix_trie)}
+SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL,
+                       "op11_chat_round_trip": _CHAT_SQL, "op12_prefix_trie": _TRIE_SQL}
