@@ -16,6 +16,7 @@ from reviewlab.llm.mixing import LAST, PART_MEAN, mix_sources
 from reviewlab.llm.neighbours import nearest
 from reviewlab.llm.perplexity import quality
 from reviewlab.llm.prefix_trie import prefix_trie, rebuild
+from reviewlab.llm.runs import periodic_runs
 from reviewlab.llm.sharding import shard_documents
 from reviewlab.llm.simhash import near_duplicates
 from reviewlab.llm.suffix_dedup import remove_repeats
@@ -87,6 +88,10 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie(rebuild(table(spark, sf, "conversations"), FAMILY, HEADS))
 
 
+def op13_grammar_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs(table(spark, sf, "documents"), plant=True, keep_texts=False)
+
+
 def _licence_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     entries = []
@@ -172,6 +177,6 @@ SELECT w.c AS conv_id, w.d AS depth, u.c AS parent_conv_id, w.members AS n_convs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_kneser_ney_bands, op3_compression_distance, op4_simhash_gray_index,
     op5_minimax_shards, op6_warc_boundary_chain, op7_stable_projection_neighbours, op8_tree_bpe, op9_licence_scan, op10_poisson_mixing,
-    op11_chat_round_trip, op12_prefix_trie)}
+    op11_chat_round_trip, op12_prefix_trie, op13_grammar_runs)}
 SQL: dict[str, str] = {"op6_warc_boundary_chain": _WARC_SQL, "op9_licence_scan": _licence_sql(), "op10_poisson_mixing": _MIXING_SQL,
                        "op11_chat_round_trip": _CHAT_SQL, "op12_prefix_trie": _TRIE_SQL}
