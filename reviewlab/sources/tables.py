@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlab.sources.quoted_csv import read_quoted_csv
+
 REVIEW_COLUMNS = ["store", "taste", "quantity", "delivery", "menu", "customer_id", "review", "reply"]
 
 
@@ -18,23 +20,24 @@ def string_schema(names: Sequence[str]) -> T.StructType:
 REVIEW_SCHEMA = string_schema(REVIEW_COLUMNS)
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType, multiline: bool):
-    return (
-        spark.read.schema(schema).option("header", True).option("escape", '"')
-        .option("multiLine", multiline).option("enforceSchema", True)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    )
+def _read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multiline: bool,
+              file_columns: Mapping[str, Column] | None = None) -> DataFrame:
+    if multiline:
+        return read_quoted_csv(spark, path, schema, file_columns)
+    reader = (spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    return reader.csv(path if isinstance(path, str) else list(path)).withColumns(dict(file_columns or {}))
 
 
 def read_reviews(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = REVIEW_SCHEMA,
                  multiline: bool = True) -> DataFrame:
     """CSV with a header line, in UTF-8 with or without a byte order mark.
 
-    Empty cells, quoted or not, are missing values.
-    Quoted line breaks need ``multiline``, which reads a file in one task: keep such files
-    to a few hundred megabytes, or switch it off where texts hold no line breaks.
+    Empty cells, quoted or not, are missing values. A file is read by several tasks, quoted line
+    breaks or not (see ``quoted_csv``). Where texts hold no line breaks, switch ``multiline``
+    off: the file is then scanned once instead of twice.
     """
-    return _csv_reader(spark, schema, multiline).csv(path if isinstance(path, str) else list(path))
+    return _read_csv(spark, path, schema, multiline)
 
 
 def read_sharded(spark: SparkSession, folder: str, prefix: str, schema: T.StructType = REVIEW_SCHEMA,
@@ -43,15 +46,15 @@ def read_sharded(spark: SparkSession, folder: str, prefix: str, schema: T.Struct
 
     Columns are matched by position.
     """
-    return _csv_reader(spark, schema, multiline).csv(f"{folder}/{prefix}*")
+    return _read_csv(spark, f"{folder}/{prefix}*", schema, multiline)
 
 
 def read_numbered(spark: SparkSession, folder: str, n: int, schema: T.StructType = REVIEW_SCHEMA,
                   stem: str = "review_data", multiline: bool = True) -> DataFrame:
     """Files ``<stem>0.csv`` to ``<stem>n-1.csv``, with the file number in column ``shard``."""
     paths = [f"{folder}/{stem}{i}.csv" for i in range(n)]
-    number = F.regexp_extract(F.input_file_name(), rf"{stem}(\d+)\.csv", 1).cast("int")
-    return _csv_reader(spark, schema, multiline).csv(paths).withColumn("shard", number)
+    number = F.regexp_extract("_metadata.file_path", rf"{stem}(\d+)\.csv", 1).cast("int")
+    return _read_csv(spark, paths, schema, multiline, {"shard": number})
 
 
 def write_reviews(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
