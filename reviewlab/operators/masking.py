@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab import values as v
-from reviewlab.functions.masking import mask_tagged, terms_pattern
+from reviewlab.functions.masking import mask_tagged
 from reviewlab.functions.overlap import ngrams
 from reviewlab.functions.text import regex_extract
+from reviewlab.operators.gazetteer import mask_substrings
 from reviewlab.scale import lookup_join
 
-# Most terms that are turned into one pattern; more are found by a join, with the same result.
-PATTERN_TERMS = 5_000
-
 
 def find_entities(df: DataFrame, col: str, gazetteer: DataFrame, row_id: str = "review_id",
                   **scale: int) -> DataFrame:
@@ -34,23 +32,6 @@ def find_entities(df: DataFrame, col: str, gazetteer: DataFrame, row_id: str = "
     return lookup_join(spans, terms.drop("n"), ["key"], [row_id, "key"], **scale).select(row_id, "word", "type")
 
 
-def find_substrings(df: DataFrame, col: str, terms: DataFrame, row_id: str = "review_id", **scale: int) -> DataFrame:
-    """One row per (row, term): terms that stand anywhere in the text, also inside a word.
-
-    The different substrings of every length that some term has are joined with the terms.
-    """
-    keyed = terms.select(F.col("term").alias("key"), F.col("term").alias("word"), "type")
-    # Lengths that occur among the terms, a handful of numbers.
-    lengths = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
-
-    def pieces(n: int) -> Column:
-        begins = F.when(F.length(col) >= n, F.sequence(F.lit(1), F.length(col) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(begins, lambda i: F.substring(F.col(col), i, F.lit(n))))
-
-    spans = df.select(row_id, F.explode(F.concat(*[pieces(n) for n in lengths])).alias("key"))
-    return lookup_join(spans, keyed, ["key"], [row_id, "key"], **scale).select(row_id, "word", "type")
-
-
 def _mask_found(df: DataFrame, col: str, found: DataFrame, row_id: str) -> DataFrame:
     entities = found.groupBy(row_id).agg(F.collect_list(F.struct("word", "type")).alias("_entities"))
     joined = df.join(entities, row_id, "left")
@@ -62,21 +43,11 @@ def mask_entities(df: DataFrame, col: str, gazetteer: DataFrame, match: str = "s
     """Replace gazetteer terms in ``col``: organisations first, then places.
 
     ``substring`` replaces a term wherever it stands, also inside a word, which suits
-    languages whose particles stick to nouns: up to ``PATTERN_TERMS`` terms are one pattern, and of
-    more terms each row gets those that stand in it, by a join. ``token`` replaces the terms whose
+    languages whose particles stick to nouns (see ``gazetteer``). ``token`` replaces the terms whose
     words stand in the text as words. Both take a gazetteer of any size.
     """
     if match == "token":
         return _mask_found(df, col, find_entities(df, col, gazetteer, row_id, **scale), row_id)
     if match != "substring":
         raise ValueError(f"unknown match {match!r}")
-    usable = gazetteer.where(~F.col("term").rlike("[#@]") & (F.col("term") != "")).select("term", "type").distinct()
-    terms = usable.limit(PATTERN_TERMS + 1).collect()
-    if len(terms) > PATTERN_TERMS:
-        return _mask_found(df, col, find_substrings(df, col, usable, row_id, **scale), row_id)
-    out = F.col(col)
-    for kind, mask in (("ORGANIZATION", v.ORGANISATION), ("LOCATION", v.PLACE)):
-        listed = sorted((t.term for t in terms if t.type == kind), key=lambda t: (-len(t), t))
-        if listed:
-            out = F.regexp_replace(out, terms_pattern(listed), mask)
-    return df.withColumn(col, out)
+    return mask_substrings(df, col, gazetteer, row_id, **scale)
