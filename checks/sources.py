@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +12,8 @@ from checks.fixtures import (
 from checks.registry import check
 from reviewlab.functions.text import strip
 from reviewlab.operators.filters import seeded_hash
-from reviewlab.sources.pages import extract_blocks, first_text, opening, unescape
+from reviewlab.sources.markup import Element
+from reviewlab.sources.pages import extract_blocks, extract_reviews, extract_stores
 from reviewlab.sources.tables import (
     REVIEW_COLUMNS, read_columnar, read_numbered, read_reviews, read_sharded, read_word_vectors, seed_list,
     string_schema, write_columnar, write_reviews, write_word_vectors,
@@ -80,10 +82,58 @@ def columnar_round_trip(spark, sf):
           '&amp;', '&')) AS names,
       unnest(range(1, len(urls) + 1)) AS i FROM pages)""")
 def extract_page_blocks(spark, sf):
-    html, block = F.col("html"), F.col("block")
-    page_fields = {"lang": F.regexp_extract(html, '<html lang="([^"]*)"', 1), "title": first_text(html, "title")}
-    fields = {"url": F.regexp_extract(block, '<a href="([^"]*)"', 1), "label": first_text(block, "a")}
-    found = extract_blocks(table(spark, sf, "pages"), opening("li"), fields, page_fields)
+    page_fields = {"lang": Element("html", take="lang"), "title": Element("title")}
+    fields = {"url": Element("a", take="href"), "label": Element("a")}
+    found = extract_blocks(table(spark, sf, "pages"), Element("li"), fields, page_fields)
+    return found.withColumn("at", F.col("at").cast("bigint"))
+
+
+def escaped(col):
+    """Text as a page holds it: named, decimal and hexadecimal references."""
+    for char, name in [("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ("'", "&#x27;"), ('"', "&quot;")]:
+        col = F.replace(col, F.lit(char), F.lit(name))
+    return col
+
+
+def shown(tag, attrs, text):
+    return F.when(text.isNotNull(), F.concat(F.lit(f"<{tag} {attrs}>"), escaped(text), F.lit(f"</{tag}>"))).otherwise("")
+
+
+def page_of_reviews(df):
+    """A review page per conversation: quotes of both kinds, lists within blocks, closing tags left out."""
+    stars = [shown("span", f"class='points ng-binding' ng-show=\"review.rating_{c} > 0\"", F.col(c)) for c in ("taste", "quantity", "delivery")]
+    block = F.concat(
+        F.lit("<li ng-repeat='review in restaurant.reviews' class=\"list-group-item star-point ng-scope\"><ul><li>inner"
+              "<li class=x title='a > b'>list</ul><!-- <li> --><br>"),
+        shown("span", 'ng-show="review.phone" class="review-id ng-binding"', F.col("customer_id")), *stars,
+        shown("div", "data-x='>' class='order-items default ng-binding'", F.col("menu")),
+        shown("p", 'class="ng-binding" ng-show="review.comment"', F.col("review")),
+        shown("p", "ng-bind-html='review.owner_reply.comment|strip_html' class='ng-binding'", F.concat(F.lit("\n "), "reply", F.lit(" "))),
+        # A reply of the site stands outside of the block: what a cut at the next block would take in.
+        F.lit('</li><li><p class="ng-binding" ng-bind-html="review.owner_reply.comment|strip_html">of the site</p>'))
+    blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("review_id", block.alias("b")))), lambda x: x["b"]), "")
+    name = F.concat(F.lit("<html><script>'<li>'</script><span class='restaurant-name ng-binding'>"), escaped(F.any_value("store")), F.lit("</span><ul>"))
+    return df.groupBy(F.floor(F.col("review_id") / 100).alias("page_id")).agg(F.concat(name, blocks, F.lit("</ul></html>")).alias("html"))
+
+
+@check(rows("""SELECT review_id // 100 AS page_id, store, coalesce(taste, '별점X') AS taste, coalesce(quantity, '별점X') AS quantity,
+    coalesce(delivery, '별점X') AS delivery, coalesce(menu, '메뉴X') AS menu, customer_id, review, reply,
+    row_number() OVER (PARTITION BY review_id // 100 ORDER BY review_id) AS place FROM
+    (SELECT * REPLACE (regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS reply) FROM blocks) WHERE reply IS NOT NULL""", BLOCKS))
+def extract_review_pages(spark, sf):
+    found = extract_reviews(page_of_reviews(review_blocks(spark, sf)))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("at")).cast("bigint")
+    return found.select("page_id", "store", "taste", "quantity", "delivery", "menu", "customer_id", "review", "reply", place.alias("place"))
+
+
+@check(rows("""SELECT conv_id // 20 AS page_id, CAST(row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id) - 1 AS BIGINT) AS "at",
+    'Shop <' || conv_id || '> & "Co"' AS store FROM (SELECT DISTINCT conv_id FROM conversations)"""))
+def extract_listing_pages(spark, sf):
+    name = F.concat(F.lit("Shop <"), "conv_id", F.lit('> & "Co"'))
+    entry = F.concat(F.lit("<div><div data-x='<div>' class='restaurant-name ng-binding'>"), escaped(name), F.lit("</div>9 reviews</div>"))
+    stores = table(spark, sf, "conversations").select("conv_id", entry.alias("entry")).distinct()
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "entry"))), lambda x: x["entry"]), "<hr>")
+    found = extract_stores(stores.groupBy(F.floor(F.col("conv_id") / 20).alias("page_id")).agg(listed.alias("html")))
     return found.withColumn("at", F.col("at").cast("bigint"))
 
 

@@ -2,93 +2,75 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab import values as v
 from reviewlab.functions.text import strip
 from reviewlab.operators.filters import fill_missing, require_reply
+from reviewlab.sources.markup import Element, read_blocks
 
+#: Blocks that a task hands on together.
+ROWS = 4096
 
-def opening(tag: str, **attrs: str) -> str:
-    """Pattern of an opening tag that holds the given attributes, in any order.
 
-    Python keywords and hyphens are written with underscores: ``class_``, ``ng_repeat``.
-    """
-    wanted = "".join(
-        f'(?=[^>]*\\s{name.strip("_").replace("_", "-")}="{re.escape(value)}")' for name, value in attrs.items())
-    return f"<{tag}(?=[\\s>]){wanted}[^>]*>"
-
-
-# The five named entities and their characters, the ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def unescape(col: Column) -> Column:
-    for name, char in ENTITIES:
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
-
-
-def first_text(html: Column, tag: str, open_pattern: str | None = None) -> Column:
-    """Text of the first such element; NULL if there is none or it holds other elements."""
-    found = F.regexp_extract_all(html, F.lit(f"(?s){open_pattern or opening(tag)}(.*?)</{tag}>"), 1)
-    text = F.get(found, F.lit(0))
-    return F.when(~text.contains("<"), unescape(text))
-
-
-def extract_blocks(pages: DataFrame, block: str, fields: Mapping[str, Column], page_fields: Mapping[str, Column] = {},
+def extract_blocks(pages: DataFrame, block: Element, fields: Mapping[str, Element], page_fields: Mapping[str, Element] = {},
                    html: str = "html", row_id: str = "page_id") -> DataFrame:
     """One row per block: id, 0-based position, page fields, block fields.
 
-    ``block`` is the pattern of the opening tag; a block reaches to the next opening tag
-    of that kind, or to the end of the page. Block fields are expressions over the column
-    ``block``, page fields over the page.
+    A field is what its element gives where it stands first, in the page or in the block: its text, if it holds nothing
+    else, or an attribute; NULL if there is none. Pages are scanned once each, where they are; a missing page has no blocks.
     """
-    pieces = F.slice(F.split(F.col(html), block), F.lit(2), F.lit(2**31 - 1))
-    blocks = pages.select(row_id, *[c.alias(n) for n, c in page_fields.items()],
-                          F.posexplode(pieces).alias("at", "block"))
-    return blocks.select(row_id, F.col("at"), *page_fields, *[c.alias(n) for n, c in fields.items()])
-
-
-# Elements of a review page.
-REVIEW_BLOCK = opening("li", class_="list-group-item star-point ng-scope", ng_repeat="review in restaurant.reviews")
-STORE_NAME = ("span", {"class_": "restaurant-name ng-binding"})
+    kind = pages.schema[row_id].dataType.simpleString()
+    names = [*page_fields, *fields]
+    schema = ", ".join([f"`{row_id}` {kind}", "at int", *[f"`{n}` string" for n in names]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            rows, of, at = [], [], []
+
+            def made() -> pa.RecordBatch:
+                cells = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))]  # noqa: B023
+                return pa.record_batch([ids.take(pa.array(of, pa.int32())), pa.array(at, pa.int32()), *cells], [row_id, "at", *names])  # noqa: B023
+
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                for k, row in enumerate(read_blocks(page or "", block, fields, page_fields)):
+                    rows.append(row)
+                    of.append(i)
+                    at.append(k)
+                    if len(rows) >= ROWS:
+                        yield made()
+                        rows, of, at = [], [], []
+            if rows:
+                yield made()
+
+    return pages.select(row_id, html).mapInArrow(work, schema)
+
+
+# Elements of a review page and of a listing page.
+REVIEW_BLOCK = Element("li", {"class_": "list-group-item star-point ng-scope", "ng_repeat": "review in restaurant.reviews"})
+STORE_NAME = Element("span", {"class_": "restaurant-name ng-binding"})
 REVIEW_FIELDS = {
-    "taste": ("span", {"class_": "points ng-binding", "ng_show": "review.rating_taste > 0"}),
-    "quantity": ("span", {"class_": "points ng-binding", "ng_show": "review.rating_quantity > 0"}),
-    "delivery": ("span", {"class_": "points ng-binding", "ng_show": "review.rating_delivery > 0"}),
-    "menu": ("div", {"class_": "order-items default ng-binding"}),
-    "customer_id": ("span", {"class_": "review-id ng-binding", "ng_show": "review.phone"}),
-    "review": ("p", {"class_": "ng-binding", "ng_show": "review.comment"}),
-    "reply": ("p", {"class_": "ng-binding", "ng_bind_html": "review.owner_reply.comment|strip_html"}),
+    "taste": Element("span", {"class_": "points ng-binding", "ng_show": "review.rating_taste > 0"}),
+    "quantity": Element("span", {"class_": "points ng-binding", "ng_show": "review.rating_quantity > 0"}),
+    "delivery": Element("span", {"class_": "points ng-binding", "ng_show": "review.rating_delivery > 0"}),
+    "menu": Element("div", {"class_": "order-items default ng-binding"}),
+    "customer_id": Element("span", {"class_": "review-id ng-binding", "ng_show": "review.phone"}),
+    "review": Element("p", {"class_": "ng-binding", "ng_show": "review.comment"}),
+    "reply": Element("p", {"class_": "ng-binding", "ng_bind_html": "review.owner_reply.comment|strip_html"}),
 }
-
-
-def _element(html: Column, tag: str, attrs: Mapping[str, str]) -> Column:
-    # Attribute values may hold a closing bracket ("rating > 0"), so they are matched whole.
-    wanted = "".join(
-        f'(?=(?:[^>"]|"[^"]*")*\\s{name.strip("_").replace("_", "-")}="{re.escape(value)}")'
-        for name, value in attrs.items())
-    return first_text(html, tag, f'<{tag}(?=[\\s>]){wanted}(?:[^>"]|"[^"]*")*>')
-
-
-STORE_ENTRY = opening("div", class_="restaurant-name ng-binding")
+STORE_ENTRY = Element("div", {"class_": "restaurant-name ng-binding"})
 
 
 def extract_stores(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
     """Store names of listing pages, in page order."""
-    name = unescape(F.regexp_extract("block", "^([^<]*)<", 1))
-    return extract_blocks(pages, STORE_ENTRY, {"store": name}, html=html, row_id=row_id)
+    return extract_blocks(pages, STORE_ENTRY, {"store": STORE_ENTRY}, html=html, row_id=row_id)
 
 
 def extract_reviews(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
     """Answered reviews of review pages, with placeholders for missing ratings and menus."""
-    tag, attrs = STORE_NAME
-    fields = {name: _element(F.col("block"), *spec) for name, spec in REVIEW_FIELDS.items()}
-    fields["reply"] = strip(fields["reply"])
-    rows = extract_blocks(pages, REVIEW_BLOCK, fields, {"store": _element(F.col(html), tag, attrs)}, html, row_id)
-    return fill_missing(require_reply(rows))
+    rows = extract_blocks(pages, REVIEW_BLOCK, REVIEW_FIELDS, {"store": STORE_NAME}, html, row_id)
+    return fill_missing(require_reply(rows.withColumn("reply", strip(F.col("reply")))))
