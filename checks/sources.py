@@ -19,7 +19,7 @@ from reviewlab.sources.tables import (
     string_schema, write_columnar, write_reviews, write_word_vectors,
 )
 from reviewlab.streaming.incremental import (
-    append_available, latest, stream_files, stream_new_keys, stream_reply_total, update_available,
+    add_reply_totals, append_new_keys, latest, new_keys, reply_totals, stream_files, stream_reply_total, update_available,
 )
 
 ID_SCHEMA = T.StructType([T.StructField("review_id", T.LongType()), *string_schema(REVIEW_COLUMNS).fields])
@@ -173,25 +173,38 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("u
                        T.StructField("event_type", T.StringType())])
 
 
+def event_batches(spark, sf):
+    """The events in order of their ids, in five micro-batches."""
+    folder = scratch(spark)
+    table(spark, sf, "events").repartitionByRange(5, "event_id").write.parquet(folder)
+    return stream_files(spark, folder, EVENTS, files_per_batch=1)
+
+
 @check("""SELECT DISTINCT user_id FROM events
     WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)""")
 def stream_new_users(spark, sf):
     path = scratch(spark)
     seen = table(spark, sf, "events").where("event_type = 'signup' AND value > 90")
-    stream = stream_files(spark, sf, EVENTS, "events.parquet")
-    append_available(stream_new_keys(stream, "user_id", seen), path, f"{path}-state")
-    return spark.read.schema("user_id long").parquet(path)
+    append_new_keys(event_batches(spark, sf), "user_id", path, f"{path}-state", seen, every=2)
+    return new_keys(spark, path, "user_id")
 
 
 @check("""SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS replies FROM events GROUP BY user_id""")
 def stream_reply_totals(spark, sf):
     path = scratch(spark)
-    stream = stream_files(spark, sf, EVENTS, "events.parquet")
-    replied = stream.withColumn("reply", F.when(F.col("event_type") == "purchase", 1))
-    update_available(stream_reply_total(replied, "user_id", "reply"), path, f"{path}-state")
+    replied = event_batches(spark, sf).withColumn("reply", F.when(F.col("event_type") == "purchase", 1))
+    update_available(stream_reply_total(replied, "user_id", "reply"), path, f"{path}-state", "user_id", "replies", every=2)
     return latest(spark, path, "user_id", "replies")
 
 
+@check("""SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS replies FROM events GROUP BY user_id""")
+def stream_added_totals(spark, sf):
+    path = scratch(spark)
+    replied = event_batches(spark, sf).withColumn("reply", F.when(F.col("event_type") == "purchase", 1))
+    add_reply_totals(replied, "user_id", "reply", path, f"{path}-state", every=2)
+    return reply_totals(spark, path, "user_id")
+
+
 @check(rows("SELECT word, length(word)::BIGINT AS letters FROM vocabulary", VECTORS))
 def vocabulary_of_conversations(spark, sf):
     return conversation_words(spark, sf).select("word", F.length("word").cast("bigint").alias("letters"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlab.scale import lookup_join, running_total
+from reviewlab.operators.ordering import PER_TASK
+from reviewlab.scale import lookup_join, running_total, top_rows
 from reviewlab.session import cut_lineage
 
 
@@ -21,11 +22,17 @@ def nucleus_filter(df: DataFrame, group: str = "grp", token: str = "token", scor
     ``renormalise`` the share among those the nucleus is cut from, which takes one pass
     less and is all that a draw needs.
 
-    Groups may be of any size: their largest score and kept mass are looked up, and the
+    Groups and top-k may be of any size: the k-th score is looked up where it is beyond what a rank is limited to
+    per task (``scale.top_rows``), the groups' largest score and kept mass are looked up, and the
     running total is taken over pieces.
     """
     scaled = df.withColumn("_s", F.col(score) / F.lit(float(temperature)))
-    if top_k > 0:
+    if top_k > PER_TASK:
+        first = top_rows(scaled, group, -F.col("_s"), token, top_k, "_at", **scale)
+        least = cut_lineage(first.where(F.col("_at") == top_k).select(group, F.col("_s").alias("_least")))
+        scaled = lookup_join(scaled, least, [group], [group, token], "left", **scale).where(
+            F.col("_least").isNull() | (F.col("_s") >= F.col("_least"))).drop("_least")
+    elif top_k > 0:
         by_score = Window.partitionBy(group).orderBy(F.desc("_s"))
         scaled = scaled.withColumn("_rank", F.rank().over(by_score)).where(F.col("_rank") <= top_k).drop("_rank")
     tops = cut_lineage(scaled.groupBy(group).agg(F.max("_s").alias("_top")))

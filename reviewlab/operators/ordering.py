@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlab.scale import dense_index
+from reviewlab.scale import dense_index, top_rows
+
+#: Rows per group up to which Spark limits a rank before the shuffle.
+PER_TASK = 1000
 
 
 def sort_by_score(df: DataFrame, col: str, row_id: str = "review_id") -> DataFrame:
@@ -24,7 +27,13 @@ def extremes(df: DataFrame, col: str, head: int, tail: int, row_id: str = "revie
 
 
 def preview_per_store(df: DataFrame, k: int = 10, store: str = "store", order: str = "review_id") -> DataFrame:
-    """First ``k`` rows of every store; tasks keep ``k`` rows per store before the shuffle."""
+    """First ``k`` rows of every store, for a unique ``order``.
+
+    For a small k tasks keep ``k`` rows per store before the shuffle. Beyond what Spark limits in that way, the
+    rows of a store are cut by a histogram of ``order``, a number, and numbered in pieces.
+    """
+    if k > PER_TASK:
+        return top_rows(df, store, F.col(order), order, k, "rank").withColumn("rank", F.col("rank").cast("int"))
     first = Window.partitionBy(store).orderBy(order)
     return df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
@@ -43,12 +52,8 @@ def rank_stores(df: DataFrame, store: str = "store") -> DataFrame:
 def assign_block(df: DataFrame, n: int, order: str = "review_id") -> DataFrame:
     """Equal blocks in row order: block = position // (rows // n + 1).
 
-    ``order`` is unique. Only that column is ordered; it yields the first value of every
-    block, and rows are placed by comparing with those at most ``n`` values.
+    ``order`` is unique. Rows move once, to their range of it, and are numbered there.
     """
-    numbered = dense_index(df.select(order), [F.col(order)], "_at", total="_rows")
+    numbered = dense_index(df, [F.col(order)], "_at", total="_rows")
     unit = F.floor(F.col("_rows") / n) + 1
-    firsts = numbered.where((F.col("_at") > 0) & (F.col("_at") % unit == 0))
-    cuts = firsts.agg(F.collect_list(order).alias("c")).scalar()
-    block = F.size(F.filter("_cuts", lambda first: first <= F.col(order))).cast("bigint")
-    return df.withColumn("_cuts", cuts).withColumn("block", block).drop("_cuts")
+    return numbered.withColumn("block", F.floor(F.col("_at") / unit).cast("bigint")).drop("_at", "_rows")

@@ -1,6 +1,6 @@
 """Patterns shared by the operators where one key, or the whole table, is one group.
 
-* ``running_total`` / ``dense_index`` / ``exact_quantiles`` order the whole table (or
+* ``running_total`` / ``dense_index`` / ``top_rows`` / ``exact_quantiles`` order the whole table (or
   arbitrarily large groups) without a single-task window: rows are range partitioned,
   so a group is split into pieces no larger than a partition, and only one total per
   (group, piece) goes through a second, small window.
@@ -126,9 +126,49 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def dense_index(df: DataFrame, order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
-    """0-based position of each row in the total order given by a unique ``order``."""
-    numbered = running_total(df, [], order, F.lit(1).cast("long"), out, total)
-    return numbered.withColumn(out, F.col(out) - 1)
+    """0-based position of each row in the total order given by a unique ``order``.
+
+    Rows move once, to their range, where they are sorted and numbered as they are written out. A
+    position is that number plus the rows of all ranges before, which are added up over one row per range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The id holds the partition above 33 bits and the row's number in it below.
+    numbered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut_lineage(numbered).withColumn(PIECE, F.shiftright("_id", 33)).withColumn("_id", F.col("_id").bitwiseAND(F.lit(2**33 - 1)))
+    whole = Window.orderBy(PIECE)
+    counts = rows.groupBy(PIECE).agg(F.count("*").alias("_n"))
+    offsets = counts.select(PIECE, F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                            F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    # As many rows as there are ranges.
+    placed = rows.join(F.broadcast(offsets), PIECE).withColumn(out, F.col("_before") + F.col("_id"))
+    return placed.select(*df.columns, out, *([F.col("_total").alias(total)] if total else []))
+
+
+BINS = 1024
+
+
+def top_rows(df: DataFrame, group: str, score: Column, tie: str, k: int, out: str, **scale: int) -> DataFrame:
+    """The ``k`` rows of lowest ``score`` of each group, then of lowest ``tie``, with their position from 1.
+
+    For any k and groups of any size. A histogram of each group says in which of its bins the k-th row lies;
+    rows of later bins go. What is left is at most k rows and one bin per group, is range partitioned and numbered,
+    a group in pieces, and cut exactly. ``score`` is a number, missing ones last; (score, tie) is unique.
+    """
+    rows = df.withColumn("_o", score.cast("double"))
+    ends = cut_lineage(rows.groupBy(group).agg(F.min("_o").alias("_low"), F.max("_o").alias("_high")))
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    inside = F.coalesce(F.floor((F.col("_o") - F.col("_low")) / width * BINS), F.lit(0))
+    binned = lookup_join(rows, ends, [group], [group, tie], "left", **scale).withColumn(
+        "_bin", F.when(F.col("_o").isNull(), BINS).otherwise(F.least(inside, F.lit(BINS - 1)))).drop("_low", "_high")
+    counts = binned.groupBy(group, "_bin").agg(F.count("*").alias("_n"))
+    # At most BINS + 1 rows per group.
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bin"))
+    last = counts.withColumn("_upto", upto).groupBy(group).agg(F.min(F.when(F.col("_upto") >= k, F.col("_bin"))).alias("_last"))
+    cuts = cut_lineage(last.where("_last IS NOT NULL"))
+    near = lookup_join(binned, cuts, [group], [group, tie], "left", **scale)
+    near = near.where(F.col("_last").isNull() | (F.col("_bin") <= F.col("_last"))).drop("_last", "_bin")
+    placed = running_total(near, [group], [F.col("_o").asc_nulls_last(), F.col(tie).asc()], F.lit(1).cast("long"), out)
+    return placed.where(F.col(out) <= k).drop("_o")
 
 
 ACCURACY = 10_000

@@ -127,6 +127,20 @@ def test_candidates_equal_brute_force(spark, top_k, top_p):
             assert got.pop(g) == pytest.approx(brute_nucleus(ts, top_k, top_p))
 
 
+@pytest.mark.parametrize("top_k", [3, 60])
+def test_top_k_beyond_the_limit_of_a_task(spark, monkeypatch, top_k):
+    from reviewlab.operators import candidates
+
+    monkeypatch.setattr(candidates, "PER_TASK", 2)
+    r = random.Random(9)
+    groups = {"big": {f"t{i:03}": float(r.randrange(40)) / 8 for i in range(150)}, "tie": {c: 1.0 for c in "abcdef"}, "one": {"a": 0.3}}
+    df = spark.createDataFrame([(g, t, s) for g, ts in groups.items() for t, s in ts.items()], "grp string, token string, score double")
+    got = {}
+    for row in nucleus_filter(df, top_k=top_k, top_p=0.8).collect():
+        got.setdefault(row.grp, {})[row.token] = row.prob
+    assert all(got[g] == pytest.approx(brute_nucleus(ts, top_k, 0.8)) for g, ts in groups.items())
+
+
 def test_draws_follow_the_probabilities(spark):
     df = spark.range(4000).select(F.col("id").alias("grp"), F.explode(F.array(*[
         F.struct(F.lit(t).alias("token"), F.lit(p).alias("prob")) for t, p in (("a", 0.7), ("b", 0.3), ("c", 0.0))])).alias("c"))

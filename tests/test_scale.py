@@ -188,3 +188,29 @@ def test_split_sizes(spark):
     once = {r.review_id: r.split for r in examples.split_train_test_val(df).collect()}
     again = {r.review_id: r.split for r in examples.split_train_test_val(df.repartition(9)).collect()}
     assert once == again
+
+
+@pytest.mark.parametrize("k", [1, 7, 150, 5000])
+def test_top_rows_of_any_number(spark, k):
+    rnd = random.Random(k)
+    rows = [(None if rnd.random() < 0.05 else "hot" if i % 3 else f"g{i % 40}", rnd.choice([None, 0.0, 1e9, float(rnd.randrange(50))]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, s double, t long").repartition(6)
+    want = {}
+    for g in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0.0, r[2]))
+        want |= {r[2]: at for at, r in enumerate(ranked[:k], 1)}
+    for limit in (1 << 20, 0):
+        got = scale.top_rows(df, "g", F.col("s"), "t", k, "at", limit=limit)
+        assert got.columns == ["g", "s", "t", "at"] and {r.t: r["at"] for r in got.collect()} == want
+
+
+def test_previews_of_more_rows_than_a_rank_is_limited_to(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").alias("review_id"), F.when(F.col("id") % 4 > 0, "hot").otherwise("b").alias("store"))
+    plain = {(r.store, r.review_id, r.rank) for r in ordering.preview_per_store(df, 120).collect()}
+    monkeypatch.setattr(ordering, "PER_TASK", 50)
+    assert {(r.store, r.review_id, r.rank) for r in ordering.preview_per_store(df, 120).collect()} == plain and len(plain) == 220
+
+
+def test_blocks_are_placed_without_collecting(spark):
+    plan = ordering.assign_block(spark.range(50).withColumnRenamed("id", "review_id"), 4)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Exchange rangepartitioning" not in plan
