@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewlab import values as v
 from reviewlab.functions.text import strip_and_flatten, tokenise
+from reviewlab.operators.token_sums import with_token_sums
 from reviewlab.scale import lookup_join
 from reviewlab.session import cut_lineage
 
@@ -28,37 +29,22 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
 
     ``cols`` maps new column to text column. score = 1 / (1 + exp(-(bias + sum of
     weights))). ``lexicon`` holds label, token and weight; every token occurrence counts.
-    Labels are few and are read as one array. All texts share one lookup.
+    Labels are few: a token's weights are one vector with a place per label, and are summed up like word
+    vectors, in one pass over the texts.
     """
-    joined = df.join(label_sums(df, cols, lexicon, row_id, **scale), row_id, "left")
-    return with_label_scores(joined, cols, lexicon, bias)
-
-
-def label_sums(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, row_id: str = "review_id", **scale: int) -> DataFrame:
-    """One row per id with a weighted token: for each new column a map ``_z_<column>`` from label to sum of weights."""
-    sides = F.array(*[F.struct(F.lit(new).alias("side"), tokenise(F.col(text)).alias("tokens"))
-                      for new, text in cols.items()])
-    long = df.select(row_id, *cols.values()).repartition(row_id).select(row_id, F.inline(sides))
-    occurrences = long.select(row_id, "side", F.posexplode("tokens").alias("pos", "token"))
-    hits = lookup_join(occurrences, lexicon, ["token"], [row_id, "side", "pos"], **scale)
-    sums = hits.groupBy(row_id, "side", "label").agg(F.sum("weight").alias("z"))
-    return sums.groupBy(row_id).agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("side") == new, F.struct("label", "z")))).alias(f"_z_{new}")
-        for new in cols])
-
-
-def with_label_scores(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias: float = 0.0) -> DataFrame:
-    """Scores of all labels from the columns of ``label_sums``, which go."""
-    labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("l")).scalar()
+    labels = [r.label for r in lexicon.select("label").distinct().orderBy("label").collect()]
+    weights = lexicon.groupBy(F.col("token").alias("word")).agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0.0)) for label in labels]).alias("vec"))
+    sums = {f"_z_{new}": tokenise(F.col(text)) for new, text in cols.items()}
+    summed = with_token_sums(df, weights, sums, row_id, **scale)
 
     def scores(new: str) -> Column:
-        def score(label: Column) -> Column:
-            z = F.lit(float(bias)) + F.coalesce(F.try_element_at(F.col(f"_z_{new}"), label), F.lit(0.0))
-            return F.struct(label.alias("label"), (1 / (1 + F.exp(-z))).alias("score"))
-
-        return F.transform("_l", score)
+        z = F.coalesce(F.col(f"_z_{new}"), F.array_repeat(F.lit(0.0), len(labels)))
+        names = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+        return F.zip_with(names, z, lambda label, x: F.struct(
+            label.alias("label"), (1 / (1 + F.exp(-(F.lit(float(bias)) + x)))).alias("score")))
 
-    return df.withColumn("_l", labels).withColumns({new: scores(new) for new in cols}).drop("_l", *[f"_z_{new}" for new in cols])
+    return summed.withColumns({new: scores(new) for new in cols}).drop(*sums)
 
 
 def batch_function(factory: Callable[[], Model], returns: str, failed: object = None,

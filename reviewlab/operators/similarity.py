@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewlab.functions.overlap import tfidf_pair_cosine, vector_cosine
 from reviewlab.functions.text import tokenise
-from reviewlab.scale import compute_once, lookup_join
+from reviewlab.operators.token_sums import with_token_sums
+from reviewlab.scale import compute_once
 
 
 def with_tokens(df: DataFrame, texts: Mapping[str, str]) -> DataFrame:
@@ -22,48 +23,18 @@ def with_tfidf(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]) -> Dat
     return compute_once(df, {new: tfidf_pair_cosine(a, b) for new, (a, b) in pairs.items()})
 
 
-def mean_vectors(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
-                 row_id: str = "review_id", **scale: int) -> DataFrame:
-    """One row per id: for each text column the mean vector of its known tokens.
-
-    ``texts`` maps output column to token column. A column is NULL where no token is
-    known. All texts share one lookup. Rows are placed by id once, which serves all further
-    steps; where the vectors are broadcast nothing else is shuffled. Equal tokens of a text are
-    counted first, so a vector is looked up once for them.
-    """
-    size = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
-    placed = df.select(row_id, *[tokens.alias(f"_t{i}") for i, tokens in enumerate(texts.values())]).repartition(row_id)
-    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"_t{i}").alias("tokens"))
-                      for i, name in enumerate(texts)])
-    tokens = placed.select(row_id, F.inline(sides)).select(row_id, "side", F.explode("tokens").alias("word"))
-    counted = tokens.groupBy(row_id, "side", "word").agg(F.count("*").alias("_times"))
-    hits = lookup_join(counted, vectors, ["word"], [row_id, "side"], **scale)
-    # A plain sum per dimension: its buffer has a fixed width, so rows are combined in a hash
-    # table before any shuffle.
-    sums = [F.sum(F.col("_times") * F.get("vec", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(size)]
-    per_side = hits.groupBy(row_id, "side").agg(F.sum("_times").alias("_n"), *sums).select(
-        row_id, "side", F.array(*[F.col(f"_d{i}") / F.col("_n") for i in range(size)]).alias("mean"))
-    return per_side.groupBy(row_id).agg(*[
-        F.any_value(F.when(F.col("side") == name, F.col("mean")), F.lit(True)).alias(name) for name in texts])
-
-
 def with_word_vector_cosine(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
                             pairs: Mapping[str, tuple[str, str]], row_id: str = "review_id",
                             **scale: int) -> DataFrame:
     """Add cosines of mean word vectors; 0 where a side has no known token.
 
-    ``pairs`` maps new column to two names of ``texts``.
+    ``texts`` maps a name to a token column, ``pairs`` new column to two of these names. Sums of vectors have the cosine
+    of their means. Texts are read once, and rows are not joined back (``token_sums``).
     """
-    joined = df.join(word_vector_cosines(df, vectors, texts, pairs, row_id, **scale), row_id, "left")
-    return joined.withColumns({new: F.coalesce(F.col(new), F.lit(0.0)) for new in pairs})
-
-
-def word_vector_cosines(df: DataFrame, vectors: DataFrame, texts: Mapping[str, Column],
-                        pairs: Mapping[str, tuple[str, str]], row_id: str = "review_id",
-                        **scale: int) -> DataFrame:
-    """The scores of ``with_word_vector_cosine`` as a table by id, of rows with a known token."""
-    means = mean_vectors(df, vectors, texts, row_id, **scale)
-    return means.select(row_id, *[vector_cosine(F.col(a), F.col(b)).alias(new) for new, (a, b) in pairs.items()])
+    names = {name: f"_sum{i}" for i, name in enumerate(texts)}
+    summed = with_token_sums(df, vectors, {names[name]: tokens for name, tokens in texts.items()}, row_id, **scale)
+    scores = {new: F.coalesce(vector_cosine(F.col(names[a]), F.col(names[b])), F.lit(0.0)) for new, (a, b) in pairs.items()}
+    return compute_once(summed, scores).drop(*names.values())
 
 
 def with_vector_cosine(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -16,7 +16,7 @@ from reviewlab.functions.text import collapse_space, remove_literal
 from reviewlab.operators.examples import split_train_test_val
 from reviewlab.operators.filters import length_band, similarity_gate
 from reviewlab.operators.masking import mask_entities
-from reviewlab.operators.models import Model, label_sums, score_labels, score_labels_batch, tag_entities, with_label_scores
+from reviewlab.operators.models import Model, score_labels, score_labels_batch, tag_entities
 from reviewlab.operators.rouge import rouge_lcs, sentence_list
 from reviewlab.operators.similarity import (
     PREDICTION_SCORES, prediction_report, with_tfidf, with_tokens, with_vector_cosine, with_word_vector_cosine,
@@ -64,18 +64,17 @@ def score_pairs(df: DataFrame, vectors: DataFrame, sentence_vectors: tuple[str,
 
     Filter by length first: the scores are the costly part.
     """
-    # Scores by joins go first, so that no other score is part of what they read again.
+    # Scores that a large table may move rows for go first.
     pairs = with_tokens(df, {"_a": "review", "_b": "reply"})
     pairs = with_word_vector_cosine(pairs, vectors, {"_va": F.col("_a"), "_vb": F.col("_b")},
                                     {"glove": ("_va", "_vb")}, **scale)
+    emotions = {"review_emotions": "review", "reply_emotions": "reply"}
     if lexicon is not None:
-        emotions = {"review_emotions": "review", "reply_emotions": "reply"}
-        sums = label_sums(df, emotions, lexicon, **scale)
-        pairs = common_emotions(with_label_scores(pairs.join(sums, "review_id", "left"), emotions, lexicon, bias), emotions)
+        pairs = with_emotions(pairs, emotions, lexicon, bias, **scale)
     pairs = with_tfidf(pairs, {"tfidf": (F.col("_a"), F.col("_b"))})
     pairs = with_vector_cosine(pairs, {"sbert": sentence_vectors}).drop("_a", "_b")
     if lexicon is None:
-        pairs = with_emotions(pairs, {"review_emotions": "review", "reply_emotions": "reply"}, scorer=scorer)
+        pairs = with_emotions(pairs, emotions, scorer=scorer)
     return pairs
 
 
