@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewlab import values as v
 from reviewlab.operators.filters import seeded_hash
-from reviewlab.scale import dense_index, lookup_join
+from reviewlab.operators.token_sums import with_token_ids
+from reviewlab.scale import dense_index
 
 
 def build_vocab(tokens: DataFrame, word: str = "word", first_id: int = 0) -> DataFrame:
@@ -32,18 +33,8 @@ def extend_vocab(vocab: DataFrame, tokens: Sequence[str] = v.MASK_TOKENS) -> Dat
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, cols: Mapping[str, str], unknown: int,
                   row_id: str = "review_id", **scale: int) -> DataFrame:
-    """Add id arrays for token columns; ``cols`` maps new column to token column."""
-    sides = F.array(*[F.struct(F.lit(new).alias("side"), F.col(tokens).alias("tokens"))
-                      for new, tokens in cols.items()])
-    placed = df.select(row_id, *cols.values()).repartition(row_id)
-    long = placed.select(row_id, F.inline(sides)).select(row_id, "side", F.posexplode("tokens").alias("pos", "word"))
-    coded = lookup_join(long, vocab, ["word"], [row_id, "side", "pos"], "left", **scale)
-    at = F.struct("pos", F.coalesce(F.col("id"), F.lit(unknown)).alias("id"))
-    wide = coded.groupBy(row_id).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == new, at))).alias(new) for new in cols])
-    joined = df.join(wide, row_id, "left")
-    return joined.withColumns({
-        new: F.coalesce(F.transform(new, lambda x: x["id"]), F.array().cast("array<int>")) for new in cols})
+    """Add id arrays for token columns; ``cols`` maps new column to token column. Rows are read once (``token_sums``)."""
+    return with_token_ids(df, vocab, {new: F.col(tokens) for new, tokens in cols.items()}, unknown, row_id, **scale)
 
 
 def split_train_test_val(df: DataFrame, test: float = 0.2, val: float = 0.2, seed: int = 42,

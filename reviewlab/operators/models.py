@@ -6,10 +6,10 @@ comes from a factory, called once per task, so a model is loaded once and not sh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewlab import values as v
@@ -47,70 +47,96 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     return summed.withColumns({new: scores(new) for new in cols}).drop(*sums)
 
 
-def batch_function(factory: Callable[[], Model], returns: str, failed: object = None,
-                   batch: int = 256) -> Callable[[Column], Column]:
-    """Column function around a model; a text the model fails on gets ``failed``.
+def _run(model: Model, texts: list[str]) -> list[tuple[object, str | None]]:
+    """(result, error) per text. A batch that raises, or gives another number of results, is repeated text by text."""
+    try:
+        out = list(model(texts))
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} results for {len(texts)} texts")
+        return [(x, None) for x in out]
+    except Exception as e:
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [_run(model, [t])[0] for t in texts]
 
-    A batch that raises is repeated text by text, so one bad text does not spoil others.
-    NULL texts are not shown to the model and also give ``failed``.
+
+def outcome_function(factory: Callable[[], Model], returns: str, batch: int = 256) -> Callable[[Column], Column]:
+    """Column function around a model: struct<result, error>.
+
+    One bad text does not spoil others: it has no result but the error, its type and message. Missing texts are not shown to the
+    model and have neither.
     """
-    def run(model: Model, texts: list[str]) -> list:
-        try:
-            return list(model(texts))
-        except Exception:
-            if len(texts) == 1:
-                return [failed]
-            return [run(model, [t])[0] for t in texts]
-
-    @F.pandas_udf(returns)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"struct<result: {returns}, error: string>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for texts in batches:
-            out = pd.Series([failed] * len(texts), dtype=object)
+            result, error = (pd.Series([None] * len(texts), dtype=object) for _ in range(2))
             known = texts.reset_index(drop=True).dropna()
             for at in range(0, len(known), batch):
                 part = known.iloc[at:at + batch]
-                for i, result in zip(part.index, run(model, part.tolist()), strict=True):
-                    out.iat[i] = result
-            yield out
+                for i, (x, e) in zip(part.index, _run(model, part.tolist()), strict=True):
+                    result.iat[i], error.iat[i] = x, e
+            yield pd.DataFrame({"result": result, "error": error})
 
     # So that using the column in a filter and in the result runs the model once.
     return apply.asNondeterministic()
 
 
-def score_labels_batch(df: DataFrame, col: str, scorer: Callable[[], Model], out: str) -> DataFrame:
-    """Add label scores from a model that returns a list of (label, score) per text."""
-    return df.withColumn(out, batch_function(scorer, SCORES)(F.col(col)))
+def with_outcome(df: DataFrame, factory: Callable[[], Model], text: Column, returns: str, out: str, failed: object = None,
+                 error: str | None = None, counts: Observation | None = None) -> DataFrame:
+    """Add the result of a model for a text as ``out``; ``failed`` stands for a failed or missing text.
 
-
-def encode_texts(df: DataFrame, cols: dict[str, str], encoder: Callable[[], Model],
-                 returns: str = "array<float>", row_id: str = "review_id", **scale: int) -> DataFrame:
+    ``error``, if named, is a column with the error of a failed text. ``counts``, if given, holds the number of ``rows``, of
+    ``missing`` texts, and of ``rejects`` once an action ran: a model that fails on every text gives a count, not just a
+    table of NULLs.
+    """
+    df = df.withColumn("_outcome", outcome_function(factory, returns)(text)).withColumn("_missing", text.isNull())
+    if counts is not None:
+        df = df.observe(counts, F.count("*").alias("rows"), F.count_if("_missing").alias("missing"),
+                        F.count("_outcome.error").alias("rejects"))
+    lost = F.col("_outcome.error").isNotNull() | F.col("_missing")
+    made = {out: F.when(lost, F.lit(failed)).otherwise(F.col("_outcome.result"))}
+    if error:
+        made[error] = F.col("_outcome.error")
+    return df.withColumns(made).drop("_outcome", "_missing")
+
+
+def score_labels_batch(df: DataFrame, col: str, scorer: Callable[[], Model], out: str, error: str | None = None,
+                       counts: Observation | None = None) -> DataFrame:
+    """Add label scores from a model that returns a list of (label, score) per text; for errors see ``with_outcome``."""
+    return with_outcome(df, scorer, F.col(col), SCORES, out, error=error, counts=counts)
+
+
+def encode_texts(df: DataFrame, cols: dict[str, str], encoder: Callable[[], Model], returns: str = "array<float>",
+                 row_id: str = "review_id", errors: Mapping[str, str] | None = None, counts: Observation | None = None,
+                 **scale: int) -> DataFrame:
     """Add encodings (vectors or tokens) of text columns; equal texts are encoded once.
 
-    ``cols`` maps new column to text column. Copies of a text are reduced to one before the
-    model runs, its results are written out, and rows look theirs up by a digest.
+    ``cols`` maps new column to text column, ``errors`` some of the new columns to columns for the error of a text the
+    encoder fails on. Copies of a text are reduced to one before the model runs, its results are written out, and rows look
+    theirs up by a digest. ``counts`` counts different texts, not rows, and is filled when this returns.
     """
-    sides = F.array(*[F.struct(F.lit(new).alias("side"), F.col(text).alias("text")) for new, text in cols.items()])
-    wanted = df.select(row_id, F.inline(sides)).where(F.col("text").isNotNull()).withColumn(
-        "digest", F.sha2("text", 256))
+    digests = {new: F.sha2(F.col(text), 256) for new, text in cols.items()}
+    sides = F.array(*[F.struct(digests[new].alias("digest"), F.col(text).alias("text")) for new, text in cols.items()])
+    wanted = df.select(F.inline(sides)).where(F.col("text").isNotNull())
     once = wanted.groupBy("digest").agg(F.any_value("text").alias("text"))
-    codes = cut_lineage(once.select("digest", batch_function(encoder, returns)(F.col("text")).alias("code")))
-    found = lookup_join(wanted.drop("text"), codes, ["digest"], [row_id, "side"], **scale)
-    wide = found.groupBy(row_id).agg(*[
-        F.any_value(F.when(F.col("side") == new, F.col("code")), F.lit(True)).alias(new) for new in cols])
-    return df.join(wide, row_id, "left")
+    codes = cut_lineage(with_outcome(once, encoder, F.col("text"), returns, "code", error="error", counts=counts).drop("text"))
+    out = df
+    for new in cols:
+        own = codes.select(F.col("digest").alias("_digest"), F.col("code").alias(new), *[F.col("error").alias(e) for e in [(errors or {}).get(new)] if e])
+        out = lookup_join(out.withColumn("_digest", digests[new]), own, ["_digest"], [row_id], "left", **scale).drop("_digest")
+    return out
 
 
 def tag_entities(df: DataFrame, col: str, tagger: Callable[[], Model], out: str = "entities") -> DataFrame:
     """Add (word, type) entities of a text; NULL where the tagger fails, which masks nothing."""
-    return df.withColumn(out, batch_function(tagger, ENTITIES)(F.col(col)))
+    return with_outcome(df, tagger, F.col(col), ENTITIES, out)
 
 
 def generate_replies(df: DataFrame, prompt: str, generator: Callable[[], Model],
                      out: str = "predicted_reply") -> DataFrame:
     """Add a generated reply per prompt; a failing row gets a fixed text."""
-    reply = batch_function(generator, "string", failed=v.FAILED_REPLY)
-    return df.withColumn(out, reply(strip_and_flatten(F.col(prompt))))
+    return with_outcome(df, generator, strip_and_flatten(F.col(prompt)), "string", out, failed=v.FAILED_REPLY)
 
 
 def batched_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Sums over the tokens of a text of what a table holds for each: word vectors, or weights of labels.
+"""What a table holds for the tokens of a text: sums of word vectors or of weights of labels, or ids.
 
-A table measured below a limit is sent to the tasks as one matrix, and the tokens of a row are summed
+A table measured below a limit is sent to the tasks as one matrix, and the tokens of a row are looked up
 where the row is: nothing is shuffled, texts are read once, nothing is joined back. A larger table meets the
 tokens in a join. Then the row itself travels along, as one more entry beside its tokens, so that the source is
 read once here as well and the rows come out of the aggregate that adds the vectors up.
@@ -85,21 +85,26 @@ def _sums_in_place(df: DataFrame, matrix: TokenMatrix, texts: Mapping[str, Colum
     return df.withColumns({new: once(tokens) for new, tokens in texts.items()})
 
 
-def _sums_by_join(df: DataFrame, table: DataFrame, texts: Mapping[str, Column], row_id: str, limit: int, tasks: int | None) -> DataFrame:
-    size = table.agg(F.max(F.size("vec"))).first()[0] or 0
-    zeros = F.array_repeat(F.lit(0.0), size)
+def token_entries(df: DataFrame, texts: Mapping[str, Column], row_id: str) -> DataFrame:
+    """(_id, _pos, _side, word, _row): the tokens of every row, and one more entry that carries the row itself."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     nothing = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
 
     def entry(side: Column, word: Column, payload: Column) -> Column:
         return F.struct(side.alias("_side"), word.alias("word"), payload.alias("_row"))
 
-    own = F.array(entry(F.lit(None).cast("int"), F.lit(None).cast("string"), row))
     def listed(side: int, tokens: Column) -> Column:
         return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: entry(F.lit(side), t, nothing))
 
+    own = F.array(entry(F.lit(None).cast("int"), F.lit(None).cast("string"), row))
     parts = [listed(i, tokens) for i, tokens in enumerate(texts.values())]
-    entries = df.select(F.col(row_id).alias("_id"), F.posexplode(F.concat(own, *parts)).alias("_pos", "_e")).select("_id", "_pos", "_e.*")
+    return df.select(F.col(row_id).alias("_id"), F.posexplode(F.concat(own, *parts)).alias("_pos", "_e")).select("_id", "_pos", "_e.*")
+
+
+def _sums_by_join(df: DataFrame, table: DataFrame, texts: Mapping[str, Column], row_id: str, limit: int, tasks: int | None) -> DataFrame:
+    size = table.agg(F.max(F.size("vec"))).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0.0), size)
+    entries = token_entries(df, texts, row_id)
     vectors = table.select("word", F.coalesce(F.col("vec").cast("array<double>"), zeros).alias("_vec"))
     met = lookup_join(entries, vectors, ["word"], ["_id", "_pos"], "left", limit, tasks).where("_row IS NOT NULL OR _vec IS NOT NULL")
     summed = met.groupBy("_id", "_side").agg(F.any_value("_row", F.lit(True)).alias("_row"),
@@ -107,3 +112,30 @@ def _sums_by_join(df: DataFrame, table: DataFrame, texts: Mapping[str, Column],
     sides = {new: F.any_value(F.when(F.col("_side") == i, vector_to_array("_sum")), F.lit(True)) for i, new in enumerate(texts)}
     wide = summed.groupBy("_id").agg(F.any_value("_row", F.lit(True)).alias("_row"), *[c.alias(new) for new, c in sides.items()])
     return wide.select("_row.*", *texts)
+
+
+def with_token_ids(df: DataFrame, table: DataFrame, texts: Mapping[str, Column], unknown: int, row_id: str = "review_id",
+                   limit: int = BROADCAST_BYTES, tasks: int | None = None) -> DataFrame:
+    """Add, for each token column, the ids that ``table`` (word, id) has for its tokens, in their order.
+
+    A token that the table does not have, or a missing one, has the id ``unknown``; without tokens the list is empty.
+    Words are unique in the table, and ``row_id`` in ``df``.
+    """
+    if table_bytes(table) > limit:
+        met = lookup_join(token_entries(df, texts, row_id), table.select("word", "id"), ["word"], ["_id", "_pos"], "left", limit, tasks)
+        coded = F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id"))
+        lists = {new: F.sort_array(F.collect_list(F.when(F.col("_side") == i, coded))) for i, new in enumerate(texts)}
+        wide = met.groupBy("_id").agg(F.any_value("_row", F.lit(True)).alias("_row"), *[c.alias(new) for new, c in lists.items()])
+        return wide.select("_row.*", *[F.transform(new, lambda x: x["id"]).alias(new) for new in texts])
+    rows = table.select("word", "id").where(F.col("word").isNotNull()).collect()
+    sent = df.sparkSession.sparkContext.broadcast(([r.word for r in rows], [r.id for r in rows]))
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, numbers = pa.array(sent.value[0], pa.string()), pa.array(sent.value[1], pa.int32())
+        for tokens in batches:
+            found = pc.fill_null(numbers.take(pc.index_in(tokens.flatten(), value_set=words)), unknown)
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), found)
+
+    return df.withColumns({new: ids(tokens) for new, tokens in texts.items()})
