@@ -56,27 +56,39 @@ def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], row_id: Sequ
     a task's share of the rows of ``df`` is joined on (key, salt): it gets as many salts as it
     holds shares, its rows are spread over them by ``row_id``, a unique key of ``df``, and its
     match is repeated once per salt. There are fewer such keys than tasks, so they are safe to
-    broadcast. Every match is kept. Rows without a key match nothing and are spread as well.
+    broadcast; they are found in one more pass over ``df``. Every match is kept. Rows without a key match nothing and
+    are spread as well.
     """
     on = list(on)
     if table_bytes(table) <= limit:
         return df.join(F.broadcast(table), on, how)
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(df, on, tasks))
+    salts = hot_keys(df, on, tasks)
+    if not salts:
+        return df.join(table, on, how)
+    rows = [(h, n) for h, n in salts.items()]
+    hot = F.broadcast(df.sparkSession.createDataFrame(rows, "_hash long, _salts int"))
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salts = F.when(keyless, F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
-    salted = df.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int")).drop("_salts")
+    spread_over = F.when(keyless, F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = df.withColumn("_hash", F.xxhash64(*on)).join(hot, "_hash", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*row_id), spread_over).cast("int")).drop("_salts", "_hash")
     every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    copies = table.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    # Hashes depend on the type, so both sides have that of df; what does not fit into it matches nothing.
+    typed = [F.col(c).try_cast(df.schema[c].dataType) for c in on]
+    copies = table.withColumn("_hash", F.xxhash64(*typed)).join(hot, "_hash", "left").withColumn("_salt", F.explode(every)).drop("_salts", "_hash")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], tasks: int) -> DataFrame:
-    """Keys that hold more than the share of one of ``tasks``, and how many shares: columns ``on`` and ``_salts``."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    rows = df.agg(F.count("*").alias("_n")).scalar()
-    shares = F.ceil(F.col("_n") * tasks / rows).cast("int")
-    return counts.where(F.col("_n") * tasks > rows).select(*on, shares.alias("_salts"))
+def hot_keys(df: DataFrame, on: Sequence[str], tasks: int) -> dict[int, int]:
+    """Hashes of keys that hold more than the share of one of ``tasks``, with how many shares; one of no key, if there are any.
+
+    One pass: a sketch of frequent items, of fixed size, and a count. Which keys get salts decides how evenly rows are
+    spread, not what is joined, so the sketch need not be exact.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    items = df.select(F.when(known, F.xxhash64(*on)).alias("_h"))
+    seen = items.agg(F.expr(f"approx_top_k(_h, {tasks + 1}, {max(10_000, 8 * tasks)})").alias("top"), F.count("*").alias("n")).first()
+    return {x["item"]: -(-x["count"] * tasks // seen.n) for x in seen.top if x["count"] * tasks > seen.n}
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

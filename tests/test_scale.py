@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,11 +82,21 @@ def test_keys_are_salted_by_their_weight(spark):
     weights = {"a": 500, "b": 250, "c": 60, "d": 20}
     rows = [(k, i) for k, n in weights.items() for i in range(n)] + [(f"x{i}", i) for i in range(170)]
     df = spark.createDataFrame(rows, "g string, id long")
-    salts = {r.g: r["_salts"] for r in scale.hot_keys(df, ["g"], 20).collect()}
+    names = {r.h: r.g for r in df.select("g", F.xxhash64("g").alias("h")).distinct().collect()}
+    salts = {names[h]: n for h, n in scale.hot_keys(df, ["g"], 20).items()}
     assert salts == {"a": 10, "b": 5, "c": 2}
     assert all(weights[g] / n <= len(rows) / 20 for g, n in salts.items())
 
 
+def test_join_of_hot_keys_of_other_types_and_without_a_key(spark):
+    df = spark.createDataFrame([(None if i % 5 == 0 else 7 if i % 2 else i, i) for i in range(300)], "k int, id long")
+    table = spark.createDataFrame([(7, "hot"), (7, "again"), (8, "x"), (2**40, "none"), (None, "null")], "k long, v string")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain = Counter(map(tuple, df.join(table, "k", how).collect()))
+        assert Counter(map(tuple, scale.lookup_join(df, table, ["k"], ["id"], how, limit=0, tasks=6).collect())) == plain
+    assert None in scale.hot_keys(df, ["k"], 6) and scale.hot_keys(df.limit(0), ["k"], 6) == {}
+
+
 def test_table_bytes_grows_with_the_rows(spark):
     df = spark.range(100).select(F.lit("abcd").alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("a"), "id")
     assert scale.table_bytes(df) == 100 * (20 + 32 + 8)
