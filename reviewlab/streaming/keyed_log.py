@@ -12,11 +12,13 @@ Nothing is held in a streaming state store; what grows is a table on shared stor
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PART = "_part"
 
@@ -59,6 +61,9 @@ class KeyedLog:
     def _base(self, upto: int) -> str:
         return f"{self.path}/base/upto-{upto}"
 
+    def _manifest(self, upto: int) -> str:
+        return f"{self.path}/manifest/upto-{upto}"
+
     # ------------------------------------------------------------- reading
 
     def part(self) -> Column:
@@ -68,7 +73,9 @@ class KeyedLog:
         """Rows of base and newer epochs, not yet merged, with their epoch; of some hash parts only, if named."""
         upto, tables = self.merged_upto(), []
         if upto >= 0:
-            base = self.spark.read.parquet(self._base(upto))
+            # A base without rows has no files to tell its columns.
+            known = T.StructType.fromJson(json.loads(self.spark.read.text(self._manifest(upto)).first()[0]))
+            base = self.spark.read.schema(known).parquet(self._base(upto))
             base = base if parts is None else base.where(F.col(PART).isin(parts))
             tables.append(base.drop(PART).withColumn("epoch", F.lit(upto).cast("long")))
         newer = self.epochs(before)
@@ -99,8 +106,12 @@ class KeyedLog:
         former, upto = self.merged_upto(), due[-1]
         merged = self.merge(self.rows(before)).withColumn(PART, self.part())
         merged.repartition(PART).sortWithinPartitions(PART, self.key).write.mode("overwrite").partitionBy(PART).parquet(self._base(upto))
-        fs, manifest = self._fs(f"{self.path}/manifest/upto-{upto}")
-        fs.create(manifest, True).close()
+        # Written aside and renamed: a manifest that can be seen is whole.
+        fs, aside = self._fs(f"{self.path}/manifest/writing")
+        out = fs.create(aside, True)
+        out.writeBytes(merged.schema.json())
+        out.close()
+        fs.rename(aside, self._fs(self._manifest(upto))[1])
         for n in self._numbers(self.path, "epoch=", None):
             if n <= former:
                 self._remove(f"{self.path}/epoch={n}")

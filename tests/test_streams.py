@@ -66,6 +66,14 @@ def test_a_base_without_its_manifest_is_not_read(spark, tmp_path):
     assert log.rows(before=1).count() == 2 and log.rows(parts=[]).count() == 0
 
 
+def test_batches_without_rows(spark, tmp_path):
+    log = KeyedLog(spark, f"{tmp_path}/log", "k", sum_of("k", "n"), every=2)
+    for epoch in range(5):
+        log.write(spark.createDataFrame([("a", 3)] if epoch == 4 else [], "k string, n long"), epoch)
+        assert {r.k: r.n for r in log.read().collect()} == ({"a": 3} if epoch == 4 else {})
+    assert log.merged_upto() == 3
+
+
 def test_totals_without_a_state(spark, tmp_path):
     source, path = f"{tmp_path}/in", f"{tmp_path}/totals"
     for rows in ([("a", "x"), ("b", None)], [("a", "y"), ("a", None)], [("c", None)]):
