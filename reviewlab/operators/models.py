@@ -34,7 +34,7 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     """
     labels = [r.label for r in lexicon.select("label").distinct().orderBy("label").collect()]
     weights = lexicon.groupBy(F.col("token").alias("word")).agg(
-        F.array(*[F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0.0)) for label in labels]).alias("vec"))
+        F.array(*[F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0.0)) for label in labels]).cast("array<double>").alias("vec"))
     sums = {f"_z_{new}": tokenise(F.col(text)) for new, text in cols.items()}
     summed = with_token_sums(df, weights, sums, row_id, **scale)
 

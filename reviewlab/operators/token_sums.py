@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,15 +30,15 @@ CELLS = 1 << 22
 class TokenMatrix:
     """One vector per word; vectors of one word are added up, missing dimensions count nothing."""
 
-    def __init__(self, words: list[str], vectors: list[list[float | None] | None]):
-        size = max((len(v) for v in vectors if v), default=0)
-        index: dict[str, int] = {}
-        rows = [index.setdefault(w, len(index)) for w in words]
-        self.words = pa.array(list(index), pa.string())
-        self.matrix = np.zeros((len(index), size))
-        for row, v in zip(rows, vectors, strict=True):
-            if v:
-                self.matrix[row, :len(v)] += [x or 0.0 for x in v]
+    def __init__(self, words: pa.Array, vectors: pa.ListArray):
+        number, known = pd.factorize(words.to_pandas())
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        values = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False))
+        row = np.repeat(number, lengths)
+        place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.words = pa.array(known, pa.string())
+        self.matrix = np.zeros((len(known), int(lengths.max(initial=0))), values.dtype if len(values) else float)
+        np.add.at(self.matrix, (row, place), values)
 
     def sums(self, tokens: pa.ListArray) -> pa.ListArray:
         """The sum of each row's known tokens; NULL where none is known."""
@@ -52,7 +53,7 @@ class TokenMatrix:
             own = owner[a:a + step]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             # A row's tokens may go on in the next step, so what it has is added to.
-            total[own[first]] += np.add.reduceat(self.matrix[rows[a:a + step]], first)
+            total[own[first]] += np.add.reduceat(self.matrix[rows[a:a + step]], first, dtype=float)
         some = np.zeros(n, bool)
         some[owner] = True
         lengths = np.where(some, size, 0)
@@ -67,8 +68,9 @@ def with_token_sums(df: DataFrame, table: DataFrame, texts: Mapping[str, Column]
     ``texts`` maps new column to token column; equal tokens count as often as they occur. ``row_id`` is unique.
     """
     if table_bytes(table) <= limit:
-        rows = table.select("word", "vec").where(F.col("word").isNotNull()).collect()
-        return _sums_in_place(df, TokenMatrix([r.word for r in rows], [r.vec for r in rows]), texts)
+        rows = table.select("word", "vec").where(F.col("word").isNotNull()).toArrow().combine_chunks()
+        word, vec = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+        return _sums_in_place(df, TokenMatrix(word, vec), texts)
     return _sums_by_join(df, table, texts, row_id, limit, tasks)
 
 
