@@ -7,6 +7,8 @@ the ``docs`` of the next one. All but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +21,28 @@ from reviewlab.llm.toxicity import fit, score_toxicity
 from reviewlab.scale import cut_lineage, lookup_join
 from reviewlab.session import shared_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The columns that stages read or write by name.
+NAMED = ("doc_id", "text", "lang", "source", "n_chars")
 
+
+def own_names(stage: Stage) -> Stage:
+    """``stage`` with all further columns of ``docs`` under names of their own, so that none meets one that it makes."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in NAMED else f"_further{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+    return run
+
+
+@own_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on their labels, does not reject."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
 
 
+@own_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, then of the least digest of all columns.
 
@@ -50,6 +67,7 @@ def row_key(docs: DataFrame) -> Column:
     return F.unhex(F.concat(F.coalesce(known, F.lit("01")), F.md5(F.concat(*digests))))
 
 
+@own_names
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which nothing is left go."""
     kept = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
@@ -58,6 +76,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
+@own_names
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated and mixed to the weights of their sources."""
     return mix_sources(docs).select(*docs.columns)
