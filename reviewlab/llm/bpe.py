@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import whole_text
+from reviewlab.llm.common import slices, whole_text
 
 #: Characters of a part that is encoded alone, and bytes of a part of one long match.
 PART = 2048
@@ -165,7 +165,7 @@ def encode_documents(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             out: dict[str, Any] = {"n": [], "ids": [], "sha": [], "back": []}
             for x in batch.column(1):
                 ids = bpe.encode(x.as_py())

@@ -25,7 +25,10 @@ def text_bytes(text: str = "text") -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that a binary column holds about ``size`` bytes in each, one row at least."""
+    """Batches cut so that a binary column holds about ``size`` bytes in each, one row at least.
+
+    After each batch Arrow hands the memory back that it holds for later, so that a worker does not grow with its tasks.
+    """
     for batch in batches:
         held, start = 0, 0
         for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
@@ -34,3 +37,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22)
                 held, start = 0, i
             held += n or 0
         yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -2,8 +2,10 @@
 
 A document is repeated as often as a Poisson draw says, whose mean is the repetition rate of
 its source: target rows of the source over its rows. The draw inverts the distribution at a
-uniform number made of a hash of (seed, id), so a lost task draws the same again. Copies are
-then dealt out and sorted by another hash, which mixes the whole table.
+uniform number made of a hash of (seed, id), so a lost task draws the same again. Rows without
+an id, or whose id stands on several rows, are told apart by a digest of all their columns and a
+number among equal rows, so that each draws for itself. Copies are then dealt out and sorted by
+another hash, which mixes the whole table.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from reviewlab.scale import cut_lineage, lookup_join
 PART_MEAN = 16.0
 #: 1 - CDF is below 1e-17 there for a mean of 16.
 LAST = 64
+#: Equal rows that one task numbers.
+PIECE = 1 << 16
 
 
 def _uniform(*parts: Column | str) -> Column:
@@ -66,27 +70,51 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))
 
 
+def drawn_rows(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with ``_who``, different in all rows: the id, or beyond it a digest of the row and a number among equal rows.
+
+    Equal rows are counted and numbered as they are written out again, in pieces, so no group is one task.
+    """
+    who = F.col(id_col).cast("string")
+    shared = cut_lineage(df.groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col(id_col).isNull() | (F.col("_n") > 1)))
+    plain = df.where(F.col(id_col).isNotNull())
+    if shared.isEmpty():
+        return plain.withColumn("_who", who)
+    ids = shared.where(F.col(id_col).isNotNull()).select(id_col)
+    spread = [c for c, kind in df.dtypes if "map<" not in kind]
+    alone = lookup_join(plain, ids, [id_col], spread, "left_anti").withColumn("_who", who)
+    again = lookup_join(plain, ids, [id_col], spread, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    digests = [F.md5(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))) for c in df.columns]
+    kinds = again.withColumn("_digest", F.md5(F.concat(*digests))).groupBy("_digest").agg(
+        F.count("*").alias("_n"), *[F.first(c).alias(c) for c in df.columns])
+    pieces = kinds.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PIECE).cast("long")))).repartition("_digest", "_from")
+    numbered = pieces.withColumn("_no", F.explode(F.sequence("_from", F.least("_n", F.col("_from") + PIECE) - 1)))
+    return alone.unionByName(numbered.select(*df.columns, F.concat_ws("|", F.coalesce(who, F.lit("-")), "_digest", F.col("_no").cast("string")).alias("_who")))
+
+
 def mix_sources(df: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
                 total: int | None = None, seed: int = 42, id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """Rows of ``df`` repeated by their Poisson counts and mixed, with copy_no, n_copies, rate, order_key.
 
     Columns of ``df`` with one of these names are replaced. A missing source is a source of its
-    own; a missing id draws as one id, and repeated ids draw the same count. Copies of a row are
+    own; every row draws for itself, also those that share an id or have none. Copies of a row are
     numbered from 0; rows that draw 0 leave. An empty table gives no rows.
     """
     made = ["copy_no", "n_copies", "rate", "weight", "order_key"]
+    names = [c for c in df.columns if c not in made]
+    inner = {c: f"_k{i}" for i, c in enumerate(names)}
     rates = source_rates(df, weights, temperature, total, source)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     rates = rates.where(F.col("rate") > 0).withColumn("_parts", parts)
     table = cut_lineage(rates.withColumn("_cdf", poisson_cdf(F.col("rate") / F.col("_parts"))))
-    keyed = df.drop(*made).withColumn("_source", source_key(source))
-    known = lookup_join(keyed, table, ["_source"], [id_col])
+    keyed = drawn_rows(df.drop(*made).toDF(*inner.values()), inner[id_col]).withColumn("_source", source_key(inner[source]))
+    known = lookup_join(keyed, table, ["_source"], ["_who"])
     draw = F.aggregate(
         F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0),
-        lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= _uniform(str(seed), F.col(id_col), j))))
+        lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= _uniform(str(seed), F.col("_who"), j))))
     counted = known.withColumn("n_copies", draw.cast("int")).where(F.col("n_copies") > 0).drop("_cdf", "_parts", "_source")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")),
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col("_who"),
                                                F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    ordered = copies.withColumn("order_key", key)
+    ordered = copies.withColumn("order_key", key).drop("_who").withColumnsRenamed({k: c for c, k in inner.items()})
     return ordered.repartition("order_key").sortWithinPartitions("order_key")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import text_bytes, whole_text
+from reviewlab.llm.common import slices, text_bytes, whole_text
 from reviewlab.scale import BROADCAST_BYTES, cut_lineage, lookup_join, table_bytes
 
 LENGTH = 200
@@ -88,7 +88,7 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tup
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "_text"):
         keys, made = [], ([], [], [])
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             runs = anchor_runs(np.frombuffer(text.as_py(), np.uint8))
@@ -376,7 +376,7 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "_text"):
         rows = []
         for text, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
             data = text.as_py()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import text_bytes
+from reviewlab.llm.common import slices, text_bytes
 from reviewlab.scale import cut_lineage
 
 #: Bytes of a window and between the begins of windows, so that no short phrase is cut in all of them.
@@ -133,7 +133,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _distance(ordinary: bytes, toxic: bytes) -> Distance:
     return Distance(ordinary, toxic)
 
@@ -141,7 +141,7 @@ def _distance(ordinary: bytes, toxic: bytes) -> Distance:
 def _scorer(ordinary: bytes, toxic: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = _distance(ordinary, toxic)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             made = [distance.features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(made, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_features"])

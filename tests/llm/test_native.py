@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import differences, open_tables
 from reviewlab.llm import sharding
@@ -86,6 +88,22 @@ def test_mixing_of_rows_of_any_kind(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_draw_one_by_one(spark):
+    """Missing and repeated ids, equal rows and clashing names: draws are those of single rows, and keys differ."""
+    same = [(None, "same", "a", 1.0)] * 3000 + [(7, "same", "a", 1.0)] * 3000
+    rows = same + [(None, str(k), "a", 1.0) for k in range(3000)] + [(8, str(k), "a", 1.0) for k in range(3000)] + [(9, "x", "a", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _source string, _who double").withColumn("source", F.lit("a"))
+    got = mix_sources(df, total=2 * len(rows)).collect()
+    for kind in (lambda r: r.doc_id is None and r.text == "same", lambda r: r.doc_id == 7, lambda r: r.doc_id is None and r.text != "same", lambda r: r.doc_id == 8):
+        own = [r for r in got if kind(r)]
+        assert abs(len(own) - 6000) < 400 and abs(sum(r.copy_no == 0 for r in own) - 3000 * (1 - math.exp(-2))) < 120
+    keys = Counter(r.order_key for r in got)
+    assert max(keys.values()) == 1 and got[0].asDict().keys() >= set(df.columns)
+    assert Counter(mix_sources(df.repartition(3), total=2 * len(rows)).collect()) == Counter(got)
+    alone = mix_sources(df.where("doc_id = 9").withColumn("source", F.lit("b")).unionByName(df.where("doc_id = 9")), {"b": 1}, total=5).collect()
+    assert {r.source for r in alone} <= {"b"}
+
+
 @pytest.mark.parametrize("name", ["op9_licence_scan", "op10_poisson_mixing"])
 def test_queries_against_sql(spark, name):
     assert differences(spark, open_tables(SMALL), SMALL, QUERIES[name], SQL[name]) == ""

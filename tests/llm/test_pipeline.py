@@ -6,6 +6,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
 from reviewlab.llm.bpe import VOCABULARY, load
 from tests.conftest import SMALL
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -48,3 +51,37 @@ def test_repeated_and_missing_ids_keep_one_copy(spark):
     assert near.columns == docs.columns and Counter((r.doc_id, r.text) for r in near.collect()) == want
     left = corpus_pipeline.drop_repeats(spark, near, SMALL)
     assert Counter((r.doc_id, r.text or None) for r in left.collect()) == want
+
+
+#: Names that stages or their operators make on the way.
+CLASHES = ("score", "predicted", "held_out", "_features", "_key", "_n", "_row", "_fp", "component_id", "n_removed", "n_bytes", "kept_text", "_spans", "rate",
+           "weight", "copy_no", "n_copies", "order_key", "_source", "_who", "_id", "_text", "ids", "n_tokens", "a.b")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:4])
+def test_further_columns_stay_as_they_are(spark, name, stage):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+    plain, got = stage(spark, docs, SMALL), stage(spark, wide, SMALL)
+    rows = got.collect()
+    assert got.columns == wide.columns and Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in plain.collect())
+    assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES)
+
+
+def test_last_stage_beside_further_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+    wide = docs.select("*", *[F.lit(1).alias(c) for c in CLASHES])
+    assert Counter(r.ids_sha256 for r in corpus_pipeline.encode(spark, wide, SMALL).collect()) == \
+        Counter(r.ids_sha256 for r in corpus_pipeline.encode(spark, docs, SMALL).collect())
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_rows_of_any_kind(spark, name, stage):
+    """Missing values, empty and long texts, repeated rows; and no rows at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, None, None, "web", None),
+            (3, "plain words of a text " * 3, "en", "web", 66), (4, " ".join(f"w{k}" for k in range(60_000)), "en", "web", 400_000)]
+    got = stage(spark, spark.createDataFrame(rows, kind), SMALL).collect()
+    ids = {r.doc_id for r in got}
+    assert ids <= {None, 1, 2, 3, 4} and (name == "mixing" or {3, 4} <= ids) and (name != "bpe" or len(got) == len(rows))
+    assert stage(spark, spark.createDataFrame([], kind), SMALL).count() == 0
