@@ -2,10 +2,10 @@
 
 Unit vectors are projected onto ``M`` random directions of normal entries. For two vectors at
 distance d the squared projected distance over d * d follows a chi-square distribution of M
-degrees. So neighbours are taken in order of projected distance r, a leaf of the kd-tree at a
-time, and verified on the original vectors; once r * r is over the distribution's ``SURE``
-quantile times the squared distance of the k-th best one, an unseen vector that is nearer
-would have had a smaller r with that probability, and the search stops.
+degrees. So points are taken one after the other in order of projected distance r, as the leaves
+of the kd-tree yield them, and verified on the original vectors; once r * r is over the
+distribution's ``SURE`` quantile times the squared distance of the k-th best one, an unseen vector
+that is nearer would have had a smaller r with that probability, and the search stops.
 
 Every row is indexed: rows are hashed to blocks of bounded size with a tree each, and queries
 come in chunks of bounded size. Every chunk meets every block; the best k of each block meet in
@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-M = 8
+M = 16
 SURE = 0.95
 LEAF = 64
+#: Points at most that are verified between two tests.
+VERIFIED = 64
 BLOCK = 8192
 CHUNK = 2048
 SEED = 42
@@ -46,6 +48,7 @@ class KdTree:
     """Leaves of at most ``leaf`` points, split at the median of the widest side, with their boxes."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points = points
         self.leaves: list[np.ndarray] = []
         open_ = [np.arange(len(points))]
         while open_:
@@ -65,27 +68,42 @@ class KdTree:
 
 
 def search(tree: KdTree, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int,
-           projected: np.ndarray, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows found, best first; ties go to the smaller id."""
+           projected: np.ndarray, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, verified): the k best rows found, best first, ties to the smaller id, and how many rows were verified.
+
+    Leaves are opened in the order of their boxes; their points wait until no unopened box is nearer.
+    """
     far = tree.distances(projected)
     order = np.argsort(far, kind="stable")
     norm = math.sqrt(float((query * query).sum()))
     best_ids, best = np.empty(0, ids.dtype), np.empty(0)
-    at, step = 0, 2
-    while at < len(order):
-        if len(best) == k:
-            # Squared distance of unit vectors; the floor is the rounding of equal ones.
-            if far[order[at]] > max(quantile * (2 - 2 * best[-1]), 1e-9):
+    waiting, near = np.empty(0, np.int64), np.empty(0)
+    at, opened, step, verified = 0, 2, 8, 0
+    while True:
+        # Squared distance of unit vectors; the floor is the rounding of equal ones.
+        stop = max(quantile * (2 - 2 * best[-1]), 1e-9) if len(best) == k else math.inf
+        bound = far[order[at]] if at < len(order) else math.inf
+        if len(waiting) and near[0] <= bound:
+            ready = int(np.searchsorted(near[:step], min(bound, stop), "right"))
+            if not ready:
                 break
-        rows = np.concatenate([tree.leaves[x] for x in order[at:at + step]])
-        at, step = at + step, min(2 * step, 16)
-        rows = rows[ids[rows] != query_id]
-        # Row by row, so that equal vectors have equal scores.
-        scores = np.concatenate([best, (vectors[rows] * query).sum(axis=1) / (norms[rows] * norm)])
-        every = np.concatenate([best_ids, ids[rows]])
-        top = np.lexsort((every, -scores))[:k]
-        best_ids, best = every[top], scores[top]
-    return best_ids, best
+            rows, waiting, near = waiting[:ready], waiting[ready:], near[ready:]
+            step, verified = min(2 * step, VERIFIED), verified + ready
+            # Row by row, so that equal vectors have equal scores.
+            scores = np.concatenate([best, (vectors[rows] * query).sum(axis=1) / (norms[rows] * norm)])
+            every = np.concatenate([best_ids, ids[rows]])
+            top = np.lexsort((every, -scores))[:k]
+            best_ids, best = every[top], scores[top]
+        elif at < len(order) and bound <= stop:
+            rows = np.concatenate([tree.leaves[x] for x in order[at:at + opened]])
+            at, opened = at + opened, min(2 * opened, 16)
+            rows = rows[ids[rows] != query_id]
+            every = np.concatenate([near, np.square(tree.points[rows] - projected).sum(axis=1)])
+            sort = np.argsort(every, kind="stable")
+            waiting, near = np.concatenate([waiting, rows])[sort], every[sort]
+        else:
+            break
+    return best_ids, best, verified
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -107,7 +125,7 @@ def _searcher(k: int, sure: float, seed: int) -> Callable[[pa.Table, pa.Table],
             tree = KdTree((vectors / norms[:, None]) @ ways)
             for query, query_id in zip(wanted, queries.column("id").to_numpy(), strict=True):
                 unit = query / math.sqrt(float((query * query).sum()))
-                found, scores = search(tree, vectors, norms, ids, query, query_id, unit @ ways, k, quantile)
+                found, scores, _ = search(tree, vectors, norms, ids, query, query_id, unit @ ways, k, quantile)
                 out["query_id"] += [int(query_id)] * len(found)
                 out["vec_id"] += found.tolist()
                 out["score"] += scores.tolist()

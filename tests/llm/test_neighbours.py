@@ -8,7 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from reviewlab.llm.neighbours import KdTree, chi_square_quantile, nearest
+from reviewlab.llm.neighbours import KdTree, M, chi_square_quantile, nearest, search
 from reviewlab.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -75,3 +75,29 @@ def test_rows_of_any_kind(spark):
 def test_query_has_the_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     compare(QUERIES["op7_stable_projection_neighbours"](spark, SMALL).collect(), brute(rows, lambda q: q % 50 == 0), 0.9)
+
+
+def verified_share(vectors, asks, k=5):
+    """Share of all rows that searches verify, and their recall."""
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    units = vectors / norms[:, None]
+    ways = np.random.default_rng(42).standard_normal((vectors.shape[1], M))
+    tree, ids, quantile = KdTree(units @ ways), np.arange(len(vectors)), chi_square_quantile(0.95)
+    seen = hit = 0
+    for q in asks:
+        found, scores, verified = search(tree, vectors, norms, ids, vectors[q], q, units[q] @ ways, k, quantile)
+        cosines = np.delete(units @ units[q], q)
+        hit += int((scores >= np.sort(cosines)[-k] - 1e-12).sum())
+        seen += verified
+        assert len(found) == k and q not in found
+    return seen / len(asks) / len(vectors), hit / len(asks) / k
+
+
+def test_share_of_rows_verified(spark):
+    rnd = np.random.default_rng(5)
+    clusters = rnd.standard_normal((40, 64)).repeat(100, axis=0) + 0.3 * rnd.standard_normal((4000, 64))
+    share, recall = verified_share(clusters, range(0, 4000, 50))
+    assert share < 0.1 and recall >= 0.9
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("embedding IS NOT NULL").orderBy("vec_id").collect()
+    share, recall = verified_share(np.array([r.embedding for r in rows], float), range(0, len(rows), 5))
+    assert share < 0.9 and recall >= 0.9
