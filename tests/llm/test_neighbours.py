@@ -8,7 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from reviewlab.llm.neighbours import KdTree, M, chi_square_quantile, nearest, search
+from reviewlab.llm.neighbours import KdTree, M, Regions, _projected, chi_square_quantile, nearest, reach, search
 from reviewlab.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -101,3 +101,36 @@ def test_share_of_rows_verified(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("embedding IS NOT NULL").orderBy("vec_id").collect()
     share, recall = verified_share(np.array([r.embedding for r in rows], float), range(0, len(rows), 5))
     assert share < 0.9 and recall >= 0.9
+
+
+def test_regions_hold_every_point_in_its_box():
+    points = np.random.default_rng(2).standard_normal((2000, 4))
+    points[:700] = points[0]
+    points[700:900, 0] = 0.0
+    regions = Regions(points, 20)
+    at = regions.route(points)
+    assert len(regions.low) >= 10 and (regions.low[at] <= points).all() and (points <= regions.high[at]).all()
+    assert set(at.tolist()) <= set(range(len(regions.low))) and len(set(at[:700].tolist())) == 1
+    assert len(Regions(np.ones((500, 4)), 20).low) == 1 and Regions(np.ones((500, 4)), 20).route(np.zeros((3, 4))).tolist() == [0, 0, 0]
+    far = points[5] + 3.0
+    assert set(regions.within(far, np.inf)) == set(range(len(regions.low)))
+    near = set(regions.within(far, 4.0).tolist())
+    assert all(int(r) in near for r, x in zip(at, points, strict=True) if np.square(x - far).sum() <= 4.0)
+
+
+def test_clusters_over_regions(spark):
+    """With many small regions and few rows sampled: recall, whole ranks, and regions that the bound rules out."""
+    rnd = np.random.default_rng(5)
+    vectors = rnd.standard_normal((40, 64)).repeat(50, axis=0) + 0.3 * rnd.standard_normal((2000, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda q: q % 50 == 0)
+    compare(nearest(df, F.col("vec_id") % 50 == 0, block=128, chunk=7, sample=600).collect(), want, 0.9)
+    points, quantile, share = _projected(vectors, 42), chi_square_quantile(0.95), []
+    for parts in (16, 64):
+        regions = Regions(points, parts)
+        at = regions.route(points)
+        regions.tighten((r, k, points[at == r, k].min(), points[at == r, k].max()) for r in set(at.tolist()) for k in range(M))
+        visits = [len(regions.within(points[q], reach(want[q][-1][1], quantile))) for q in want]
+        share.append(np.mean(visits) / len(regions.low))
+    assert share[1] < 0.4 and share[1] < 0.7 * share[0]
