@@ -92,6 +92,9 @@ def _fill(refs: np.ndarray, hyps: np.ndarray, weight: float, state: tuple[np.nda
     """The state after anti-diagonals ``first`` to ``last - 1`` of all pairs; their moves go to ``move``."""
     m, n = len(refs), len(hyps)
     older, old, older_run, old_run = state
+    # What a match gains after a run of matches of each length.
+    runs = np.arange(min(m, n) + 2, dtype=np.float64) ** weight
+    gains = runs[1:] - runs[:-1]
     for d in range(first, last):
         lo, hi = max(1, d - n), min(m, d - 1)
         match = refs[lo - 1:hi] == hyps[d - hi - 1:d - lo][::-1]
@@ -101,8 +104,8 @@ def _fill(refs: np.ndarray, hyps: np.ndarray, weight: float, state: tuple[np.nda
             gain = 1.0
         else:
             run = older_run[lo - 1:hi]
-            gain = (run + 1) ** weight - run**weight
-            new_run = np.zeros_like(old)
+            gain = gains[run]
+            new_run = np.zeros_like(old_run)
             new_run[lo:hi + 1] = np.where(match, run + 1, 0)
         new[lo:hi + 1] = np.where(match, older[lo - 1:hi] + gain, np.maximum(up, left))
         if move is not None:
@@ -123,7 +126,7 @@ def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float)
     (m, pairs), n = refs.shape, len(hyps)
     step, end = _block(m, n), m + n + 1
     blocks = [(first, min(first + step, end)) for first in range(2, end, step)]
-    states = [tuple(np.zeros((m + 1, pairs)) for _ in range(4))]
+    states = [tuple(np.zeros((m + 1, pairs), kind) for kind in (np.float64, np.float64, np.int32, np.int32))]
     for first, last in blocks[:-1]:
         states.append(_fill(refs, hyps, weight, states[-1], first, last))
 
@@ -144,6 +147,20 @@ def _align(refs: np.ndarray, hyps: np.ndarray, sizes: np.ndarray, weight: float)
     return hits
 
 
+def _thinned(line: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Places of the tokens of ``line`` that its alignment with ``other`` depends on.
+
+    Those that ``other`` has, and the first of each run of tokens that it has not: without a match, the table
+    repeats the row or column before, and the way back passes straight through.
+    """
+    shared = np.zeros(max(line.max(), other.max()) + 1, dtype=bool)
+    shared[other] = True
+    kept = shared[line]
+    kept[1:] |= shared[line[:-1]]
+    kept[0] = True
+    return np.flatnonzero(kept)
+
+
 def _padded(lines: list[np.ndarray], fill: int) -> np.ndarray:
     out = np.full((max(map(len, lines)), len(lines)), fill, dtype=np.int64)
     for k, line in enumerate(lines):
@@ -152,23 +169,29 @@ def _padded(lines: list[np.ndarray], fill: int) -> np.ndarray:
 
 
 def _mark(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weight: float) -> None:
-    """Set the hits of (ref line, hyp line, hits of the ref line), similar sizes together."""
-    order = sorted((k for k, (r, h, _) in enumerate(lines) if len(r) and len(h)),
-                   key=lambda k: (len(lines[k][0]), len(lines[k][1])))
+    """Set the hits of (ref line, hyp line, hits of the ref line), similar sizes together; lines without a common token have none."""
+    thin: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    # Lines come in many pairs.
+    sets = {id(line): set(line.tolist()) for r, h, _ in lines for line in (r, h)}
+    for k, (r, h, _) in enumerate(lines):
+        if not sets[id(r)].isdisjoint(sets[id(h)]):
+            at = _thinned(r, h)
+            thin[k] = r[at], h[_thinned(h, r)], at
+    order = sorted(thin, key=lambda k: (len(thin[k][0]), len(thin[k][1])))
     while order:
         chunk, m, n = [], 0, 0
         while order:
-            r, h, _ = lines[order[-1]]
+            r, h, _ = thin[order[-1]]
             wide, high = max(m, len(r)), max(n, len(h))
             if chunk and min(wide + high, _block(wide, high)) * wide * (len(chunk) + 1) > CELLS:
                 break
             chunk.append(order.pop())
             m, n = wide, high
-        picked = [lines[k] for k in chunk]
+        picked = [thin[k] for k in chunk]
         sizes = np.array([[len(r) for r, _, _ in picked], [len(h) for _, h, _ in picked]])
         found = _align(_padded([r for r, _, _ in picked], -1), _padded([h for _, h, _ in picked], -2), sizes, weight)
-        for k, (r, _, hits) in enumerate(picked):
-            hits |= found[:len(r), k]
+        for k, (r, _, at) in enumerate(picked):
+            lines[chunk[k]][2][at[found[:len(r), k]]] = True
 
 
 def _batch_counts(hyps: pd.Series, refs: pd.Series, weight: float) -> list[tuple[float, float, float]]:

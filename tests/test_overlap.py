@@ -219,3 +219,29 @@ def test_label_sets(value):
     assert value(label_jaccard(X, Y), x=ab, y=bc) == pytest.approx(1 / 3)
     assert value(label_jaccard(X, Y), x=no, y=bc) == 0
     assert value(label_jaccard(X, Y), x=no, y=no) is None
+
+
+@pytest.mark.parametrize("weight", [1.0, 1.2, 0.7])
+def test_only_tokens_that_matter_are_aligned(monkeypatch, weight):
+    import numpy as np
+    import pandas as pd
+
+    shapes = []
+    align = rouge._align
+
+    def seen(refs, hyps, sizes, weight):
+        shapes.append((len(refs), *hyps.shape))
+        return align(refs, hyps, sizes, weight)
+
+    monkeypatch.setattr(rouge, "_align", seen)
+    rnd = random.Random(8)
+    mixed = [[[" ".join(rnd.choice("abcdefghxyz") for _ in range(rnd.randint(0, 12))) for _ in range(3)] for _ in range(60)] for _ in range(2)]
+    thin = rouge._batch_counts(*map(pd.Series, mixed), weight)
+    with monkeypatch.context() as m:
+        m.setattr(rouge, "_thinned", lambda line, other: np.arange(len(line)))
+        assert rouge._batch_counts(*map(pd.Series, mixed), weight) == thin
+    shapes.clear()
+    hyp, ref = pd.Series([["p q r s t", "a u v w b"]]), pd.Series([["c d e f g", "a h i j k b l m"]])
+    ((_, _, overlap),) = rouge._batch_counts(hyp, ref, weight)
+    # Of the four pairs of lines one has common tokens; "a * b" against "a * b *".
+    assert shapes == [(4, 3, 1)] and overlap == 2.0
