@@ -36,7 +36,7 @@ def score_labels(df: DataFrame, cols: dict[str, str], lexicon: DataFrame, bias:
     weights = lexicon.groupBy(F.col("token").alias("word")).agg(
         F.array(*[F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0.0)) for label in labels]).cast("array<double>").alias("vec"))
     sums = {f"_z_{new}": tokenise(F.col(text)) for new, text in cols.items()}
-    summed = with_token_sums(df, weights, sums, row_id, **scale)
+    summed = with_token_sums(df, weights, sums, **scale)
 
     def scores(new: str) -> Column:
         z = F.coalesce(F.col(f"_z_{new}"), F.array_repeat(F.lit(0.0), len(labels)))
@@ -70,13 +70,15 @@ def outcome_function(factory: Callable[[], Model], returns: str, batch: int = 25
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for texts in batches:
-            result, error = (pd.Series([None] * len(texts), dtype=object) for _ in range(2))
-            known = texts.reset_index(drop=True).dropna()
-            for at in range(0, len(known), batch):
-                part = known.iloc[at:at + batch]
-                for i, (x, e) in zip(part.index, _run(model, part.tolist()), strict=True):
-                    result.iat[i], error.iat[i] = x, e
-            yield pd.DataFrame({"result": result, "error": error})
+            # Results are handed on per batch of the model: those of all texts that Arrow brings at once may be large.
+            for at in range(0, len(texts), batch):
+                part = texts.iloc[at:at + batch].reset_index(drop=True)
+                result, error = (pd.Series([None] * len(part), dtype=object) for _ in range(2))
+                known = part.dropna()
+                if len(known):
+                    for i, (x, e) in zip(known.index, _run(model, known.tolist()), strict=True):
+                        result.iat[i], error.iat[i] = x, e
+                yield pd.DataFrame({"result": result, "error": error})
 
     # So that using the column in a filter and in the result runs the model once.
     return apply.asNondeterministic()

@@ -197,3 +197,14 @@ def test_equal_texts_are_encoded_once(spark):
         got = encode_texts(df, {"x": "a", "y": "b"}, encoder, limit=limit).collect()
         assert seen.value == 4 and len(got) == 31
         assert all(r.y == [2.0] for r in got) and all(r.x == ([4.0] if r.a else None) for r in got)
+
+
+def test_results_are_handed_on_per_batch_of_the_model():
+    import pandas as pd
+
+    from reviewlab.operators.models import outcome_function
+
+    run = outcome_function(lambda: lambda texts: [t.upper() for t in texts], "string", batch=4).func
+    parts = list(run(iter([pd.Series(["a", None] * 5), pd.Series([None, None])])))
+    assert [len(p) for p in parts] == [4, 4, 2, 2]
+    assert [x for p in parts for x in p["result"]] == ["A", None] * 5 + [None, None]
