@@ -33,8 +33,8 @@ def extend_vocab(vocab: DataFrame, tokens: Sequence[str] = v.MASK_TOKENS) -> Dat
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, cols: Mapping[str, str], unknown: int,
                   row_id: str = "review_id", **scale: int) -> DataFrame:
-    """Add id arrays for token columns; ``cols`` maps new column to token column. Rows are read once (``token_sums``)."""
-    return with_token_ids(df, vocab, {new: F.col(tokens) for new, tokens in cols.items()}, unknown, row_id, **scale)
+    """Add id arrays for token columns; ``cols`` maps new column to token column (``token_sums``)."""
+    return with_token_ids(df, vocab, {new: F.col(tokens) for new, tokens in cols.items()}, unknown, **scale)
 
 
 def split_train_test_val(df: DataFrame, test: float = 0.2, val: float = 0.2, seed: int = 42,

@@ -29,10 +29,10 @@ def with_word_vector_cosine(df: DataFrame, vectors: DataFrame, texts: Mapping[st
     """Add cosines of mean word vectors; 0 where a side has no known token.
 
     ``texts`` maps a name to a token column, ``pairs`` new column to two of these names. Sums of vectors have the cosine
-    of their means. Texts are read once, and rows are not joined back (``token_sums``).
+    of their means (``token_sums``).
     """
     names = {name: f"_sum{i}" for i, name in enumerate(texts)}
-    summed = with_token_sums(df, vectors, {names[name]: tokens for name, tokens in texts.items()}, row_id, **scale)
+    summed = with_token_sums(df, vectors, {names[name]: tokens for name, tokens in texts.items()}, **scale)
     scores = {new: F.coalesce(vector_cosine(F.col(names[a]), F.col(names[b])), F.lit(0.0)) for new, (a, b) in pairs.items()}
     return compute_once(summed, scores).drop(*names.values())
 
@@ -51,15 +51,15 @@ def prediction_report(predictions: DataFrame, vectors: DataFrame, sentence_vecto
     """Six similarity columns of a prediction table.
 
     ``predictions`` holds review, reply and predicted_reply; ``sentence_vectors`` names
-    the columns with the sentence vectors of the three. Word vectors go first: what their
-    lookup reads again is the texts alone, not the other scores.
+    the columns with the sentence vectors of the three. Word vectors go first, on tokens that
+    are no column yet: what their lookup writes and moves is the texts alone.
     """
-    tokens = {"_review": F.col("_t_review"), "_reply": F.col("_t_reply"), "_pred": F.col("_t_pred")}
-    df = with_tokens(predictions, {"_t_review": "review", "_t_reply": "reply", "_t_pred": "predicted_reply"})
-    df = with_word_vector_cosine(df, vectors, tokens, {"glove_review": ("_review", "_pred"),
-                                                       "glove_reply": ("_reply", "_pred")}, row_id, **scale)
-    df = with_tfidf(df, {"tfidf_review": (tokens["_review"], tokens["_pred"]),
-                         "tfidf_reply": (tokens["_reply"], tokens["_pred"])})
+    texts = {"_review": "review", "_reply": "reply", "_pred": "predicted_reply"}
+    df = with_word_vector_cosine(predictions, vectors, {name: tokenise(F.col(text)) for name, text in texts.items()},
+                                 {"glove_review": ("_review", "_pred"), "glove_reply": ("_reply", "_pred")}, row_id, **scale)
+    df = with_tokens(df, {f"_t{name}": text for name, text in texts.items()})
+    df = with_tfidf(df, {"tfidf_review": (F.col("_t_review"), F.col("_t_pred")),
+                         "tfidf_reply": (F.col("_t_reply"), F.col("_t_pred"))})
     v_review, v_reply, v_pred = sentence_vectors
     df = with_vector_cosine(df, {"sbert_review": (v_review, v_pred), "sbert_reply": (v_reply, v_pred)})
     return df.select(*predictions.columns, *PREDICTION_SCORES)

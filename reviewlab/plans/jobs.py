@@ -12,7 +12,7 @@ from reviewlab.functions.labels import common_labels, label_jaccard, threshold_l
 from reviewlab.functions.masking import (
     mask_customer, mask_handles, mask_phones, mask_store, mask_tagged, mask_terms, mask_urls_emails,
 )
-from reviewlab.functions.text import collapse_space, remove_literal
+from reviewlab.functions.text import collapse_space, remove_literal, tokenise
 from reviewlab.operators.examples import split_train_test_val
 from reviewlab.operators.filters import length_band, similarity_gate
 from reviewlab.operators.masking import mask_entities
@@ -65,12 +65,12 @@ def score_pairs(df: DataFrame, vectors: DataFrame, sentence_vectors: tuple[str,
     Filter by length first: the scores are the costly part.
     """
     # Scores that a large table may move rows for go first.
-    pairs = with_tokens(df, {"_a": "review", "_b": "reply"})
-    pairs = with_word_vector_cosine(pairs, vectors, {"_va": F.col("_a"), "_vb": F.col("_b")},
+    pairs = with_word_vector_cosine(df, vectors, {"_va": tokenise(F.col("review")), "_vb": tokenise(F.col("reply"))},
                                     {"glove": ("_va", "_vb")}, **scale)
     emotions = {"review_emotions": "review", "reply_emotions": "reply"}
     if lexicon is not None:
         pairs = with_emotions(pairs, emotions, lexicon, bias, **scale)
+    pairs = with_tokens(pairs, {"_a": "review", "_b": "reply"})
     pairs = with_tfidf(pairs, {"tfidf": (F.col("_a"), F.col("_b"))})
     pairs = with_vector_cosine(pairs, {"sbert": sentence_vectors}).drop("_a", "_b")
     if lexicon is None:

@@ -72,3 +72,45 @@ def test_scores_read_the_pairs_once(spark, tmp_path):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("FileScan parquet", plan)) == 1 and "Exchange" not in plan and "Join" not in plan
     assert scored.where("glove > 0.1").count() == 30 and {"glove", "tfidf", "sbert", "common_emotions"} < set(scored.columns)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_ids_of_rows_without_ids_of_their_own(spark, limit):
+    rows = [(1, ["b", "z", "a", "b"], "x"), (1, ["b", "z", "a", "b"], "y"), (1, ["a"], "x"), (None, ["a", None], None), (None, [None, "a"], "n"),
+            (None, ["a", None], None), (2, [], "e"), (2, None, "e"), (3, ["a", "b"], "m")]
+    df = spark.createDataFrame(rows, "review_id long, t array<string>, other string").repartition(3)
+    vocab = spark.createDataFrame([("a", 5), ("b", -6), (None, 7)], "word string, id int")
+    got = token_sums.with_token_ids(df, vocab, {"i": F.col("t"), "j": F.reverse("t")}, 0, limit=limit)
+    assert ("FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (not limit)
+    ids = {"a": 5, "b": -6}
+    expected = [(k, t, o, [ids.get(x, 0) for x in t or []], [ids.get(x, 0) for x in (t or [])[::-1]]) for k, t, o in rows]
+    assert got.columns == [*df.columns, "i", "j"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
+def test_blocks_move_a_vector_once_per_word(spark, monkeypatch):
+    monkeypatch.setattr(token_sums, "BLOCK_CELLS", 40_000)
+    rows = [(k % 20 if k % 7 else None, ["the", f"w{k % 11}"] * 20 if k % 5 else ["unknown"]) for k in range(60)]
+    df = spark.createDataFrame(rows, "review_id long, a array<string>").repartition(3)
+    vectors = spark.createDataFrame([(f"w{k}", [float(k), 1.0]) for k in range(11)] + [("the", [0.5, None]), ("short", [1.0])], "word string, vec array<double>")
+    got = token_sums.with_token_sums(df, vectors, {"s": F.col("a")}, limit=0, tasks=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Summarizer" not in plan and "aggregate_metrics" not in plan and "FlatMapCoGroupsInArrow" in plan
+    want = [(i, a, None if a == ["unknown"] else [20 * (0.5 + int(a[1][1:])), 20.0]) for i, a in rows]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_no_worker_holds_a_vocabulary_that_grows(spark):
+    vocab = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id").cast("int").alias("id"))
+    df = spark.range(20).select(F.col("id").alias("review_id"), F.array(F.concat(F.lit("w"), F.col("id") * 9_999), F.lit("x")).alias("t"))
+    got = token_sums.with_token_ids(df, vocab, {"i": F.col("t")}, -1)
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.review_id: r.i for r in got.collect()} == {k: [k * 9_999, -1] for k in range(20)}
+
+
+def test_tokens_of_many_rows_are_looked_up_in_slices(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(token_sums, "SLICE", 3)
+    for part in token_sums._slices(token_sums.pa.array([["a"]] * 8)):
+        held.append(len(part))
+    assert held == [3, 3, 2]
