@@ -24,7 +24,8 @@ from reviewlab.session import cut_lineage
 
 #: Numbers of gathered vectors that a task holds at once.
 CELLS = 1 << 22
-#: Tokens times values per token of a block of rows: no more values than that are in the entries of its words.
+#: Tokens and rows, times values per token, of a block of rows: no more values than that are in the entries of its
+#: words, nor in what it makes of a token column.
 BLOCK_CELLS = 1 << 25
 #: A token itself takes the room of so many values.
 LEAST_WIDTH = 64
@@ -102,7 +103,7 @@ def _sums_in_place(df: DataFrame, matrix: TokenMatrix, texts: Mapping[str, Colum
 
 def _by_blocks(df: DataFrame, table: DataFrame, texts: Mapping[str, Column], tasks: int | None, width: int, kind: str,
                lookup: Callable[[pa.Table], Callable[[pa.ListArray], pa.Array]]) -> DataFrame:
-    """Rows are dealt into blocks of about as many tokens; each block gets the entries of its different words, once.
+    """Rows are dealt into blocks of about as many tokens and rows; each block gets the entries of its different words, once.
 
     A word is as often in the join as there are blocks that hold it, so none is hot, and what moves of the table is
     far less than the tokens. A worker holds the tokens of one block and what the table has for them. The rows are
@@ -114,7 +115,8 @@ def _by_blocks(df: DataFrame, table: DataFrame, texts: Mapping[str, Column], tas
     names = list(columns)
     tokens = rows.select("_n", *[c.alias(t) for t, c in columns.items()])
     every = F.concat(*[F.coalesce(F.col(t), F.array().cast("array<string>")) for t in names])
-    total = tokens.agg(F.sum(F.size(every))).first()[0] or 0
+    # A row without tokens has its place in every column that is made.
+    total = tokens.agg(F.sum(F.size(every) + len(names))).first()[0] or 0
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, -(-total * max(width, LEAST_WIDTH) // BLOCK_CELLS))
     dealt = tokens.withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(blocks)))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,17 @@ def test_tokens_of_many_rows_are_looked_up_in_slices(spark, monkeypatch):
     for part in token_sums._slices(token_sums.pa.array([["a"]] * 8)):
         held.append(len(part))
     assert held == [3, 3, 2]
+
+
+def test_rows_without_tokens_count_for_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_sums, "BLOCK_CELLS", 64 * 100)
+    df = spark.range(2_000).select("id", F.array().cast("array<string>").alias("a"), F.when(F.col("id") % 500 == 0, F.array(F.lit("x"))).alias("b"))
+    table = spark.createDataFrame([("x", 1)], "word string, id int")
+
+    def rows_of_block(found):
+        return lambda tokens: pa.array([[len(tokens)]] * len(tokens), pa.list_(pa.int32()))
+
+    got = token_sums._by_blocks(df, table, {"i": F.col("a"), "j": F.col("b")}, 2, 1, "array<int>", rows_of_block).collect()
+    assert len(got) == 2_000 and max(r.i[0] for r in got) <= 100
+    ids = token_sums.with_token_ids(df, table, {"i": F.col("a"), "j": F.col("b")}, 0, limit=0, tasks=2)
+    assert {(r.id, tuple(r.i), tuple(r.j)) for r in ids.collect()} == {(k, (), () if k % 500 else (1,)) for k in range(2_000)}
