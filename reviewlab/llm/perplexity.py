@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -153,13 +153,18 @@ def text_key(lang: str = "lang") -> Column:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n, m, low, high) over all words; a missing language is a language of its own.
+    """(lang, gram, n, m, only) over all words; a missing language is a language of its own.
 
-    ``n`` counts copies of a text, ``m`` does not; ``low`` and ``high`` are the least and largest key of
-    the texts that have the n-gram, the same if it is one text.
+    ``n`` counts copies of a text, ``m`` does not; ``only`` is the key of the text that has the n-gram, missing
+    if several have it.
     """
     parts = texts.mapInArrow(_count_grams, "lang string, gram string, n long, m long, low long, high long")
-    return parts.groupBy("lang", "gram").agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "m"), (F.min, "low"), (F.max, "high"))])
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), only_text(F.col("low"), F.col("high")))
+
+
+def only_text(low: Column, high: Column) -> Column:
+    """The key of the text if the least and the largest key of a group are the same."""
+    return F.when(F.min(low) == F.max(high), F.min(low)).alias("only")
 
 
 def language(lang: str = "lang") -> Column:
@@ -225,9 +230,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n, m, low, high) as of ``gram_counts``, without copies; a gram is the hashes of its words, 8 bytes each."""
+    """(lang, gram, m, only) as of ``gram_counts``, without copies; a gram is the hashes of its words, 8 bytes each."""
     parts = texts.mapInArrow(_count_words, "lang string, gram binary, m long, low long, high long")
-    return parts.groupBy("lang", "gram").agg(*[f(c).alias(c) for f, c in ((F.sum, "m"), (F.min, "low"), (F.max, "high"))]).withColumn("n", F.col("m"))
+    return parts.groupBy("lang", "gram").agg(F.sum("m").alias("m"), only_text(F.col("low"), F.col("high")))
 
 
 def _word_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +244,10 @@ def _word_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def word_scores(texts: DataFrame) -> DataFrame:
     """(_key, word_perplexity) of every different text that has words."""
-    model = hash_table(log_probabilities(cut_lineage(word_counts(texts)), WORD_ORDER, 8), WORD_ORDER)
+    counts = cut_lineage(word_counts(texts)).withColumn("n", F.col("m"))
+    model = hash_table(log_probabilities(counts, WORD_ORDER, 8), WORD_ORDER, ["alone"])
     postings = texts.mapInArrow(_word_postings, "_key long, hash long, c long")
-    sums = postings.join(model.select("hash", "alone"), "hash").groupBy("_key").agg(
+    sums = postings.join(model.drop("lang"), "hash").groupBy("_key").agg(
         F.sum(F.col("c") * F.col("alone")).alias("total"), F.sum("c").alias("size"))
     return sums.select("_key", F.round(F.exp(-F.col("total") / F.col("size")), 6).alias("word_perplexity"))
 
@@ -281,17 +287,19 @@ def log_probabilities(counts: DataFrame, order: int = ORDER, unit: int = 1) -> D
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
     Discounts are one row per order and language and are looked up, so that no language is a task.
+    Each order is written for the next one but the highest, as large as all others: its rows are read once.
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         longer = tables[k + 1]
         tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 1 + unit, unit * k).alias("gram")).agg(
-            F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+            F.count("*").alias("n"), only_text(F.coalesce("only", F.lit(-2**63)), F.coalesce("only", F.lit(2**63 - 1)))))
     # Copies change the counts of the highest order only; its discounts without them are those of order 0.
     discounts = cut_lineage(_discounts({0: counts.select("lang", F.col("m").alias("n")), **tables}))
     lower = None
     for k in range(1, order + 1):
-        table = tables[k].withColumn("context", F.substring("gram", 1, unit * (k - 1)))
+        # Of the key that a group of a lower order needs, only whether it is one is left here.
+        table = tables[k].withColumns({"context": F.substring("gram", 1, unit * (k - 1)), "single": F.col("only").isNotNull()}).drop("only")
         known = _with_cuts(table, discounts, k, "n", "cut")
         sums = [F.sum("n").alias("all"), F.sum("cut").alias("left"), F.count("*").alias("kinds")]
         if k == order:
@@ -310,22 +318,22 @@ def log_probabilities(counts: DataFrame, order: int = ORDER, unit: int = 1) -> D
         # Sums of discounts are rounded, and never below the least one.
         others = F.greatest(left - cut, F.least("d1", "d2", "d3"))
         without = F.when(every == n, F.col("r")).otherwise(others / (every - n) * F.col("r"))
-        alone = F.when(F.col("low") == F.col("high"), without).otherwise((n - cut + left * F.col("q")) / every)
-        lower = cut_lineage(joined.select("lang", "gram", p.alias("p"), alone.alias("alone")))
+        alone = F.when(F.col("single"), without).otherwise((n - cut + left * F.col("q")) / every)
+        lower = joined.select("lang", "gram", p.alias("p"), alone.alias("alone"))
+        lower = lower if k == order else cut_lineage(lower)
     return lower.select("lang", "gram", F.log("p").alias("logp"), F.log("alone").alias("alone"))
 
 
-def hash_table(model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, hash, logp, alone), ``hash`` of the code points of the n-gram, or of the hashes of its words."""
+def hash_table(model: DataFrame, order: int = ORDER, values: Sequence[str] = ("logp", "alone")) -> DataFrame:
+    """(lang, hash, *values), ``hash`` of the code points of the n-gram, or of the hashes of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(1).to_pylist()
             points = np.frombuffer(b"".join(grams), np.uint64) if grams and isinstance(grams[0], bytes) else \
                 np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
             h = gram_hash(points, np.arange(0, len(points), order), order)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(2), batch.column(3)],
-                                              names=["lang", "hash", "logp", "alone"])
-    return model.select("lang", "gram", "logp", "alone").mapInArrow(run, "lang string, hash long, logp double, alone double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), *batch.columns[2:]], names=["lang", "hash", *values])
+    return model.select("lang", "gram", *values).mapInArrow(run, f"lang string, hash long, {', '.join(f'{v} double' for v in values)}")
 
 
 def sorted_arrays(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:

@@ -136,3 +136,17 @@ def test_shuffled_words_are_rejected(spark):
     odd = [r for i, r in got.items() if i >= 150]
     assert all(r.band_low <= r.perplexity_alone <= r.band_high for r in odd)
     assert not any(r.kept for r in odd)
+
+
+def test_highest_order_is_handed_on_without_being_written(spark, monkeypatch):
+    written, cut = [], pp.cut_lineage
+    monkeypatch.setattr(pp, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    texts = spark.createDataFrame([("=en", 1, b"a b c", 1), ("=en", 2, b"a b d", 1), ("=en", 3, b"a b c", 1), ("=fr", 1, b"a b c", 1)],
+                                  "lang string, _key long, _text binary, copies long")
+    counts = pp.word_counts(texts)
+    assert counts.columns == ["lang", "gram", "m", "only"]
+    assert Counter((r.lang, r.m, r.only) for r in counts.collect()) == {
+        ("=en", 3, None): 2, ("=en", 2, None): 2, ("=en", 1, 2): 2, ("=fr", 1, 1): 4}
+    assert pp.word_scores(texts).count() == 3
+    # The counts, both lower orders and their probabilities, and discounts.
+    assert len(written) == 6
