@@ -29,17 +29,19 @@ or if that of its words lies above the upper end of its band. Below is what shar
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab.llm.common import slices, text_bytes
-from reviewlab.scale import cut_lineage, lookup_join
+from reviewlab.scale import lookup_join
+from reviewlab.session import shared_folder
 
 ORDER = 5
 WORD_ORDER = 3
@@ -54,6 +56,13 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder by columns: of n-grams in order that is a small part of the rows of a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ------------------------------------------------------------- n-grams of words
 
 def word_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,6 +207,10 @@ def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, n
                     own.clear()
 
 
+#: The columns of the words of an n-gram.
+_PLACES = [f"w{i}" for i in range(1, WORD_ORDER + 1)]
+
+
 def _word_rows(lang: str, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     points = np.concatenate([x for _, x in held])
     sizes = np.array([len(x) for _, x in held])
@@ -205,15 +218,15 @@ def _word_rows(lang: str, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     begins = np.cumsum(sizes) - sizes
     first = np.arange(len(owner)) + (begins - (np.cumsum(sizes - WORD_ORDER + 1) - sizes + WORD_ORDER - 1))[owner]
     key = np.array([k for k, _ in held], np.int64)[owner]
-    _, at, back, m = np.unique(gram_hash(points, first, WORD_ORDER), return_index=True, return_inverse=True, return_counts=True)
-    low, high = np.full(len(at), 2**63 - 1), np.full(len(at), -2**63)
-    np.minimum.at(low, back, key)
-    np.maximum.at(high, back, key)
-    grams = points[first[at][:, None] + np.arange(WORD_ORDER)[None, :]]
-    ends = np.arange(len(at) + 1, dtype=np.int32) * (8 * WORD_ORDER)
-    made = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(grams.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), made, *map(pa.array, (m.astype(np.int64), low, high))],
-                                      names=["lang", "gram", "m", "low", "high"])
+    # In order of their words, which then compress in the shuffle.
+    words = [points[first + k].view(np.int64) for k in range(WORD_ORDER)]
+    order = np.lexsort(words[::-1])
+    words, key = [w[order] for w in words], key[order]
+    at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([w[1:] != w[:-1] for w in words])]))
+    m = np.diff(at, append=len(order))
+    low, high = np.minimum.reduceat(key, at), np.maximum.reduceat(key, at)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *[pa.array(w[at]) for w in words], pa.array(m.astype(np.int64)),
+                                       pa.array(low, mask=low != high)], names=["lang", *_PLACES, "m", "only"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,25 +242,41 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _word_rows(lang, texts)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, m, only) as of ``gram_counts``, without copies; a gram is the hashes of its words, 8 bytes each."""
-    parts = texts.mapInArrow(_count_words, "lang string, gram binary, m long, low long, high long")
-    return parts.groupBy("lang", "gram").agg(F.sum("m").alias("m"), only_text(F.col("low"), F.col("high")))
+def word_counts(texts: DataFrame, contexts: bool = False) -> DataFrame:
+    """(lang, gram, m, only) as of ``gram_counts``, without copies; a gram is a struct of the hashes of its words.
+
+    Rows are dealt by context, so that with ``contexts`` those of ``with_contexts`` need no further shuffle.
+    """
+    parts = texts.mapInArrow(_count_words, f"lang string, {', '.join(f'{w} long' for w in _PLACES)}, m long, only long")
+    counts = parts.repartition("lang", *_PLACES[:-1]).groupBy("lang", *_PLACES).agg(F.sum("m").alias("m"), only_text(*_bounds()))
+    if contexts:
+        counts = with_contexts(counts, [F.col(w) for w in _PLACES[:-1]], ["m"])
+    return counts.select("lang", F.struct(*_PLACES).alias("gram"), *[c for c in counts.columns if c not in ("lang", *_PLACES)])
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Least and largest key of an n-gram that is already a group; any key if several texts have it."""
+    return F.coalesce("only", F.lit(-2**63)), F.coalesce("only", F.lit(2**63 - 1))
 
 
 def _word_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, key, points in _word_texts(batches):
-        kinds, counts = np.unique(gram_hash(points, np.arange(len(points) - WORD_ORDER + 1), WORD_ORDER), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), key)), pa.array(kinds.view(np.int64)), pa.array(counts.astype(np.int64))],
-                                         names=["_key", "hash", "c"])
+        places = np.arange(len(points) - WORD_ORDER + 1)
+        _, at, counts = np.unique(gram_hash(points, places, WORD_ORDER), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), *[pa.array(points[at + k].view(np.int64)) for k in range(WORD_ORDER)],
+                                          pa.array(counts.astype(np.int64))], names=["_key", *_PLACES, "c"])
 
 
 def word_scores(texts: DataFrame) -> DataFrame:
     """(_key, word_perplexity) of every different text that has words."""
-    counts = cut_lineage(word_counts(texts)).withColumn("n", F.col("m"))
-    model = hash_table(log_probabilities(counts, WORD_ORDER, 8), WORD_ORDER, ["alone"])
-    postings = texts.mapInArrow(_word_postings, "_key long, hash long, c long")
-    sums = postings.join(model.drop("lang"), "hash").groupBy("_key").agg(
+    counts = cut_lineage(word_counts(texts, contexts=True))
+    same = {f"{x}n": F.col(f"{x}m") for x in ("", "all_", "ones_", "twos_")}
+    # Both sides hash the same numbers.
+    hashed = F.xxhash64(*[F.col(f"gram.{w}") for w in _PLACES])
+    model = log_probabilities(counts.withColumns({**same, "hash": hashed}), WORD_ORDER, words=True, key="hash").select("hash", "alone")
+    postings = texts.mapInArrow(_word_postings, f"_key long, {', '.join(f'{w} long' for w in _PLACES)}, c long").select(
+        "_key", F.xxhash64(*_PLACES).alias("hash"), "c")
+    sums = postings.join(model, "hash").groupBy("_key").agg(
         F.sum(F.col("c") * F.col("alone")).alias("total"), F.sum("c").alias("size"))
     return sums.select("_key", F.round(F.exp(-F.col("total") / F.col("size")), 6).alias("word_perplexity"))
 
@@ -277,13 +306,36 @@ def _with_cuts(table: DataFrame, discounts: DataFrame, k: int, n: str, out: str)
     return known.withColumn(out, F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3")))
 
 
-def log_probabilities(counts: DataFrame, order: int = ORDER, unit: int = 1) -> DataFrame:
-    """(lang, gram, logp, alone) of every counted n-gram: interpolated modified Kneser-Ney.
+def _part(first: int, size: int, words: bool) -> Column:
+    """``size`` symbols of an n-gram from number ``first`` on."""
+    if not words:
+        return F.substring("gram", first, size)
+    if not size:
+        return F.lit("")
+    return F.struct(*[F.col(f"gram.{_PLACES[first - 1 + i]}").alias(_PLACES[i]) for i in range(size)])
+
+
+def with_contexts(counts: DataFrame, context: Sequence[Column], cols: Sequence[str]) -> DataFrame:
+    """``counts`` with, of the n-grams of the same context, how many kinds there are and, for each count of ``cols``, its sum, ones and twos.
+
+    Sums of discounts follow from these, so that the highest order is not joined with its contexts. A group holds
+    the symbols that follow all others of an n-gram.
+    """
+    alike = Window.partitionBy("lang", *context)
+    made = {"kinds": F.count("*").over(alike)}
+    for c in cols:
+        made |= {f"all_{c}": F.sum(c).over(alike), f"ones_{c}": F.count_if(F.col(c) == 1).over(alike), f"twos_{c}": F.count_if(F.col(c) == 2).over(alike)}
+    return counts.withColumns(made)
+
+
+def log_probabilities(counts: DataFrame, order: int = ORDER, words: bool = False, key: str = "gram") -> DataFrame:
+    """(lang, ``key``, logp, alone) of every counted n-gram: interpolated modified Kneser-Ney.
 
     ``logp`` is over all texts, ``alone`` over the different ones. There an n-gram of a single text
     is taken without its occurrences: its context has those less, and none at all if it had no others.
 
-    An n-gram is ``order`` symbols, each ``unit`` characters or bytes long.
+    ``counts`` comes from ``with_contexts``. An n-gram is ``order`` characters, or a struct of as many words; of the
+    highest order only its column ``key`` goes on.
     The highest order uses counts, lower orders the number of different characters that an
     n-gram follows; below the single characters stands the uniform distribution over them.
     Discounts are one row per order and language and are looked up, so that no language is a task.
@@ -292,48 +344,55 @@ def log_probabilities(counts: DataFrame, order: int = ORDER, unit: int = 1) -> D
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         longer = tables[k + 1]
-        tables[k] = cut_lineage(longer.groupBy("lang", F.substring("gram", 1 + unit, unit * k).alias("gram")).agg(
-            F.count("*").alias("n"), only_text(F.coalesce("only", F.lit(-2**63)), F.coalesce("only", F.lit(2**63 - 1)))))
+        tables[k] = cut_lineage(longer.groupBy("lang", _part(2, k, words).alias("gram")).agg(F.count("*").alias("n"), only_text(*_bounds())))
     # Copies change the counts of the highest order only; its discounts without them are those of order 0.
     discounts = cut_lineage(_discounts({0: counts.select("lang", F.col("m").alias("n")), **tables}))
     lower = None
     for k in range(1, order + 1):
         # Of the key that a group of a lower order needs, only whether it is one is left here.
-        table = tables[k].withColumns({"context": F.substring("gram", 1, unit * (k - 1)), "single": F.col("only").isNotNull()}).drop("only")
+        table = tables[k].withColumn("single", F.col("only").isNotNull()).drop("only")
         known = _with_cuts(table, discounts, k, "n", "cut")
-        sums = [F.sum("n").alias("all"), F.sum("cut").alias("left"), F.count("*").alias("kinds")]
         if k == order:
-            known = _with_cuts(known, discounts, 0, "m", "cut_m")
-            rest = known.groupBy("lang", "context").agg(*sums, F.sum("m").alias("all_m"), F.sum("cut_m").alias("left_m"))
+            known = known.withColumns({"all": F.col("all_n"), "left": _cuts_of_context("n")})
+            joined = _with_cuts(known, discounts, 0, "m", "cut_m").withColumn("left_m", _cuts_of_context("m"))
         else:
-            rest = known.groupBy("lang", "context").agg(*sums)
-        joined = known.join(rest, ["lang", "context"])
+            known = known.withColumn("context", _part(1, k - 1, words))
+            rest = known.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("cut").alias("left"), F.count("*").alias("kinds"))
+            joined = known.join(rest, ["lang", "context"])
         n, cut, every, left = map(F.col, ("m", "cut_m", "all_m", "left_m") if k == order else ("n", "cut", "all", "left"))
-        if lower is None:
-            joined = joined.withColumns({"q": 1 / F.col("kinds"), "r": 1 / F.col("kinds")})
-        else:
-            below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("alone").alias("r"))
-            joined = joined.withColumn("tail", F.substring("gram", 1 + unit, unit * (k - 1))).join(below, ["lang", "tail"])
-        p = (F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("all")
         # Sums of discounts are rounded, and never below the least one.
         others = F.greatest(left - cut, F.least("d1", "d2", "d3"))
-        without = F.when(every == n, F.col("r")).otherwise(others / (every - n) * F.col("r"))
-        alone = F.when(F.col("single"), without).otherwise((n - cut + left * F.col("q")) / every)
-        lower = joined.select("lang", "gram", p.alias("p"), alone.alias("alone"))
+        without = F.when(every == n, F.lit(1.0)).otherwise(others / (every - n))
+        # Either probability is (base + share * lower order) / size; rows carry these three where they meet the lower order.
+        own = {"base": F.col("n") - F.col("cut"), "share": F.col("left"), "size": F.col("all"),
+               "base_alone": F.when(F.col("single"), F.lit(0.0)).otherwise(n - cut), "share_alone": F.when(F.col("single"), without).otherwise(left),
+               "size_alone": F.when(F.col("single"), F.lit(1)).otherwise(every)}
+        out = key if k == order else "gram"
+        below = [(1 / F.col("kinds")).alias("q"), (1 / F.col("kinds")).alias("r")] if lower is None else [_part(2, k - 1, words).alias("tail")]
+        joined = joined.select("lang", out, "single", *[c.alias(name) for name, c in own.items()], *below)
+        if lower is not None:
+            joined = joined.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("alone").alias("r")), ["lang", "tail"])
+        p = (F.col("base") + F.col("share") * F.col("q")) / F.col("size")
+        alone = (F.col("base_alone") + F.col("share_alone") * F.when(F.col("single"), F.col("r")).otherwise(F.col("q"))) / F.col("size_alone")
+        lower = joined.select("lang", out, p.alias("p"), alone.alias("alone"))
         lower = lower if k == order else cut_lineage(lower)
-    return lower.select("lang", "gram", F.log("p").alias("logp"), F.log("alone").alias("alone"))
+    return lower.select("lang", key, F.log("p").alias("logp"), F.log("alone").alias("alone"))
+
+
+def _cuts_of_context(n: str) -> Column:
+    """The sum of the discounts d1 to d3 over an n-gram's context, from how many of its counts are 1, 2 and more."""
+    ones, twos = F.col(f"ones_{n}"), F.col(f"twos_{n}")
+    return F.col("d1") * ones + F.col("d2") * twos + F.col("d3") * (F.col("kinds") - ones - twos)
 
 
-def hash_table(model: DataFrame, order: int = ORDER, values: Sequence[str] = ("logp", "alone")) -> DataFrame:
-    """(lang, hash, *values), ``hash`` of the code points of the n-gram, or of the hashes of its words."""
+def hash_table(model: DataFrame) -> DataFrame:
+    """(lang, hash, logp, alone), ``hash`` of the code points of the n-gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = batch.column(1).to_pylist()
-            points = np.frombuffer(b"".join(grams), np.uint64) if grams and isinstance(grams[0], bytes) else \
-                np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
-            h = gram_hash(points, np.arange(0, len(points), order), order)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), *batch.columns[2:]], names=["lang", "hash", *values])
-    return model.select("lang", "gram", *values).mapInArrow(run, f"lang string, hash long, {', '.join(f'{v} double' for v in values)}")
+            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            h = gram_hash(points, np.arange(0, len(points), ORDER))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), *batch.columns[2:]], names=["lang", "hash", "logp", "alone"])
+    return model.select("lang", "gram", "logp", "alone").mapInArrow(run, "lang string, hash long, logp double, alone double")
 
 
 def sorted_arrays(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -445,7 +504,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str
     """
     id_type = df.schema[id_col].dataType.simpleString()
     texts = different_texts(df, lang, text)
-    counts = cut_lineage(gram_counts(texts))
+    counts = cut_lineage(with_contexts(gram_counts(texts), [_part(1, ORDER - 1, words=False)], ["n", "m"]))
     table = cut_lineage(hash_table(log_probabilities(counts)))
     rows = df.select(F.col(id_col).alias("_id"), language(lang).alias("_lang"), text_bytes(text).alias("_text")).withColumn("_key", text_key("_lang"))
     small = table.count() * 24 <= model_bytes

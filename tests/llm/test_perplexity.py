@@ -150,3 +150,28 @@ def test_highest_order_is_handed_on_without_being_written(spark, monkeypatch):
     assert pp.word_scores(texts).count() == 3
     # The counts, both lower orders and their probabilities, and discounts.
     assert len(written) == 6
+
+
+def test_counts_of_words_are_shuffled_once_and_written_by_columns(spark, tmp_path, monkeypatch):
+    """Sums over contexts come with the counts: one shuffle, and few bytes an n-gram of random words."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    rows = [("=en", i, " ".join(rnd.choices(words, k=500)).encode(), 1) for i in range(60)]
+    texts = spark.createDataFrame(rows, "lang string, _key long, _text binary, copies long")
+    counts = pp.word_counts(texts, contexts=True)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = counts.collect()
+    m = Counter()
+    for _, _, text, _ in rows:
+        line = ["<", "<", *text.decode().split(), ">"]
+        m.update(tuple(line[i:i + 3]) for i in range(len(line) - 2))
+    alike = defaultdict(list)
+    for g, c in m.items():
+        alike[g[:2]].append(c)
+    want = Counter((c, len(a), sum(a), a.count(1), a.count(2)) for g, c in m.items() for a in [alike[g[:2]]])
+    assert Counter((r.m, r.kinds, r.all_m, r.ones_m, r.twos_m) for r in got) == want
+    monkeypatch.setattr(pp, "shared_folder", lambda spark: str(tmp_path))
+    assert Counter(map(str, pp.cut_lineage(counts).collect())) == Counter(map(str, got))
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    # A row of a checkpoint has 72 and more.
+    assert written < 24 * len(got)
