@@ -36,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,15 +53,31 @@ WIDTH = 6.0
 LEAST_WIDTH = 0.2
 #: Different words that a task counts before it hands their n-grams on.
 WORDS = 300_000
+#: Bytes of text whose n-grams of words are one part, turns in which the parts are worked off, and how often a word occurs that is frequent.
+PART_BYTES = 16 << 20
+TURNS = 4
+FREQUENT = 4_000_000
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder by columns: of n-grams in order that is a small part of the rows of a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    # What the rows were shuffled through is of no use once they are written.
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # ------------------------------------------------------------- n-grams of words
@@ -88,36 +105,54 @@ def decoded_words(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").translate(_SPACES).split(" ")
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The different words of binary texts, each text's words as places among them, and how many words each has."""
+    try:
+        strings = texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        strings = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    lists = pc.ascii_split_whitespace(strings)
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    # White space at an end leaves an empty word.
+    some = (pc.binary_length(words).to_numpy() > 0)[codes]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[some]
+    return words, codes[some].astype(np.int64), np.bincount(owner, minlength=len(sizes))
+
+
 #: The six ASCII white space characters; others stay within words.
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
 class _Words:
-    """Words of the different texts of a language: how often, how often again in copies, and their text if it is one."""
+    """Words of the different texts of a language: how often, how often with copies, and the least and largest key of their texts.
+
+    A word has a row for each batch that has it.
+    """
 
     def __init__(self) -> None:
-        self.counts: Counter = Counter()
-        self.again: Counter = Counter()
-        self.texts: dict[str, int | None] = {}
-
-    def add(self, words: list[str], copies: int, key: int) -> None:
-        self.counts.update(words)
-        for w in set(words):
-            if self.texts.setdefault(w, key) != key:
-                self.texts[w] = None
-        if copies > 1:
-            self.again.update({w: n * (copies - 1) for w, n in Counter(words).items()})
+        self.words: list[str] = []
+        self.sums: list[np.ndarray] = []
+
+    def add(self, texts: pa.Array, copies: np.ndarray, keys: np.ndarray) -> None:
+        words, codes, sizes = coded_words(texts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.zeros((4, len(words)), np.int64)
+        sums[0] = np.bincount(codes, minlength=len(words))
+        sums[2], sums[3] = 2**63 - 1, -2**63
+        np.add.at(sums[1], codes, copies[owner])
+        np.minimum.at(sums[2], codes, keys[owner])
+        np.maximum.at(sums[3], codes, keys[owner])
+        some = sums[0] > 0
+        self.words += words.filter(pa.array(some)).to_pylist()
+        self.sums.append(sums[:, some])
 
     def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
-        for held in (self.counts, self.again, self.texts):
-            held.pop("", None)
-        words = list(self.counts)
-        if not words:
+        if not self.words:
             return
-        points, first, owner = word_points(words)
-        once = np.fromiter(self.counts.values(), np.int64, len(words))
-        every = once + np.fromiter((self.again.get(w, 0) for w in words), np.int64, len(words))
-        lowest, highest = (np.fromiter((x if self.texts[w] is None else self.texts[w] for w in words), np.int64, len(words)) for x in (-2**63, 2**63 - 1))
+        points, first, owner = word_points(self.words)
+        once, every, lowest, highest = np.concatenate(self.sums, axis=1)
         _, at, back = np.unique(gram_hash(points, first), return_index=True, return_inverse=True)
         low, high = np.full(len(at), 2**63 - 1), np.full(len(at), -2**63)
         np.minimum.at(low, back, lowest[owner])
@@ -135,16 +170,23 @@ class _Words:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, _Words] = {}
-    for batch in batches:
-        for lang, key, text, copies in zip(*(batch.column(c).to_pylist() for c in ("lang", "_key", "_text", "copies")), strict=True):
+    for batch in slices(batches, "_text", 1 << 23):
+        for lang, own in by_language(batch):
             words = held.setdefault(lang, _Words())
-            words.add(decoded_words(text), copies, key)
-            if len(words.counts) > WORDS:
+            words.add(own.column("_text"), *(own.column(c).to_numpy() for c in ("copies", "_key")))
+            if len(words.words) > WORDS:
                 yield from held.pop(lang).rows(lang)
     for lang, words in held.items():
         yield from words.rows(lang)
 
 
+def by_language(batch: pa.RecordBatch, lang: str = "lang") -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each language."""
+    langs = batch.column(lang).dictionary_encode()
+    for i, name in enumerate(langs.dictionary.to_pylist()):
+        yield name, batch.filter(pc.equal(langs.indices, i))
+
+
 def different_texts(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, _key, _text, copies): each text of a language once; _key is a digest of both.
 
@@ -259,25 +301,283 @@ def _bounds() -> tuple[Column, Column]:
     return F.coalesce("only", F.lit(-2**63)), F.coalesce("only", F.lit(2**63 - 1))
 
 
-def _word_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, key, points in _word_texts(batches):
-        places = np.arange(len(points) - WORD_ORDER + 1)
-        _, at, counts = np.unique(gram_hash(points, places, WORD_ORDER), return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), *[pa.array(points[at + k].view(np.int64)) for k in range(WORD_ORDER)],
-                                          pa.array(counts.astype(np.int64))], names=["_key", *_PLACES, "c"])
-
-
-def word_scores(texts: DataFrame) -> DataFrame:
-    """(_key, word_perplexity) of every different text that has words."""
-    counts = cut_lineage(word_counts(texts, contexts=True))
-    same = {f"{x}n": F.col(f"{x}m") for x in ("", "all_", "ones_", "twos_")}
-    # Both sides hash the same numbers.
-    hashed = F.xxhash64(*[F.col(f"gram.{w}") for w in _PLACES])
-    model = log_probabilities(counts.withColumns({**same, "hash": hashed}), WORD_ORDER, words=True, key="hash").select("hash", "alone")
-    postings = texts.mapInArrow(_word_postings, f"_key long, {', '.join(f'{w} long' for w in _PLACES)}, c long").select(
-        "_key", F.xxhash64(*_PLACES).alias("hash"), "c")
-    sums = postings.join(model, "hash").groupBy("_key").agg(
-        F.sum(F.col("c") * F.col("alone")).alias("total"), F.sum("c").alias("size"))
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the texts with words of a language in a batch: its name, their keys, the hashes of their words and signs, their words
+    between signs as places among these, and each n-gram's first place and text."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in slices(batches, "_text", 1 << 23):
+        for lang, own in by_language(batch):
+            words, codes, sizes = coded_words(own.column("_text"))
+            keys, sizes = own.column("_key").to_numpy()[sizes > 0], sizes[sizes > 0]
+            if not len(keys):
+                continue
+            seed = xxh3_64_intdigest(lang.encode())
+            # No word is empty or a space.
+            hashes = np.array([xxh3_64_intdigest(w, seed) for w in [*words.cast(pa.binary()).to_pylist(), b"", b" "]], np.uint64)
+            ends = np.cumsum(sizes + WORD_ORDER)
+            line = np.full(ends[-1], len(words))
+            line[ends - 1] = len(words) + 1
+            line[np.arange(len(codes)) + np.repeat(ends - 1 - np.cumsum(sizes), sizes)] = codes
+            first = np.arange(len(codes) + len(keys)) + np.repeat(ends - WORD_ORDER + 1 - np.cumsum(sizes + 1), sizes + 1)
+            yield lang, keys, hashes, line, first, np.repeat(np.arange(len(keys)), sizes + 1)
+
+
+def _packed(arrays: Sequence[np.ndarray]) -> bytes:
+    """Whole numbers from 0 on in as few bytes as the largest needs, those of equal weight together, compressed."""
+    narrow = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in arrays]
+    head = np.array([v for x in narrow for v in (len(x), x.itemsize)], np.int64).tobytes()
+    data = head + b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in narrow)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    data = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    at, out = 16 * n, []
+    for size, width in np.frombuffer(data, np.int64, 2 * n).reshape(n, 2).tolist():
+        rows = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T
+        out.append(np.ascontiguousarray(rows).view(f"<u{width}").reshape(size))
+        at += size * width
+    return out
+
+
+def _pair_part(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ second
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((mixed >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+
+
+def _middle_part(a: np.ndarray, b: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part that scores an n-gram: that of its middle word, of its first two if that is frequent."""
+    return np.where(np.isin(b, hot), _pair_part(a, b, parts), (b % np.uint64(parts)).astype(np.int64))
+
+
+def _last_part(b: np.ndarray, c: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part that counts an n-gram: that of its last word, of its last two if that is frequent."""
+    return np.where(np.isin(c, hot), _pair_part(b, c, parts), (c % np.uint64(parts)).astype(np.int64))
+
+
+def dealt_words(texts: DataFrame, hot: np.ndarray, parts: int, turn: int, turns: int, score: bool) -> DataFrame:
+    """(lang, part, grams): the n-grams of words of the texts, with text and count, packed for the parts of one turn."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, keys, hashes, line, first, owner in _lines(batches):
+            a, b, c = (line[first + k] for k in range(WORD_ORDER))
+            # Frequent words are few, so pairs are only made for n-grams that have one.
+            frequent = np.isin(hashes, hot)
+            part = (hashes % np.uint64(parts)).astype(np.int64)[b if score else c]
+            pairs = np.flatnonzero(frequent[b if score else c])
+            part[pairs] = _pair_part(*(hashes[x[pairs]] for x in ((a, b) if score else (b, c))), parts)
+            mine = np.flatnonzero(part % turns == turn)
+            size = len(hashes)
+            # A batch has few enough words and a table few enough parts for 63 bits.
+            high, low = (part[mine] * size + b[mine]) * size + c[mine], a[mine] * len(keys) + owner[mine]
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            at = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[:len(high)])
+            counts = np.diff(at, append=len(high))
+            high, low = high[at], low[at]
+            part, b, c, a, text = high // size // size, high // size % size, high % size, low // len(keys), low % len(keys)
+            bounds = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+            place, rows = np.empty(size, np.int64), []
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                used, own = np.unique(np.concatenate([a[i:j], b[i:j], c[i:j]])), np.unique(text[i:j])
+                place[used] = np.arange(len(used))
+                rows.append(_packed([hashes[used], keys[own].view(np.uint64), np.diff(place[b[i:j]], prepend=0), place[c[i:j]], place[a[i:j]],
+                                     np.searchsorted(own, text[i:j]), counts[i:j]]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(part[bounds[:-1]], pa.int32()), pa.array(rows, pa.binary())],
+                                             names=["lang", "part", "grams"])
+
+    return texts.mapInArrow(run, "lang string, part int, grams binary")
+
+
+class _Part:
+    """N-grams of words of one part, each once: words as places in ``words``, counts, and the text of those that one text alone has.
+
+    Pairs are the last two words of n-grams; ``pair`` is the place of that of each n-gram, in order.
+    """
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        made = [_unpacked(x, 7) for x in blobs]
+        self.words = np.unique(np.concatenate([x[0] for x in made]))
+        size = self.size = len(self.words)
+        place = [np.searchsorted(self.words, x[0]) for x in made]
+        b, c, a = (np.concatenate([p[x] for p, x in zip(place, xs, strict=True)])
+                   for xs in ([np.cumsum(x[2], dtype=np.int64) for x in made], [x[3] for x in made], [x[4] for x in made]))
+        self.key = np.concatenate([x[1].astype(np.uint64).view(np.int64)[x[5]] for x in made])
+        self.count = np.concatenate([x[6] for x in made]).astype(np.int64)
+        pairs, back = np.unique(c * size + b, return_inverse=True)
+        grams, self.gram, texts = np.unique(back * size + a, return_inverse=True, return_counts=True)
+        self.m = np.bincount(self.gram, self.count).astype(np.int64)
+        self.single = texts == 1
+        key = np.empty(len(grams), np.int64)
+        key[self.gram] = self.key
+        self.pair, self.first = grams // size, grams % size
+        self.second, self.last = pairs % size, pairs // size
+        # How many words each pair follows, and the least and largest key of its texts.
+        self.n = np.bincount(self.pair)
+        starts = np.flatnonzero(np.diff(self.pair, prepend=-1))
+        self.low = np.minimum.reduceat(np.where(self.single, key, -2**63), starts)
+        self.high = np.maximum.reduceat(np.where(self.single, key, 2**63 - 1), starts)
+
+
+_COUNTED = "lang string, kind int, v long, w long, n long, single boolean, low long, high long, parts array<int>, t array<long>"
+
+
+def _lists(group: np.ndarray, value: np.ndarray, groups: int, values: int) -> pa.ListArray:
+    """The different values of each group."""
+    pairs = np.unique(group * values + value)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // values, np.arange(groups + 1)), pa.int32()), pa.array(pairs % values, pa.int32()))
+
+
+def count_parts(dealt: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """What other parts need of the n-grams of each part, and where they need it.
+
+    Of kind 1, how many words a word ``w`` follows and if one text alone has it; of a frequent word this is one of several
+    sums, with the keys of its texts. Of kind 2 the same of pairs (v, w) of a frequent word and the next. Kinds 0 and -1 are how many
+    pairs and n-grams have the counts 1 to 4.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        x = _Part(table.column("grams").to_pylist())
+        scored = _middle_part(x.words[x.first], x.words[x.second][x.pair], hot, parts)
+        starts = np.flatnonzero(np.diff(x.last, prepend=-1))
+        low, high = np.minimum.reduceat(x.low, starts), np.maximum.reduceat(x.high, starts)
+        last = x.words[x.last[starts]]
+        partial = ~np.isin(last, hot)
+        word = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(x.last)))[x.pair]
+        frequent = np.isin(x.words, hot)[x.second]
+        place, mine = np.cumsum(frequent) - 1, frequent[x.pair]
+        pairs = int(frequent.sum())
+
+        def rows(size: int, kind: int, **cols: pa.Array) -> pa.Table:
+            kinds = pa.array(np.full(size, kind), pa.int32())
+            lang = pa.repeat(table.column("lang")[0], size)
+            return pa.table([lang, kinds, *[cols.get(f.name, pa.nulls(size, f.type)) for f in schema]], names=["lang", "kind", *schema.names])
+
+        def seen(n: np.ndarray) -> pa.Array:
+            return pa.array([np.bincount(np.minimum(n, 5), minlength=6)[1:5]], pa.list_(pa.int64()))
+
+        return pa.concat_tables([
+            rows(len(starts), 1, w=pa.array(last.view(np.int64)), n=pa.array(np.diff(starts, append=len(x.last))), single=pa.array(low == high),
+                 low=pa.array(low, mask=partial), high=pa.array(high, mask=partial), parts=_lists(word, scored, len(starts), parts)),
+            rows(pairs, 2, v=pa.array(x.words[x.second[frequent]].view(np.int64)), w=pa.array(x.words[x.last[frequent]].view(np.int64)),
+                 n=pa.array(x.n[frequent]), single=pa.array((x.low == x.high)[frequent]), parts=_lists(place[x.pair[mine]], scored[mine], pairs, parts)),
+            rows(1, 0, t=seen(x.n)), rows(1, -1, t=seen(x.m))])
+
+    schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()),
+                        ("parts", pa.list_(pa.int32())), ("t", pa.list_(pa.int64()))])
+    return dealt.groupBy("lang", "part").applyInArrow(run, _COUNTED)
+
+
+def _kneser_ney(n: np.ndarray, single: np.ndarray, every: np.ndarray, ones: np.ndarray, twos: np.ndarray, kinds: np.ndarray, d: Sequence[float],
+                q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability, and the one without the only text that has it, from counts, those of the context, and the lower order; as in ``log_probabilities``."""
+    cut = np.take(np.array(d), np.minimum(n, 3) - 1)
+    left = d[0] * ones + d[1] * twos + d[2] * (kinds - ones - twos)
+    p = (n - cut + left * q) / every
+    others = np.maximum(left - cut, min(d))
+    return p, np.where(single, np.where(every == n, 1.0, others / np.maximum(every - n, 1)) * r, p)
+
+
+def score_parts(dealt: DataFrame, known: DataFrame, totals: dict[str, dict[int, Sequence[float]]], contexts: dict[str, dict[int, Sequence[int]]]) -> DataFrame:
+    """(_key, total, size): log probability and number of the n-grams that a text has in a part.
+
+    ``known`` are the words and pairs that a part needs, ``totals`` sums and discounts of each language and order,
+    ``contexts`` sums over the pairs of a frequent word and the next.
+    """
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64())], names=["_key", "total", "size"])
+        lang = left.column("lang")[0].as_py()
+        x, own, about = _Part(left.column("grams").to_pylist()), totals[lang], contexts.get(lang, {})
+        pairs = right.column("v").is_valid().to_numpy()
+        w, n, single = (right.column(c).to_numpy() for c in ("w", "n", "single"))
+        at = np.searchsorted(x.words, w.view(np.uint64))
+        # Order 1.
+        every, ones, twos, kinds = own[1][:4]
+        last_n, last_single = np.ones(x.size, np.int64), np.zeros(x.size, bool)
+        last_n[at[~pairs]], last_single[at[~pairs]] = n[~pairs], single[~pairs]
+        q, r = _kneser_ney(last_n, last_single, np.float64(every), ones, twos, kinds, own[1][4:], 1 / kinds, 1 / kinds)
+        # Order 2: contexts are whole here but those of frequent words.
+        pair_n, pair_single = x.n, x.low == x.high
+        sums = [np.bincount(x.second, y, x.size) for y in (pair_n, pair_n == 1, pair_n == 2, np.ones(len(pair_n)))]
+        if about:
+            v = np.searchsorted(x.words, right.column("v").fill_null(0).to_numpy()[pairs].view(np.uint64))
+            spot = np.searchsorted(x.last * x.size + x.second, at[pairs] * x.size + v)
+            pair_n, pair_single = pair_n.copy(), pair_single.copy()
+            pair_n[spot], pair_single[spot] = n[pairs], single[pairs]
+            for word, known_sums in about.items():
+                spot = np.searchsorted(x.words, np.int64(word).view(np.uint64))
+                if spot < x.size and x.words[spot] == np.int64(word).view(np.uint64):
+                    for held, y in zip(sums, known_sums, strict=True):
+                        held[spot] = y
+        q, r = _kneser_ney(pair_n, pair_single, *[y[x.second] for y in sums], own[2][4:], q[x.last], r[x.last])
+        # Order 3: contexts are always whole.
+        _, context = np.unique(x.first * x.size + x.second[x.pair], return_inverse=True)
+        sums = [np.bincount(context, y)[context] for y in (x.m, x.m == 1, x.m == 2, np.ones(len(x.m)))]
+        _, alone = _kneser_ney(x.m, x.single, *sums, own[3][4:], q[x.pair], r[x.pair])
+        texts, back = np.unique(x.key, return_inverse=True)
+        return pa.table([texts, np.bincount(back, x.count * np.log(alone)[x.gram]), np.bincount(back, x.count).astype(np.int64)], names=["_key", "total", "size"])
+
+    return dealt.groupBy("lang", "part").cogroup(known.groupBy("lang", "part")).applyInArrow(run, "_key long, total double, size long")
+
+
+def frequent_words(texts: DataFrame, size: int, most: int) -> np.ndarray:
+    """Hashes of all words, signs included, that occur more than ``most`` times, and perhaps some that occur half as often."""
+    if size <= most:
+        return np.array([], np.uint64)
+    # What batches leave out is less than half of ``most`` in all: there are fewer of them than this.
+    least = max(1, most // (2 * (size // (1 << 21) + 1 + texts.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, line, _, _ in _lines(batches):
+            n = np.bincount(line, minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["w", "n"])
+
+    sums = texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > most // 2)
+    return np.sort(np.array([x.w for x in sums.collect()], np.int64).view(np.uint64))
+
+
+def word_scores(texts: DataFrame, part_bytes: int = PART_BYTES, most: int = FREQUENT) -> DataFrame:
+    """(_key, word_perplexity) of every different text that has words.
+
+    Texts are read twice in each of a few turns, and a turn moves the n-grams of its parts only, so that no more than these are on
+    disk at once: first to where those with the same last word are counted, then to where those with the same
+    middle word are scored, since all that a probability needs but the counts of its last word is there. N-grams of a frequent word are
+    dealt by two words, so that it is not one task's; the counts of its pairs go where they are needed as well.
+    """
+    size = texts.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
+    hot = frequent_words(texts, size // 2, most)
+    parts = size // part_bytes + 1
+    turns = min(TURNS, parts)
+    counted = reduce(DataFrame.unionByName, [cut_lineage(count_parts(dealt_words(texts, hot, parts, i, turns, score=False), hot, parts)) for i in range(turns)])
+    words = counted.where("kind = 1")
+    several = cut_lineage(words.where("low IS NOT NULL").groupBy("lang", "w").agg(F.sum("n").alias("n"), (F.min("low") == F.max("high")).alias("single")))
+    pairs = counted.where("kind = 2")
+
+    def seen(k: int) -> Column:
+        return F.count_if(F.col("n") == k)
+
+    sums = [F.sum("n").alias("all"), seen(1).alias("t1"), seen(2).alias("t2"), F.count("*").alias("kinds")]
+    contexts = cut_lineage(pairs.groupBy("lang", "v").agg(*sums))
+    firsts = words.where("low IS NULL").select("lang", "n").unionByName(several.select("lang", "n")).groupBy("lang").agg(
+        F.lit(1).alias("k"), *sums, seen(3).alias("t3"), seen(4).alias("t4"))
+    rest = counted.where("kind < 1").groupBy("lang", (2 - F.col("kind")).alias("k")).agg(*[F.sum(F.col("t")[i]).alias(f"t{i + 1}") for i in range(4)])
+    seen_counts = cut_lineage(firsts.unionByName(rest, allowMissingColumns=True))
+    discounts = cut_lineage(_estimates(seen_counts.select("k", "lang", "all", "kinds", *[F.col(f"t{i}").cast("double") for i in (1, 2, 3, 4)]), ["all", "t1", "t2", "kinds"]))
+    totals: dict[str, dict[int, Sequence[float]]] = {}
+    for x in discounts.collect():
+        totals.setdefault(x.lang, {})[x.k] = (x["all"], x.t1, x.t2, x.kinds, x.d1, x.d2, x.d3)
+    about: dict[str, dict[int, Sequence[int]]] = {}
+    for x in contexts.collect():
+        about.setdefault(x.lang, {})[x.v] = (x["all"], x.t1, x.t2, x.kinds)
+    needed = words.where("low IS NULL").select("lang", F.explode("parts").alias("part"), "v", "w", "n", "single").unionByName(
+        pairs.select("lang", F.explode("parts").alias("part"), "v", "w", "n", "single"))
+    if len(hot):
+        places = words.where("low IS NOT NULL").select("lang", F.explode("parts").alias("part"), "v", "w").distinct()
+        needed = needed.unionByName(places.join(F.broadcast(several), ["lang", "w"]).select("lang", "part", "v", "w", "n", "single"))
+    scored = [cut_lineage(score_parts(dealt_words(texts, hot, parts, i, turns, score=True), needed.where(F.col("part") % turns == i), totals, about)
+                          .groupBy("_key").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))) for i in range(turns)]
+    sums = reduce(DataFrame.unionByName, scored).groupBy("_key").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
     return sums.select("_key", F.round(F.exp(-F.col("total") / F.col("size")), 6).alias("word_perplexity"))
 
 
@@ -289,7 +589,11 @@ def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
         return F.count_if(F.col("n") == k).cast("double")
 
     every = reduce(DataFrame.unionByName, [table.select(F.lit(k).alias("k"), "lang", "n") for k, table in tables.items()])
-    sums = every.groupBy("k", "lang").agg(*[seen(k).alias(f"t{k}") for k in (1, 2, 3, 4)])
+    return _estimates(every.groupBy("k", "lang").agg(*[seen(k).alias(f"t{k}") for k in (1, 2, 3, 4)]))
+
+
+def _estimates(sums: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """(k, lang, d1, d2, d3) from how many n-grams have the counts 1 to 4, with the columns ``also``."""
     t = {k: F.col(f"t{k}") for k in (1, 2, 3, 4)}
     y = F.try_divide(t[1], t[1] + 2 * t[2])
 
@@ -297,7 +601,7 @@ def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
         d = k - F.try_divide((k + 1) * y * t[k + 1], t[k])
         return F.when((t[1] > 0) & (t[k] > 0) & (d > 0) & (d < k), d).otherwise(F.lit(k / 2))
 
-    return sums.select("k", "lang", *[estimate(k).alias(f"d{k}") for k in (1, 2, 3)])
+    return sums.select("k", "lang", *also, *[estimate(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
 def _with_cuts(table: DataFrame, discounts: DataFrame, k: int, n: str, out: str) -> DataFrame:
@@ -449,20 +753,21 @@ def score_by_arrays(rows: DataFrame, table: DataFrame, id_type: str) -> DataFram
         arrays = model.value
         for batch in slices(batches, "_text"):
             texts = batch.column("_text").to_pylist()
-            words = [decoded_words(t) for t in texts]
-            langs = batch.column("_lang").to_pylist()
-            known: dict[str, dict[str, complex]] = {}
-            for lang in set(langs):
-                mine = list(set().union(*(w for w, x in zip(words, langs, strict=True) if x == lang)) - {""})
-                known[lang] = scores = {"": 0j}
-                if mine:
-                    points, first, owner = word_points(mine)
-                    hashes, logp = arrays[lang]
-                    found = logp[np.searchsorted(hashes, gram_hash(points, first))]
-                    sums = np.bincount(owner, weights=found.real) + 1j * np.bincount(owner, weights=found.imag)
-                    scores.update(zip(mine, sums.tolist(), strict=True))
-            total = np.array([sum(map(known[x].__getitem__, w)) for w, x in zip(words, langs, strict=True)], complex)
-            yield pa.RecordBatch.from_arrays([*_features(batch, texts), pa.array(total.real), pa.array(total.imag)],
+            total = np.zeros((2, len(texts)))
+            langs = batch.column("_lang").dictionary_encode()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = np.flatnonzero(langs.indices.to_numpy() == i)
+                words, codes, sizes = coded_words(batch.column("_text").take(pa.array(rows)))
+                if not len(codes):
+                    continue
+                points, first, owner = word_points(words.to_pylist())
+                hashes, logp = arrays[lang]
+                # Of an empty word, which no text has, nothing is read.
+                found = logp[np.minimum(np.searchsorted(hashes, gram_hash(points, first)), len(hashes) - 1)]
+                place = rows[np.repeat(np.arange(len(rows)), sizes)]
+                for sums, part in zip(total, (found.real, found.imag), strict=True):
+                    sums += np.bincount(place, np.bincount(owner, part, len(words))[codes], len(texts))
+            yield pa.RecordBatch.from_arrays([*_features(batch, texts), *map(pa.array, total)],
                                              names=["_id", "_lang", "_key", *_FEATURES, "_logp", "_alone"])
 
     return rows.mapInArrow(run, f"_id {id_type}, _lang string, _key long, {', '.join(f'{f} long' for f in _FEATURES)}, _logp double, _alone double")

@@ -175,3 +175,78 @@ def test_counts_of_words_are_shuffled_once_and_written_by_columns(spark, tmp_pat
     written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
     # A row of a checkpoint has 72 and more.
     assert written < 24 * len(got)
+
+
+def plain_word_perplexities(texts):
+    """Word perplexity of every text of one language, n-grams of one text alone without their occurrences, straight from the definition."""
+    lines = [["<", "<", *re.findall(r"[^\x20\x09-\x0D]+", t), ">"] for t in texts]
+    grams = [Counter(tuple(x[i:i + 3]) for i in range(len(x) - 2)) for x in lines]
+    tables, owners = {3: Counter()}, {k: defaultdict(set) for k in (1, 2, 3)}
+    for i, own in enumerate(grams):
+        tables[3].update(own)
+        for g in own:
+            for k in (1, 2, 3):
+                owners[k][g[3 - k:]].add(i)
+    tables[2] = Counter(g[1:] for g in tables[3])
+    tables[1] = Counter(g[1:] for g in tables[2])
+    cuts, groups = {}, {k: defaultdict(list) for k in tables}
+    for k, table in tables.items():
+        t = Counter(table.values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0
+        ds = [j - (j + 1) * y * t[j + 1] / t[j] if t[1] and t[j] else 0 for j in (1, 2, 3)]
+        cuts[k] = [d if 0 < d < j else j / 2 for j, d in enumerate(ds, 1)]
+        for g, c in table.items():
+            groups[k][g[:-1]].append(c)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return (1 / len(tables[1]),) * 2
+        own, n = groups[k][g[:-1]], tables[k][g]
+        cut, left = cuts[k][min(n, 3) - 1], sum(cuts[k][min(c, 3) - 1] for c in own)
+        q, r = p(g[1:])
+        known = (n - cut + left * q) / sum(own)
+        without = 1 if sum(own) == n else max(left - cut, min(cuts[k])) / (sum(own) - n)
+        return known, without * r if len(owners[k][g]) == 1 else known
+    return [math.exp(-sum(c * math.log(p(g)[1]) for g, c in own.items()) / sum(own.values())) for own in grams]
+
+
+@pytest.mark.parametrize(("part_bytes", "most"), [(1 << 20, 1 << 20), (700, 1 << 20), (700, 40), (5000, 1)])
+def test_word_perplexities_by_parts_against_plain_version(spark, part_bytes, most):
+    """One part or many, of middle words or of the first two of frequent ones: every n-gram is counted and scored once."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdé語", k=rnd.randrange(1, 4))) for _ in range(60)] + ["the"] * 8
+    made = {x: [" \t".join([*rnd.choices(words, k=rnd.randrange(1, 80)), f"{x}{i}"]) for i in range(40)] + ["a b c d", "the", "the the the the the"] for x in ("=en", "-")}
+    rows = [(x, 1000 * k + i, t.encode(), 1 + i % 3) for k, x in enumerate(made) for i, t in enumerate(made[x])]
+    texts = spark.createDataFrame([*rows, ("=en", -5, b" \n", 1), ("=de", -6, b"", 1)], "lang string, _key long, _text binary, copies long")
+    got = {r._key: r.word_perplexity for r in pp.word_scores(texts, part_bytes, most).collect()}
+    want = {1000 * k + i: p for k, x in enumerate(made) for i, p in enumerate(plain_word_perplexities(made[x]))}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], p, rel_tol=1e-6, abs_tol=2e-6) for k, p in want.items())
+
+
+def test_word_model_moves_few_bytes_and_a_turn_its_share(spark, tmp_path, monkeypatch):
+    """N-grams of words of random texts: each is dealt in one turn, packed, and little of it stays written."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    rows = [("=en", i, " ".join(rnd.choices(words, k=500)).encode(), 1) for i in range(60)]
+    texts = spark.createDataFrame(rows, "lang string, _key long, _text binary, copies long")
+    n, none = sum(501 for _ in rows), pp.frequent_words(texts, 10, 100)
+    sizes = [0, 0]
+    for score in (False, True):
+        turns = [pp.dealt_words(texts, none, 12, i, 4, score).collect() for i in range(4)]
+        assert all({r.part % 4 for r in t} == {i} for i, t in enumerate(turns))
+        assert sum(int(pp._Part([r.grams]).count.sum()) for t in turns for r in t) == n
+        sizes[score] = [sum(len(r.grams) for r in t) for t in turns]
+    # Three hashes, a key and a count are 40 bytes.
+    assert all(sum(s) < 20 * n and max(s) < 0.45 * sum(s) for s in sizes)
+    monkeypatch.setattr(pp, "shared_folder", lambda spark: str(tmp_path))
+    assert pp.word_scores(texts).count() == 60
+    # The counts of n-grams alone took more than twice that before.
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4 * n
+
+
+def test_written_rows_leave_no_setting_behind(spark):
+    before = spark.conf.get(pp._CLEANUP, None)
+    rows = pp.cut_lineage(spark.range(100).groupBy("id").count())
+    assert rows.count() == 100 and spark.conf.get(pp._CLEANUP, None) == before
