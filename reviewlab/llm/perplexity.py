@@ -54,7 +54,7 @@ LEAST_WIDTH = 0.2
 #: Different words that a task counts before it hands their n-grams on.
 WORDS = 300_000
 #: Bytes of text whose n-grams of words are one part, turns in which the parts are worked off, and how often a word occurs that is frequent.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 TURNS = 4
 FREQUENT = 4_000_000
 LEAST_WORDS = 50
@@ -397,6 +397,8 @@ class _Part:
     """
 
     def __init__(self, blobs: list[bytes]) -> None:
+        # A worker takes one part after the other, so Arrow's spare memory of the last one is handed back.
+        pa.default_memory_pool().release_unused()
         made = [_unpacked(x, 7) for x in blobs]
         self.words = np.unique(np.concatenate([x[0] for x in made]))
         size = self.size = len(self.words)
@@ -405,8 +407,15 @@ class _Part:
                    for xs in ([np.cumsum(x[2], dtype=np.int64) for x in made], [x[3] for x in made], [x[4] for x in made]))
         self.key = np.concatenate([x[1].astype(np.uint64).view(np.int64)[x[5]] for x in made])
         self.count = np.concatenate([x[6] for x in made]).astype(np.int64)
-        pairs, back = np.unique(c * size + b, return_inverse=True)
-        grams, self.gram, texts = np.unique(back * size + a, return_inverse=True, return_counts=True)
+        del made, place
+        c *= size
+        c += b
+        pairs, back = np.unique(c, return_inverse=True)
+        del b, c
+        back *= size
+        back += a
+        grams, self.gram, texts = np.unique(back, return_inverse=True, return_counts=True)
+        del a, back
         self.m = np.bincount(self.gram, self.count).astype(np.int64)
         self.single = texts == 1
         key = np.empty(len(grams), np.int64)
