@@ -51,8 +51,9 @@ MODEL_BYTES = 64 << 20
 WIDTH = 6.0
 #: Least half-width of a band, in log perplexity.
 LEAST_WIDTH = 0.2
-#: Different words that a task counts before it hands their n-grams on.
-WORDS = 300_000
+#: Words that a task counts before it hands their n-grams on, and n-grams that it hands on at once.
+WORDS = 150_000
+GRAMS = 1 << 16
 #: Bytes of text whose n-grams of words are one part, turns in which the parts are worked off, and how often a word occurs that is frequent.
 PART_BYTES = 8 << 20
 TURNS = 4
@@ -161,16 +162,19 @@ class _Words:
         n, m = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         np.add.at(n, back, every[owner])
         np.add.at(m, back, once[owner])
-        grams = points[first[at][:, None] + np.arange(ORDER)[None, :]]
-        texts = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(at), pa.string()), pa.array([texts[i:i + ORDER] for i in range(0, len(texts), ORDER)], pa.string()),
-            *map(pa.array, (n, m, low, high))], names=["lang", "gram", "n", "m", "low", "high"])
+        at = first[at]
+        del first, owner, back
+        for i in range(0, len(at), GRAMS):
+            grams = points[at[i:i + GRAMS, None] + np.arange(ORDER)[None, :]]
+            texts = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(grams), pa.string()), pa.array([texts[j:j + ORDER] for j in range(0, len(texts), ORDER)], pa.string()),
+                *(pa.array(x[i:i + GRAMS]) for x in (n, m, low, high))], names=["lang", "gram", "n", "m", "low", "high"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, _Words] = {}
-    for batch in slices(batches, "_text", 1 << 23):
+    for batch in slices(batches, "_text"):
         for lang, own in by_language(batch):
             words = held.setdefault(lang, _Words())
             words.add(own.column("_text"), *(own.column(c).to_numpy() for c in ("copies", "_key")))
