@@ -19,7 +19,8 @@ copies, has the probability that the model would give it without all its occurre
 
 No n-gram of characters crosses a word, so a second model of the same kind is one of words: ``WORD_ORDER``
 of them, over the different texts of each language, with two begin signs and an end sign a text. Its
-n-grams grow with the input, so it is never sent whole: those of the texts meet it in a join by hash.
+n-grams grow with the input, so it is never sent whole: those of the texts are shuffled, packed and a share of
+them at a time, to where those with the same middle word are counted and scored (``word_scores``).
 
 A text is rejected if this perplexity lies outside its language's band, median +- ``WIDTH`` robust
 standard deviations of its logarithm, over all different texts of the language that pass the base rules,
